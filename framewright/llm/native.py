@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The six ASCII characters between words.
-SPACES = " \t\n\x0b\x0c\r"
+#: The six ASCII characters between words, and all others, in a regular expression.
+SPACE, NO_SPACE = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 
 
 def words_of(text: Column) -> Column:
     """Words between white space; null: none."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * 5)
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")
 
 
-def without(text: Column, marks: str) -> Column:
-    return F.char_length(F.translate(text, marks, ""))
+def word_chars(text: Column) -> Column:
+    """Code points that are no white space."""
+    return F.char_length(text) - F.regexp_count(text, F.lit(SPACE))

@@ -1,17 +1,19 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from framewright.llm import decontamination, mixing, sharding, substring_dedup, url_filter
+from framewright.llm import decontamination, mixing, quality_rules, sharding, substring_dedup, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op5_sharding": sharding.query,
     "op6_url_filter": url_filter.query,
     "op7_mixing": mixing.query,
+    "op8_quality_rules": quality_rules.query,
     "op10_decontamination": decontamination.query,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op6_url_filter": url_filter.SQL,
     "op7_mixing": mixing.SQL,
+    "op8_quality_rules": quality_rules.SQL,
     "op10_decontamination": decontamination.SQL,
 }
