@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from framewright.llm import decontamination, mixing, quality_rules, sharding, substring_dedup, url_filter
+from framewright.llm import chosen_path, decontamination, mixing, quality_rules, sharding, substring_dedup, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op6_url_filter": url_filter.query,
     "op7_mixing": mixing.query,
     "op8_quality_rules": quality_rules.query,
+    "op9_chosen_path": chosen_path.query,
     "op10_decontamination": decontamination.query,
 }
 ORACLES = {
@@ -15,5 +16,6 @@ ORACLES = {
     "op6_url_filter": url_filter.SQL,
     "op7_mixing": mixing.SQL,
     "op8_quality_rules": quality_rules.SQL,
+    "op9_chosen_path": chosen_path.SQL,
     "op10_decontamination": decontamination.SQL,
 }
