@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm import bytewords as bw
 from framewright.llm.chunks import totals
+from framewright.llm.store import shared
 
 U64 = np.uint64
 #: Bytes of training text in one shard's suffix array.
@@ -125,7 +126,7 @@ def _matches(items: Items, column: pa.Array, width: int, lo: int, hi: int, raw:
 
 def _scanner(items, width: int, text: str, first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = items.value
+        test = items()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -185,7 +186,7 @@ def find_matches(docs: DataFrame, items: DataFrame, width: int = 10, text: str =
     schema = f"row {kind['row'].dataType.simpleString()}, {REPORT}"
     for b in range(n_blocks):
         rows = sorted((r.i, r.t) for r in asked.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b).collect())
-        sent = docs.sparkSession.sparkContext.broadcast(Items(rows, width))
+        sent = shared(docs.sparkSession, Items(rows, width))
         out = out.mapInArrow(_scanner(sent, width, text, b == 0), schema)
     return out.drop("hit")
 

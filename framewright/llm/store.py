@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,3 +19,9 @@ def kept(df: DataFrame) -> DataFrame:
     """df, computed now and written to the shared folder; lineage ends there."""
     ready(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared(spark: SparkSession, x: object) -> Callable[[], object]:
+    """Broadcasts x, whose size the caller has bounded, with the code of its class; the result gives x on an executor."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(x))
+    return lambda: cloudpickle.loads(sent.value)
