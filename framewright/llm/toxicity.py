@@ -22,7 +22,7 @@ MOST_RATIO = 4.0
 #: Words of the stretches whose normalised log-likelihoods are compared, beside the whole text's.
 STRETCHES = (1, 3, 20)
 #: The fit's bounded sample of labelled rows: documents of each class, words of each class; half as many for calibrating.
-SAMPLE_DOCS, SAMPLE_WORDS = 4000, 1_500_000
+SAMPLE_DOCS, SAMPLE_WORDS = 2000, 600_000
 FOLDS = 5
 
 
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_docs: i
     best, weight = None, (n / seen)[y]
     for discount in DISCOUNTS:
         model = Model(counted, discount)
-        x = model.features(texts)
+        x = np.concatenate([model.features(texts[lo:hi]) for lo, hi in bw.blocks(bw.text_buffers(texts)[1])])
         w = logistic(x, y, weight)
         loss = (weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w))).sum()
         if best is None or loss < best[0]:
