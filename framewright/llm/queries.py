@@ -1,10 +1,11 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from framewright.llm import chosen_path, decontamination, mixing, quality_classifier, quality_rules, sharding, substring_dedup, toxicity, url_filter
+from framewright.llm import chosen_path, context_tree, decontamination, mixing, quality_classifier, quality_rules, sharding, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_quality_classifier": quality_classifier.query,
+    "op3_context_tree": context_tree.query,
     "op4_toxicity": toxicity.query,
     "op5_sharding": sharding.query,
     "op6_url_filter": url_filter.query,
