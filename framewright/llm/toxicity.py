@@ -78,11 +78,11 @@ class Model:
     """Two interpolated Kneser-Ney models, in which every count gives up to `discount` to the level below.
 
     Pairs and words have continuation counts (how many different words they follow) of each class, so copies and
-    repeated passages count once; words back off to the counts of both classes together, and these to an even share for
-    each word, unseen ones included. Pairs that give all they have aren't stored.
+    repeated passages count once; words back off to the counts of both classes together, each class as large as its `rate`, and
+    these to an even share for each word, unseen ones included. Pairs that give all they have aren't stored.
     """
 
-    def __init__(self, docs: list[tuple[int, np.ndarray]], discount: float):
+    def __init__(self, docs: list[tuple[int, np.ndarray]], discount: float, rate: float):
         words = np.concatenate([h for _, h in docs] or [np.zeros(0, U64)])
         first = np.concatenate([[0], np.cumsum([len(h) for _, h in docs])]).astype(np.int64)
         of = np.repeat(np.array([c for c, _ in docs], np.int8), np.diff(first))
@@ -101,18 +101,17 @@ class Model:
         self.unigram = types
         self.types = np.maximum(1, types.sums.sum(axis=1))
         self.spilled = np.minimum(types.sums, discount).sum(axis=1)
+        rest = SHARED_DISCOUNT * len(types.keys) / max(1, types.sums.sum())
+        self.unseen = rest / (len(types.keys) + 1)
+        self.shared = Table(types.keys, np.zeros(len(types.keys), np.int8), (1 - rest) * (np.array([1 - rate, rate]) / self.types @ types.sums))
         types.sums = np.maximum(types.sums - np.float32(discount), 0)
-        _, once = np.unique(pair, return_index=True)
-        self.shared = Table(words[once], np.zeros(len(once), np.int8), np.ones(len(once)))
-        self.shared_types, self.vocabulary = max(1, len(once)), len(self.shared.keys)
 
     def ratios(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log P(word | word before, toxic) - log P(word | word before, ordinary) of every word."""
         if not len(h):
             return np.zeros(0)
         pair, before = _pairs(h, first)
-        d = SHARED_DISCOUNT
-        base = (np.maximum(self.shared.get(h)[0] - d, 0) + d * self.vocabulary / (self.vocabulary + 1)) / self.shared_types
+        base = self.shared.get(h)[0] + self.unseen
         own = (self.unigram.get(h) + np.maximum(self.spilled, 1)[:, None] * base) / self.types[:, None]
         context = self.context.get(before)
         whole = (self.pairs.get(pair) + self.follow.get(before) * own) / np.maximum(context, 1)
@@ -172,10 +171,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_docs: i
     n, seen = np.array([n.get(0, 0), n.get(1, 0)]), np.bincount(y, minlength=2)
     if not seen.all():
         rate = (n[1] + 1) / (n.sum() + 2)
-        return Model(counted, DISCOUNTS[0]), np.array([np.log(rate / (1 - rate)), *[0.0] * (3 + len(STRETCHES))])
+        return Model(counted, DISCOUNTS[0], 0.5), np.array([np.log(rate / (1 - rate)), *[0.0] * (3 + len(STRETCHES))])
     best, weight = None, (n / seen)[y]
     for discount in DISCOUNTS:
-        model = Model(counted, discount)
+        model = Model(counted, discount, n[1] / n.sum())
         x = np.concatenate([model.features(texts[lo:hi]) for lo, hi in bw.blocks(bw.text_buffers(texts)[1])])
         w = logistic(x, y, weight)
         loss = (weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w))).sum()
