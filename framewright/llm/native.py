@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The six ASCII characters between words, and all others, in a regular expression.
@@ -17,3 +17,8 @@ def words_of(text: Column) -> Column:
 def word_chars(text: Column) -> Column:
     """Code points that are no white space."""
     return F.char_length(text) - F.regexp_count(text, F.lit(SPACE))
+
+
+def computed(df: DataFrame) -> DataFrame:
+    """df, such that what uses its columns can't be moved below them: a filter on one would compute it anew."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))

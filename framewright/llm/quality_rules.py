@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.native import NO_SPACE, SPACE, word_chars, words_of
+from framewright.llm.native import NO_SPACE, SPACE, computed, word_chars, words_of
 
 SYMBOLS = "[#*$%&|<>]"
 #: Parts of lines that belong to a page, not to its text.
@@ -73,7 +73,7 @@ def quality_rules(docs: DataFrame, text: str = "text", least_words: int = 20, mo
     held = word_chars(F.array_join(F.array_distinct("good"), "\n"))
     x = x.withColumns({"base_failed": failed, "held": held})
     kept = ~F.col("base_failed") & (100 * F.col("held") >= least_kept * F.col("word_chars"))
-    return x.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.array_join("good", "\n").alias("clean_text"))
+    return computed(x.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.array_join("good", "\n").alias("clean_text")))
 
 
 def clean(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
