@@ -1,4 +1,6 @@
 """All queries of the engine itself, by name, and the same in SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from framewright.plans import queries
+
+QUERIES = dict(queries.QUERIES)
+ORACLE_SQL = dict(queries.ORACLE_SQL)
