@@ -103,8 +103,9 @@ def _block(keys: np.ndarray, n: int) -> np.ndarray:
 class Keys:
     """Distinct words and grams of some texts, how often they occur in those to learn from, and by block."""
 
-    def __init__(self, n_blocks: int):
-        self.n_blocks, self.parts = n_blocks, {"w": ([], [], []), "g": ([], [], [])}
+    def __init__(self, n_blocks: int, counted: str = ""):
+        """counted: of which of words (w) and grams (g) occurrences are counted."""
+        self.n_blocks, self.counted, self.parts = n_blocks, counted, {"w": ([], [], []), "g": ([], [], [])}
 
     def add(self, column: pa.Array, train: np.ndarray) -> None:
         raw, offsets = bw.text_buffers(column)
@@ -113,8 +114,12 @@ class Keys:
             g, gf = streams(column, lo, hi, raw, offsets)
             for of, x, first in (("w", h, wf), ("g", g, gf)):
                 every, keys, counts = self.parts[of]
-                every.append(_unique([x]))
-                k, n = _count(x[np.repeat(train[lo:hi], np.diff(first))])
+                if of not in self.counted:
+                    every.append(_unique([x]))
+                    continue
+                learned = np.repeat(train[lo:hi], np.diff(first))
+                k, n = _count(x[learned])
+                every.append(_unique([k, x[~learned]]))
                 keys.append(k)
                 counts.append(n)
 
@@ -128,13 +133,13 @@ class Keys:
         order = np.argsort(block, kind="stable")
         return every, count, order, bw.slices(block[order], self.n_blocks)
 
-    def packed(self, with_counts: bool) -> dict[str, list]:
+    def packed(self) -> dict[str, list]:
         out: dict[str, list] = {"block": list(range(self.n_blocks))}
         for of in ("w", "g"):
             every, count, order, ends = self.sorted(of)
             cuts = [order[ends[i] : ends[i + 1]] for i in range(self.n_blocks)]
             out[of] = [_planes(every[c]) for c in cuts]
-            out[f"{of}n"] = [_planes(count[c]) if with_counts or of == "w" else None for c in cuts]
+            out[f"{of}n"] = [_planes(count[c]) if of in self.counted else None for c in cuts]
         return out
 
 
@@ -237,7 +242,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chu
     rows = docs.select(train, F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, have = Keys(n_blocks), 0
+        held, have = Keys(n_blocks, "wg"), 0
         for batch in batches:
             _, offsets = bw.text_buffers(batch.column(1))
             flags = batch.column(0).to_numpy(zero_copy_only=False)
@@ -245,10 +250,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chu
                 held.add(batch.column(1).slice(lo, hi - lo), flags[lo:hi])
                 have += offsets[hi] - offsets[lo] + hi - lo
                 if have > chunk_bytes:
-                    yield pa.RecordBatch.from_pydict(_table(held.packed(True)))
-                    held, have = Keys(n_blocks), 0
+                    yield pa.RecordBatch.from_pydict(_table(held.packed()))
+                    held, have = Keys(n_blocks, "wg"), 0
         if have:
-            yield pa.RecordBatch.from_pydict(_table(held.packed(True)))
+            yield pa.RecordBatch.from_pydict(_table(held.packed()))
 
     def add_up(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
@@ -300,10 +305,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chu
     by_chunk = base.groupBy("chunk")
 
     def ask(table: pa.Table) -> pa.Table:
-        held = Keys(n_blocks)
+        held = Keys(n_blocks, "w")
         for batch in table.to_batches():
             held.add(batch.column("text"), batch.column("train").to_numpy(zero_copy_only=False))
-        return pa.table(_table(held.packed(False), chunk=pa.array([table["chunk"][0].as_py()] * n_blocks, pa.int32())))
+        return pa.table(_table(held.packed(), chunk=pa.array([table["chunk"][0].as_py()] * n_blocks, pa.int32())))
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         words = [_unplanes(x.as_py(), U64) for x in asked["w"]]
