@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from framewright.functions import headers, scalar
 from framewright.operators import build, complete, filters, metrics, ordered, schedule, transfer
 from framewright.plans import views as v
+from framewright.sources import generator, sidecar, tf_files
+from framewright.streaming import builders, completer, replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -656,3 +658,56 @@ def build_requests(s, d):
 def drop_fan_out(s, d):
     x = complete.status(v.stf_info(s, d), N).where("n_senders < 4")
     return x.select("tf_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(N - 1).cast("bigint"))).alias("sender"), F.lit("drop").alias("action"))
+
+
+# streams and files
+
+
+@query(_emission("stf_info", "seq") + f", z as (select tf_id, sum(stf_size)::bigint tf_size from stf_info group by tf_id) select tf_id, n_senders, tf_size, emit_seq, n_senders = {N} complete from ids join e using (tf_id) join z using (tf_id) where emit_seq is not null")
+def stream_complete(s, d):
+    info = v.stf_info(s, d).select(F.lit(1).cast("bigint").alias("run"), "seq", "tf_id", "sender", "stf_size")
+    out = replay.replayed(info, "seq", lambda x: completer.completed(x, N, 3_600_000))
+    return out.where("outcome = 'built'").select("tf_id", "n_senders", "tf_size", "emit_seq", "complete")
+
+
+@query(", q as (select *, (row_number() over (partition by subspec order by seq) - 1) // 16 w from hbf) select subspec, w \"window\", count(*) n_pages, sum(size)::bigint size, min(seq) first_seq, max(seq) last_seq from q group by subspec, w having count(*) = 16")
+def stream_topology(s, d):
+    pages = v.hbf(s, d).select("subspec", "seq", "size")
+    return replay.replayed(pages, "seq", lambda x: builders.topology_frames(x, 16, 3_600_000))
+
+
+@query(", l as (select tf_id, sender, count(*) n_parts, sum(size)::bigint size from hbf group by all), m as (select sender, max(tf_id) t from hbf group by sender) select sender, tf_id, n_parts, size, 'next' closed_by from l join m using (sender) where tf_id < t")
+def stream_build(s, d):
+    pages = v.hbf(s, d).select("sender", "seq", "tf_id", "size", F.lit(False).alias("last_tf"))
+    return replay.replayed(pages, "seq", lambda x: builders.sub_time_frames(x, 3_600_000))
+
+
+@query(", x as (select distinct tf_id, sender, equipment, line, size, subspec from tf_part where tf_id % 50 = 1) select tf_id, equipment, count(*) n_parts, sum(size % 64)::bigint bytes from x group by all")
+def tf_roundtrip(s, d):
+    x = v.tf_part(s, d).where("tf_id % 50 = 1").distinct()
+    order = Window.partitionBy("tf_id", "equipment").orderBy("sender", "line", "subspec", "size")
+    x = x.select("tf_id", F.lit(1).cast("bigint").alias("run"), (F.col("tf_id") * 256).alias("first_orbit"), F.col("equipment").alias("description"), F.lit("TST").alias("origin"), F.lit(0).cast("bigint").alias("subspec"), F.row_number().over(order).cast("bigint").alias("message"), F.lit(0).alias("split_index"), F.expr("cast(repeat('x', cast(size % 64 as int)) as binary)").alias("payload"))
+    at = replay.folder(s).removeprefix("file:").replace("///", "/")
+    tf_files.write_tf(x, at, max_frames=20)
+    return tf_files.read_tf(s, at).groupBy("tf_id", F.col("description").alias("equipment")).agg(F.count(F.lit(1)).alias("n_parts"), F.sum(F.octet_length("payload")).alias("bytes"))
+
+
+@query(", x as (select tf_id, seq data_idx, seq * 10 header_at, size from hbf) select tf_id, data_idx, rtrim(rpad(tf_id::varchar, 10, ' ') || ' ' || rpad('0', 10, ' ') || ' ' || rpad('100', 9, ' ') || ' ' || rpad('TPC', 6, ' ') || ' ' || rpad('RAWDATA', 9, ' ') || ' ' || rpad('0x' || lpad(lower(hex(size)), 8, '0'), 10, ' ') || ' ' || rpad(data_idx::varchar, 8, ' ') || ' ' || rpad(header_at::varchar, 10, ' ') || ' ' || rpad('96', 8, ' ') || ' ' || rpad((header_at + 96)::varchar, 10, ' ') || ' ' || rpad(size::varchar, 9, ' ') || ' ' || rpad(size::varchar, 12, ' ') || ' ' || rpad('1', 12, ' ') || ' ' || rpad('7', 10, ' ') || ' ' || rpad((tf_id * 256)::varchar, 12, ' ') || ' ' || rpad('0', 10, ' ') || ' ' || '0x00000010') line from x")
+def sidecar_lines(s, d):
+    one = lambda x: F.lit(x).cast("bigint")
+    x = v.hbf(s, d).select(
+        "tf_id", one(0).alias("tf_offset"), one(100).alias("tf_size"), F.lit("TPC").alias("origin"), F.lit("RAWDATA").alias("desc"), F.col("size").alias("subspec"), F.col("seq").alias("data_idx"), (F.col("seq") * 10).alias("hdr_off"), one(96).alias("hdr_size"), (F.col("seq") * 10 + 96).alias("data_off"), F.col("size").alias("data_size"),
+        F.col("size").alias("rdh_mem_size"), one(1).alias("rdh_stop_bit"), one(7).alias("rdh_fee_id"), (F.col("tf_id") * 256).alias("rdh_orbit"), one(0).alias("rdh_bc"), one(16).alias("rdh_trg"),
+    )
+    return sidecar.lines(x)
+
+
+@query("select 2 as version, t timeframe_id, l link_id, case when (t * 31 + l * 17) % 10 < 7 then 3 else 4 end system_id, t * 256 orbit_first, (t + 1) * 256 - 1 orbit_last, l = 1 last_tf from range(500) a(t), range(2) b(l) where (t * 7919 + 13) % 67 <> 0")
+def generated_messages(s, d):
+    return generator.messages(s, 500).select("version", "timeframe_id", "link_id", "system_id", "orbit_first", "orbit_last", "last_tf")
+
+
+@query(", t as (select tf_id, sum(size)::bigint size from hbf group by tf_id) select tf_id + r * 1000 tf_id, r round, size from t, range(3) x(r)")
+def replayed_frames(s, d):
+    x = v.hbf(s, d).groupBy("tf_id").agg(F.sum("size").alias("size"))
+    return generator.replayed(x, 3, 1000).select("tf_id", F.col("round").cast("bigint").alias("round"), "size")
