@@ -42,18 +42,18 @@ class Completer:
             return
         frame[sender] = size
         full = tf if len(frame) == self.senders else None
-        for below in sorted((t for t in self.open if t < tf), reverse=True):
-            if sender in self.open[below]:
-                break
-            self.open[below][sender] = None
-            if len(self.open[below]) == self.senders:
-                full = below if full is None else max(full, below)
-        if new and full is None:
-            for s, t in self.last.items():
-                if t > tf:
-                    frame.setdefault(s, None)
-            if len(frame) == self.senders:
-                full = tf
+        if full is None:
+            for below in sorted((t for t in self.open if t < tf), reverse=True):
+                if sender in self.open[below]:
+                    break
+                self.open[below][sender] = None
+                if len(self.open[below]) == self.senders:
+                    full = below if full is None else max(full, below)
+            if new:
+                for s, t in self.last.items():
+                    if t > tf:
+                        frame.setdefault(s, None)
+                full = tf if len(frame) == self.senders else full
         if full is not None:
             yield from self.give_out(full, seq)
 
