@@ -12,20 +12,44 @@ from pyspark.sql import functions as F
 PART_ROWS, MOST_PARTS = 100_000, 1024
 
 
+def _rest(n: int) -> float:
+    """log n! less Stirling's approximation."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n / n) / n / n) / n / n) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x, without loss where both are near."""
+    if abs(x - mean) >= 0.1 * (x + mean):
+        return x * math.log(x / mean) + mean - x
+    v = (x - mean) / (x + mean)
+    s, e, j = (x - mean) * v, 2 * x * v, 1
+    while True:
+        e *= v * v
+        j += 2
+        if s + e / j == s:
+            return s
+        s += e / j
+
+
+def _log_binomial(k: int, n: int, p: float) -> float:
+    if k in (0, n):
+        return n * (math.log(p) if k else math.log1p(-p))
+    return _rest(n) - _rest(k) - _rest(n - k) - _deviance(k, n * p) - _deviance(n - k, n * (1 - p)) + 0.5 * math.log(n / (2 * math.pi * k * (n - k)))
+
+
 def hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
-    """How many of `drawn` balls are good: exact inversion outwards from the mode, about one step a standard deviation."""
+    """How many of `drawn` balls are good: inversion outwards from the mode, about one step a standard deviation, whatever the numbers."""
     lo, hi = max(0, drawn - bad), min(good, drawn)
     if lo == hi:
         return lo
     mode = min(hi, max(lo, (drawn + 1) * (good + 1) // (good + bad + 2)))
-
-    def log_choose(n: int, k: int) -> float:
-        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-
-    up = down = math.exp(log_choose(good, mode) + log_choose(bad, drawn - mode) - log_choose(good + bad, drawn))
+    p = drawn / (good + bad)
+    up = down = math.exp(_log_binomial(mode, good, p) + _log_binomial(drawn - mode, bad, p) - _log_binomial(drawn, good + bad, p))
     a = b = mode
     u = rng.random() - up
-    while u > 0 and (a > lo or b < hi):
+    while u > 0 and (a > lo or b < hi) and up + down > 1e-18:
         if b < hi:
             up *= (good - b) * (drawn - b) / ((b + 1) * (bad - drawn + b + 1))
             b += 1
