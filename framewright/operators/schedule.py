@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.functions.scalar import id_list, json_map
 from framewright.operators.ordered import ranked
 
 
@@ -102,3 +103,34 @@ def tokens(requests: DataFrame, n_senders: int, per_sender: int = 2) -> DataFram
             yield pd.DataFrame(out, columns=["tick", "worker", "wanted", "token"])
 
     return requests.repartition("tick").sortWithinPartitions("tick", "worker").mapInPandas(fold, "tick long, worker long, wanted long, token long")
+
+
+def keep_within(stfs: DataFrame, room: int, target_percent: int = 95) -> DataFrame:
+    """What stays in each sender's buffer when it is over `room`: the lowest ids up to the target, the highest are given up first."""
+    w = Window.partitionBy("sender").orderBy("tf_id").rowsBetween(Window.unboundedPreceding, 0)
+    x = stfs.withColumns({"held": F.sum("stf_size").over(w), "total": F.sum("stf_size").over(Window.partitionBy("sender"))})
+    return x.withColumn("kept", (F.col("total") <= room) | (F.col("held") * 100 <= room * target_percent)).drop("total")
+
+
+def next_request(requests: DataFrame) -> DataFrame:
+    """For each frame the sender to ask next: the largest (linear), and one drawn in proportion to size by a hash of the frame (weighted)."""
+    w = Window.partitionBy("tf_id").orderBy("sender").rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy("tf_id")
+    x = requests.withColumns({"upto": F.sum("stf_size").over(w), "total": F.sum("stf_size").over(every)})
+    at = F.pmod(F.col("tf_id") * 7919 + 104729, F.greatest(F.col("total"), F.lit(1)))
+    x = x.withColumn("hit", (at < F.col("upto")) & (at >= F.col("upto") - F.col("stf_size")))
+    return x.groupBy("tf_id").agg(F.max_by("sender", F.struct("stf_size", "sender")).alias("linear"), F.min(F.when(F.col("hit"), F.col("sender"))).alias("weighted"))
+
+
+def worker_updates(updates: DataFrame) -> DataFrame:
+    """What is known of each worker after its updates: refreshed when it has built all it was given, else the least of what is reported and estimated; gone if its last state is leaving."""
+    last = updates.groupBy("worker").agg(F.max_by(F.struct("state", "last_built", "last_scheduled", "free_memory", "estimated"), "seq").alias("u"))
+    free = F.when(F.col("u.last_built") == F.col("u.last_scheduled"), F.col("u.free_memory")).otherwise(F.least("u.free_memory", "u.estimated"))
+    return last.select("worker", (F.col("u.state") == "running").alias("ready"), free.alias("free"))
+
+
+def partition_requests(requests: DataFrame) -> DataFrame:
+    """Requests with their senders as a sorted list and `valid`: an id, a time, and senders that are named once."""
+    ids = id_list(F.col("senders"))
+    ok = (F.length(F.trim("partition_id")) > 0) & F.col("created").rlike(r"^\d+$") & ids.isNotNull()
+    return requests.select("seq", "partition_id", F.array_join(ids, ",").alias("sender_list"), F.size(json_map(F.col("parameters"))).alias("n_parameters"), F.coalesce(ok, F.lit(False)).alias("valid"))

@@ -711,3 +711,69 @@ def generated_messages(s, d):
 def replayed_frames(s, d):
     x = v.hbf(s, d).groupBy("tf_id").agg(F.sum("size").alias("size"))
     return generator.replayed(x, 3, 1000).select("tf_id", F.col("round").cast("bigint").alias("round"), "size")
+
+
+# more decisions
+
+
+@query(", x as (select sender, tf_id, sum(stf_size) over (partition by sender order by tf_id)::bigint held, sum(stf_size) over (partition by sender) total from stf_info) select sender, tf_id, held, total <= 1000000 or held * 100 <= 1000000 * 95 kept from x")
+def keep_buffer(s, d):
+    return schedule.keep_within(v.stf_info(s, d), 1_000_000).select("sender", "tf_id", "held", "kept")
+
+
+@query(", x as (select tf_id, sender, stf_size, sum(stf_size) over (partition by tf_id order by sender) u, greatest(sum(stf_size) over (partition by tf_id), 1) t from stf_info) select tf_id, arg_max(sender, struct_pack(a := stf_size, b := sender)) linear, min(sender) filter ((tf_id * 7919 + 104729) % t < u and (tf_id * 7919 + 104729) % t >= u - stf_size) weighted from x group by tf_id")
+def next_requests(s, d):
+    return schedule.next_request(v.stf_info(s, d))
+
+
+@query(", x as (select tf_id % 20 worker, seq, case when seq % 50 = 49 then 'leaving' else 'running' end state, seq % 3 last_built, seq % 2 last_scheduled, buffer_used free_memory, stf_size estimated from stf_info), l as (select worker, arg_max(state, seq) s, arg_max(last_built, seq) b, arg_max(last_scheduled, seq) c, arg_max(free_memory, seq) f, arg_max(estimated, seq) e from x group by worker) select worker, s = 'running' ready, case when b = c then f else least(f, e) end free from l")
+def worker_updates(s, d):
+    q = F.col("seq")
+    x = v.stf_info(s, d).select((F.col("tf_id") % 20).alias("worker"), "seq", F.when(q % 50 == 49, "leaving").otherwise("running").alias("state"), (q % 3).alias("last_built"), (q % 2).alias("last_scheduled"), F.col("buffer_used").alias("free_memory"), F.col("stf_size").alias("estimated"))
+    return schedule.worker_updates(x)
+
+
+@query(" select o_orderkey * 10 + o_custkey % 10 seq, case when o_custkey % 9 = 0 then ' ' else 'p' || o_orderkey end partition_id, case when o_custkey % 4 = 0 then null when o_custkey % 4 = 1 then 'a' else 'a,b' end sender_list, 1 n_parameters, o_custkey % 9 <> 0 and o_custkey % 5 <> 0 and o_custkey % 4 <> 0 valid from orders")
+def partition_requests(s, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    x = v.table(s, d, "orders").select((k * 10 + c % 10).alias("seq"), F.when(c % 9 == 0, " ").otherwise(F.concat(F.lit("p"), k.cast("string"))).alias("partition_id"), F.when(c % 5 == 0, "now").otherwise("1700000000").alias("created"), F.when(c % 4 == 0, "a;a").when(c % 4 == 1, " a ").otherwise("b,a").alias("senders"), F.lit('{"n":"1"}').alias("parameters"))
+    return schedule.partition_requests(x)
+
+
+@query(", x as (select tf_id, min(seq) seq, min(ts) at_ from hbf group by tf_id) select tf_id, count(*) over (order by seq) built, count(*) over (order by seq) / greatest(1, date_diff('hour', timestamp '2024-01-01', at_)) an_hour from x")
+def output_rate(s, d):
+    x = v.hbf(s, d).groupBy("tf_id").agg(F.min("seq").alias("seq"), F.min("ts").alias("at"))
+    x = ordered.running(x, "built", "count", F.lit(1), "seq")
+    hours = F.greatest(F.lit(1), F.expr("timestampdiff(HOUR, timestamp_ntz'2024-01-01 00:00:00', at)"))
+    return x.select("tf_id", "built", (F.col("built") / hours).alias("an_hour"))
+
+
+@query(" select tf_id, sender, min(coalesce(nullif(case when seq % 4 = 0 then 0 else tf_id * 256 end, 0), tf_id * 256 + trigger)) first_orbit from hbf group by all")
+def first_orbit(s, d):
+    given = F.when(F.col("seq") % 4 == 0, 0).otherwise(F.col("tf_id") * 256)
+    return v.hbf(s, d).groupBy("tf_id", "sender").agg(F.min(F.coalesce(F.nullif(given, F.lit(0)), F.col("tf_id") * 256 + F.col("trigger"))).alias("first_orbit"))
+
+
+@query(", e as (select tf_id, sender, seq from stf_info union all select tf_id, sender, seq + 5 from stf_info where seq % 6 = 0) select tf_id, sender, count(*) n, min(seq) recorded from e group by all")
+def events_once(s, d):
+    x = v.stf_info(s, d).select("tf_id", "sender", "seq")
+    return x.unionByName(x.where("seq % 6 = 0").withColumn("seq", F.col("seq") + 5)).groupBy("tf_id", "sender").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("recorded"))
+
+
+@query(f", g as (select *, count(distinct case when sender < 8 then sender end) over () = {N} and seq >= 20 running from stf_info) select seq, tf_id, sender from g where running")
+def running_gate(s, d):
+    x = v.stf_info(s, d)
+    ready = x.agg(F.countDistinct("sender") == N).scalar()
+    return x.where(ready & (F.col("seq") >= 20)).select("seq", "tf_id", "sender")
+
+
+@query(", x as (select sender, arg_max(seq % 7 <> 3, seq) ready from stf_info group by sender) select count(*) filter (ready) n_ready, count(*) n, count(*) filter (ready) = 8 healthy from x")
+def sender_health(s, d):
+    x = v.stf_info(s, d).groupBy("sender").agg(F.max_by(F.col("seq") % 7 != 3, "seq").alias("ready"))
+    n = F.count(F.when(F.col("ready"), 1))
+    return x.groupBy().agg(n.alias("n_ready"), F.count(F.lit(1)).alias("n"), (n == N).alias("healthy"))
+
+
+@query(" select c_nationkey \"partition\", min(c_custkey) scheduler from customer group by c_nationkey")
+def lowest_scheduler(s, d):
+    return v.table(s, d, "customer").groupBy(F.col("c_nationkey").alias("partition")).agg(F.min("c_custkey").alias("scheduler"))
