@@ -482,11 +482,11 @@ def tunables(s, d):
     return v.table(s, d, "events").select(i.alias("seq"), scalar.bool_param(b, True).alias("flag"), scalar.uint_param(u, 128).alias("number"), scalar.run_number(r).alias("run"))
 
 
-@query(" select event_id seq, case when event_id % 10 in (3, 7) then null else case when event_id % 10 > 7 then 'flp' || event_id % 10 else 'flp' || event_id % 10 || ',flpz' end end ids from events")
+@query(" select event_id seq, case when event_id % 10 in (3, 7) then null else case when event_id % 10 > 7 then 'src' || event_id % 10 else 'src' || event_id % 10 || ',srcz' end end ids from events")
 def id_list(s, d):
     i = F.col("event_id") % 10
-    one = F.concat(F.lit("flp"), i.cast("string"))
-    text = F.when(i == 3, " ;, ").when(i == 7, F.concat(one, F.lit(";"), one)).when(i > 7, F.concat(F.lit(" "), one, F.lit(";"))).otherwise(F.concat(F.lit("flpz;\n"), one))
+    one = F.concat(F.lit("src"), i.cast("string"))
+    text = F.when(i == 3, " ;, ").when(i == 7, F.concat(one, F.lit(";"), one)).when(i > 7, F.concat(F.lit(" "), one, F.lit(";"))).otherwise(F.concat(F.lit("srcz;\n"), one))
     return v.table(s, d, "events").select(F.col("event_id").alias("seq"), F.array_join(scalar.id_list(text), ",").alias("ids"))
 
 

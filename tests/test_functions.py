@@ -41,7 +41,7 @@ def test_parameters(spark):
     assert one(spark, [None, "true", "TRUE", "1", "yes", ""], lambda x: scalar.bool_param(x, True)) == [True, True, True, True, False, False]
     assert one(spark, [None, "5", "-5", "x", " 7 ", ""], lambda x: scalar.uint_param(x, 128)) == [128, 5, 128, 128, 7, 128]
     assert one(spark, ["  0012 ", "", "x1", "0", None], scalar.run_number) == [12, -1, -1, 0, -1]
-    assert one(spark, ["b;a", "a,a", " ;", "flp0;flp1;flp2", None], scalar.id_list) == [["a", "b"], None, None, ["flp0", "flp1", "flp2"], None]
+    assert one(spark, ["b;a", "a,a", " ;", "src0;src1;src2", None], scalar.id_list) == [["a", "b"], None, None, ["src0", "src1", "src2"], None]
     assert one(spark, ["tpc", " ITS", "xyz", "nil", ""], scalar.origin_of_option) == ["TPC", "ITS", "ANY", "NIL", "ANY"]
 
 
