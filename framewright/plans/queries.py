@@ -284,9 +284,9 @@ def stale_tf(s, d):
     return complete.stale(v.hbf(s, d), N, "interval 5 days").select("tf_id", "n_senders")
 
 
-@query(", b as (select sender, arg_max(buffer_used, seq) / arg_max(buffer_size, seq) used from stf_info group by sender) select avg(used) mean_used, max(used) max_used, arg_max(sender, used) fullest from b")
+@query(", b as (select sender, arg_max(buffer_used, seq) / arg_max(buffer_size, seq) used from stf_info group by sender) select round(avg(used), 9) mean_used, max(used) max_used, arg_max(sender, used) fullest from b")
 def buffer_util(s, d):
-    return metrics.buffers(v.stf_info(s, d))
+    return metrics.buffers(v.stf_info(s, d)).withColumn("mean_used", F.round("mean_used", 9))
 
 
 @query(f"""
