@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from framewright import catalog
 from framewright.operators import build, complete, ordered, transfer
+from framewright.plans import views as v
 from framewright.sources import sidecar, tf_files, tf_format
 from framewright.streaming import builders, replay
 from framewright.streaming.completer import Completer
@@ -109,6 +111,13 @@ def test_files_there_and_back(spark, tmp_path):
     assert {r.tf_id for r in own.where("tf_id >= 7").collect()} == {7, 8}
 
 
+def test_roundtrip_of_every_part(spark, sf):
+    parts = v.tf_part(spark, sf).distinct()
+    want = parts.groupBy("tf_id", "equipment").agg(F.count(F.lit(1)).alias("n_parts"), F.sum("size").alias("bytes"))
+    got = catalog.QUERIES["tf_roundtrip_whole"](spark, sf)
+    assert sorted(map(tuple, got.drop("digest").collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_sidecar(spark):
     values = {c.lower(): 1 for c in sidecar.WIDTHS} | {"origin": "TPC", "desc": "CLUSTERS"}
     line = sidecar.lines(spark.createDataFrame([values])).first().line
