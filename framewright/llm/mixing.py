@@ -11,7 +11,7 @@ from framewright.llm.native import words_of
 WEIGHTS = (5, 2, 1)
 #: A source is passed over so often at most.
 MOST_PASSES = 3
-#: Slots of the schedule, about; and the fewest words of a block.
+#: Words of a block, at every size of the input. In SQL blocks grow beyond SLOTS slots, so it holds up to SLOTS * (LEAST_BLOCK + 1) words.
 SLOTS, LEAST_BLOCK = 1 << 20, 16
 #: 2**31 divided by the golden ratio, odd: multiples of it modulo 2**31 are evenly spread.
 GOLDEN, GOLDEN_BITS = 1327217885, 31
@@ -63,7 +63,7 @@ def _placed(docs: DataFrame, seed: str, id_col: str, source: str, text: str):
     held = rows.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     shares = targets(held.groupBy("key").agg(F.sum("words").alias("source_size")))
     total = (held.agg(F.sum("words")).first()[0]) or 0
-    block = max(LEAST_BLOCK, total // SLOTS)
+    block = LEAST_BLOCK
     slots = schedule(spark, shares, total, block)
     taken = slots.groupBy("key").agg((F.count(F.lit(1)) * block).alias("scheduled"))
     base = F.coalesce(F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -80,7 +80,9 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", source: str
     Sources share the total of all words by weight (see targets). Slot i of the schedule falls to the source in whose
     share the i-th golden-ratio point lies. A source's documents are shuffled by a seeded hash into one stream, cut
     into blocks of equal words; its j-th slot takes block j, and the stream starts again at its end, three times
-    at most. Places in the stream are sums over buckets of the hash, so that no source is ever in one task.
+    at most. Places in the stream are sums over buckets of the hash, so that no source is ever in one task. A block has
+    LEAST_BLOCK words at every size, so what a source takes is some blocks from its target (ten in a replay of 5 G words), however large the others are;
+    beyond 2**GOLDEN_BITS slots (34 G words) points come again, and a source of less than that share can get none.
 
     Returns (row struct<all columns>, doc_id, size, source_size, target, taken, pieces array<struct<pass, words>>). Null text has
     size 0 and takes nothing; null sources form one source, the last; null and repeated ids are shuffled like others.

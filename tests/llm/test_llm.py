@@ -385,6 +385,14 @@ def test_mixing(docs, seed):
     assert sum(len(words(r.text)) for r in out) == sum(taken.values()) and all(r.n_chars == len(r.text) for r in out)
 
 
+def test_mixing_small_sources_of_a_large_corpus(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 1 << 8)  # as if the corpus were 4,096 times as large
+    rows = [(i, "y " * 2000, "large") for i in range(200)] + [(1000 + i, "z " * 100, f"s{i:02}") for i in range(40)]
+    got = mixing.mix(docs(rows)).collect()
+    small = {r.doc_id: r for r in got if r.doc_id >= 1000}
+    assert all(abs(r.taken - r.target) <= 4 * mixing.LEAST_BLOCK for r in small.values()) and len(small) == 40
+
+
 def test_mixing_hard(hard, empty):
     got = mixing.mix(hard).collect()
     assert len(got) == hard.count() and all(0 <= r.taken <= 3 * r["size"] for r in got)
