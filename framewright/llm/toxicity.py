@@ -23,6 +23,8 @@ MOST_RATIO = 4.0
 STRETCHES = (1, 3, 20)
 #: The fit's bounded sample of labelled rows: documents of each class, words of each class; half as many for calibrating.
 SAMPLE_DOCS, SAMPLE_WORDS = 2000, 600_000
+#: Of the sample's words one document has this share at most: 60,000 words, 30,000 for calibrating.
+SHARE = 10
 FOLDS = 5
 
 
@@ -150,12 +152,17 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 
 def _sample(docs: DataFrame, labels: DataFrame, label: str, n: int, words: int) -> list[tuple[int, bool, str]]:
-    """(class, whether to calibrate, text) of labelled documents in the order of a hash: up to n and `words` words of each class, half as many to calibrate."""
+    """(class, whether to calibrate, text) of labelled documents in the order of a hash: up to n and `words` words of each class, half as many to calibrate.
+
+    A document has one SHARE-th of the words at most: of a longer one its beginning is taken, so it can't displace the others.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     known = known.withColumn("fold", fold(F.col("doc_id"))).where("fold > 0").select("doc_id", "y", (F.col("fold") == FOLDS - 1).alias("held"), F.xxhash64(F.lit(7), "doc_id").alias("h"))
     parts = [known.where((F.col("y") == y) & (F.col("held") == held)).orderBy("h", "doc_id").limit(n // 2 if held else n) for y in (0, 1) for held in (False, True)]
     chosen = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])  # three times n rows at most
     rows = docs.join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull()).dropDuplicates(["doc_id"])
+    most = F.expr(f"if(held, {max(1, words // 2 // SHARE)}, {max(1, words // SHARE)})")
+    rows = rows.withColumn("text", F.call_function("substring_index", "text", F.lit(" "), most))
     rows = rows.select("y", "held", "h", "doc_id", "text", F.size(F.split("text", " ")).alias("w"))
     before = F.sum("w").over(Window.partitionBy("y", "held").orderBy("h", "doc_id"))
     rows = rows.withColumn("upto", before).where(F.col("upto") <= F.when(F.col("held"), words // 2).otherwise(words))
@@ -191,8 +198,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_
     and over its most toxic stretches of STRETCHES words, so a long text doesn't hide one. Both normalised ratios are
     weighted by a logistic regression on labelled rows that the models haven't seen.
 
-    Fitted on a documented sample of labelled rows (sample_docs documents and sample_words words for each class and use),
-    which bounds the model that is broadcast; scoring reads each text once, whole, without a shuffle. Only labels whose id has a
+    Fitted on a documented sample of labelled rows (sample_docs documents and sample_words words for each class and use,
+    of one document a tenth of these words at most), which bounds the model that is broadcast; scoring reads each text once, whole, without a shuffle. Only labels whose id has a
     CRC-32 not divisible by 5 are learned from. Labels that are null, neither 0 nor 1, or of unknown documents are ignored; an id with
     two labels counts as toxic. Returns (doc_id, held_out, score). Words are lowered runs of letters and digits;
     null and empty texts get one score between 0 and 1. Without labels of both classes the class rate decides.

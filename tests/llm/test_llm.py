@@ -165,6 +165,18 @@ def test_kneser_ney_adds_up():
     assert model.ratios(word("x t1"), np.array([0, 2]))[1] > 1 and model.ratios(word("x o1"), np.array([0, 2]))[1] < -0.5
 
 
+def test_toxicity_sample_with_an_oversize_document(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    use = lambda i: (i % 2, fold(i, 5) == 4)
+    order = [r.doc_id for r in labels.orderBy(F.xxhash64(F.lit(7), "doc_id")).collect() if fold(r.doc_id, 5) > 0]
+    first = {use(i): i for i in reversed(order)}  # one document over all words comes first in each class and use
+    rows = docs([(i, " ".join([f"w{i}"] * (5000 if i in first.values() else 3))) for i in range(200)])
+    got = toxicity._sample(rows, labels, "toxic", 1000, 2000)
+    assert collections.Counter((y, held) for y, held, _ in got) == collections.Counter(map(use, order))
+    assert {(y, held, len(words(t))) for y, held, t in got if len(words(t)) > 3} == {(y, held, 100 if held else 200) for y, held in first}
+    assert toxicity.fit(rows, labels, sample_docs=1000, sample_words=2000)[1][1:].any()  # not one score for all
+
+
 # 3
 
 
