@@ -225,6 +225,14 @@ def worker_admission(s, d):
     return w.join(t, (w.k == t.k) & (t.tf_size <= w.free), "left").groupBy("worker").agg(F.count("tf_id").alias("n_fit"))
 
 
+@query(", w as (select s_suppkey worker, abs(s_acctbal)::bigint * 100 free from supplier), t as (select tf_id, sum(stf_size)::bigint tf_size from stf_info group by tf_id) select worker, count(tf_id) n_fit from w left join t on t.tf_size <= w.free group by worker")
+def worker_admission_all(s, d):
+    """The same against every frame: frames counted in the order of sizes, up to each worker's free memory."""
+    w = v.table(s, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("worker"), (F.round(F.abs("s_acctbal")).cast("bigint") * 200 + 1).alias("o"), F.lit(None).cast("bigint").alias("tf_id"))
+    t = complete.status(v.stf_info(s, d), N).select(F.lit(None).cast("bigint").alias("worker"), (F.col("tf_size") * 2).cast("bigint").alias("o"), F.col("tf_id").cast("bigint").alias("tf_id"))
+    return ordered.running(w.unionByName(t), "n_fit", "count", F.col("tf_id"), "o").where("worker is not null").select("worker", "n_fit")
+
+
 @query(", x as (select tf_id, sender, seq, case when seq % 17 = 0 then '-1' else (seq % 5)::varchar end worker from stf_info) select tf_id, sender from x where worker <> '-1'")
 def drop_requests(s, d):
     x = v.stf_info(s, d).withColumn("worker", F.when(F.col("seq") % 17 == 0, "-1").otherwise((F.col("seq") % 5).cast("string")))
@@ -375,14 +383,23 @@ def zip_sockets(s, d):
 
 @query(", p as (select seq, sender, tf_id from stf_info where seq % 10 = 0), q as (select p.seq, p.sender, max(i.seq) known from p left join stf_info i on i.sender = (p.sender + 1) % 8 and i.seq <= p.seq group by all) select q.seq, q.sender, i.buffer_used from q left join stf_info i on i.seq = q.known")
 def as_of_status(s, d):
-    info = v.stf_info(s, d)
-    ask = info.where("seq % 10 = 0").select("seq", "sender", ((F.col("sender") + 1) % N).alias("of"), F.lit(1).alias("asks"), F.lit(None).cast("bigint").alias("used"))
+    return _as_of(v.stf_info(s, d), F.col("seq") % 10 == 0)
+
+
+def _as_of(info, asking):
+    ask = info.where(asking).select("seq", "sender", ((F.col("sender") + 1) % N).alias("of"), F.lit(1).alias("asks"), F.lit(None).cast("bigint").alias("used"))
     know = info.select("seq", "sender", F.col("sender").alias("of"), F.lit(0).alias("asks"), F.col("buffer_used").alias("used"))
     x = ordered.running(ask.unionByName(know).withColumn("o", F.col("seq") * 2 + F.col("asks")), "n", "count", F.col("used"), "o", ["of"])
     x = x.withColumn("buffer_used", F.max("used").over(Window.partitionBy("of", "n")))
     return x.where("asks = 1").select("seq", "sender", "buffer_used")
 
 
+@query(" select p.seq, p.sender, i.buffer_used from stf_info p asof left join stf_info i on i.sender = (p.sender + 1) % 8 and p.seq >= i.seq")
+def as_of_status_all(s, d):
+    """The same for every announcement."""
+    return _as_of(v.stf_info(s, d), F.lit(True))
+
+
 @query(" select tf_id, sender, row_number() over (partition by tf_id order by stf_size, sender) - 1 place from stf_info")
 def requests_by_size(s, d):
     return schedule.by_size(v.stf_info(s, d)).select("tf_id", "sender", "place")

@@ -118,6 +118,15 @@ def test_roundtrip_of_every_part(spark, sf):
     assert sorted(map(tuple, got.drop("digest").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_every_announcement_and_frame_is_asked(spark, sf):
+    status = catalog.QUERIES["as_of_status_all"](spark, sf)
+    assert status.count() == v.stf_info(spark, sf).count()
+    sizes = [r.tf_size for r in complete.status(v.stf_info(spark, sf), v.N_SENDERS).collect()]
+    free = {r.s_suppkey: round(abs(r.s_acctbal)) * 100 for r in v.table(spark, sf, "supplier").collect()}
+    got = {r.worker: r.n_fit for r in catalog.QUERIES["worker_admission_all"](spark, sf).collect()}
+    assert got == {w: sum(x <= most for x in sizes) for w, most in free.items()}
+
+
 def test_sidecar(spark):
     values = {c.lower(): 1 for c in sidecar.WIDTHS} | {"origin": "TPC", "desc": "CLUSTERS"}
     line = sidecar.lines(spark.createDataFrame([values])).first().line
