@@ -38,7 +38,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def schedule(spark: SparkSession, shares: DataFrame, total: int, block: int) -> DataFrame:
-    """(slot, key, rank): each slot's point of the golden-ratio sequence falls into one source's share; slots are ranked in their source."""
+    """(slot, key): each slot's point of the golden-ratio sequence falls into one source's share."""
     n = -(-total // block)
     edge = Window.orderBy("key")
     upto = F.sum("target").over(edge) / F.col("total")
@@ -48,8 +48,7 @@ def schedule(spark: SparkSession, shares: DataFrame, total: int, block: int) ->
     x = x.select("*", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)))).alias("cell"))
     point = F.expr(f"((id % {1 << GOLDEN_BITS}) * {GOLDEN} % {1 << GOLDEN_BITS}) / {float(1 << GOLDEN_BITS)}D")
     slots = spark.range(n).select(F.col("id").alias("slot"), point.alias("x")).withColumn("cell", F.floor(F.col("x") * cells))
-    slots = slots.join(x, "cell").where("lo <= x and x < hi")
-    return slots.select("slot", "key", (F.row_number().over(Window.partitionBy("key").orderBy("slot")) - 1).alias("rank"))
+    return slots.join(x, "cell").where("lo <= x and x < hi").select("slot", "key")
 
 
 def _placed(docs: DataFrame, seed: str, id_col: str, source: str, text: str):
@@ -89,7 +88,7 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", source: str
     Runs agree. An empty table gives no rows.
     """
     rows, _, _ = _placed(docs, seed, id_col, source, text)
-    # slots are ranked without gaps, so what is taken of a stream is its beginning
+    # slots are ranked without gaps, so what is taken of a stream is its beginning, as long as its slots
     piece = F.transform(F.array(*map(F.lit, range(MOST_PASSES))), lambda p: F.struct(p.alias("pass"), F.greatest(F.lit(0), F.least(F.col("size"), F.col("covered") - F.col("first") - p * F.col("source_size"))).cast("long").alias("words")))
     rows = rows.withColumn("pieces", F.filter(piece, lambda x: x["words"] > 0))
     return rows.select("row", "doc_id", "size", "source_size", "target", F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"), "pieces")
@@ -98,6 +97,7 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", source: str
 def mixed_blocks(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The schedule joined with the shuffled blocks: (slot, doc_id, first_word, n_words), the order in which to write the mix."""
     rows, slots, block = _placed(docs, seed, id_col, source, text)
+    slots = slots.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("slot")) - 1)
     x = rows.where("size > 0").select("key", "doc_id", "size", "covered", F.explode(F.transform(F.array(*map(F.lit, range(MOST_PASSES))), lambda p: p * F.col("source_size") + F.col("first"))).alias("at"))
     x = x.where("at < covered").select("*", F.least(F.col("at") + F.col("size"), F.col("covered")).alias("end"))
     x = x.select("*", F.explode(F.expr(f"sequence(at div {block}, (end - 1) div {block})")).alias("rank"))

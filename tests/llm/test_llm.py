@@ -405,6 +405,12 @@ def test_mixing_small_sources_of_a_large_corpus(docs, monkeypatch):
     assert all(abs(r.taken - r.target) <= 4 * mixing.LEAST_BLOCK for r in small.values()) and len(small) == 40
 
 
+def test_mixing_slots_are_ranked_for_blocks_only(spark):
+    shares = spark.createDataFrame([("=a", 48.0, 64), ("=b", 16.0, 64)], "key string, target double, total long")
+    slots = mixing.schedule(spark, shares, 64, 16)
+    assert slots.columns == ["slot", "key"] and collections.Counter(r.key for r in slots.collect()) == {"=a": 3, "=b": 1}
+
+
 def test_mixing_hard(hard, empty):
     got = mixing.mix(hard).collect()
     assert len(got) == hard.count() and all(0 <= r.taken <= 3 * r["size"] for r in got)
