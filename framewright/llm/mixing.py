@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.native import words_of
+from framewright.llm.native import SPACE, words_of
 
 #: Weights of the sources in code point order, again and again.
 WEIGHTS = (5, 2, 1)
@@ -106,9 +106,10 @@ def mixed_blocks(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", sou
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix", text: str = "text", n_chars: str | None = "n_chars", **names: str) -> DataFrame:
-    """The mix as rows of docs: a document for each pass that takes it, cut to its first words where the mix ends within it."""
+    """The mix as rows of docs: a document for each pass that takes it, cut to its first words, line breaks kept, where the mix ends within it."""
     x = mix(docs, seed, text=text, **names).select("row", "size", F.explode("pieces").alias("piece"))
-    cut = F.array_join(F.slice(words_of(F.col("row")[text]), F.lit(1), F.col("piece.words").cast("int")), " ")
+    own = F.split(F.regexp_replace(F.col("row")[text], f"^{SPACE}+", ""), f"(?<={SPACE})(?!{SPACE})")  # words, each with the white space after it
+    cut = F.regexp_replace(F.array_join(F.slice(own, F.lit(1), F.col("piece.words").cast("int")), ""), f"{SPACE}+$", "")
     x = x.withColumn("t", F.when(F.col("piece.words") == F.col("size"), F.col("row")[text]).otherwise(cut))
     put = {text: F.col("t")} | ({n_chars: F.when(F.col("piece.words") == F.col("size"), F.col("row")[n_chars]).otherwise(F.char_length("t")).cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {})
     return x.select(*[put.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -411,6 +411,13 @@ def test_mixing_slots_are_ranked_for_blocks_only(spark):
     assert slots.columns == ["slot", "key"] and collections.Counter(r.key for r in slots.collect()) == {"=a": 3, "=b": 1}
 
 
+def test_mixing_keeps_line_breaks_of_a_cut_document(docs):
+    text = {i: " \n" + "".join(f"w{k}" + ("\n\n" if k % 3 == 0 else " \t") for k in range(50 + i)) for i in range(12)}
+    out = mixing.mixed_documents(docs([(i, t, f"s{i % 3}") for i, t in text.items()])).collect()
+    cut = [r for r in out if r.text != text[r.doc_id]]
+    assert cut and all(text[r.doc_id].lstrip().startswith(r.text) and "\n\n" in r.text and r.text == r.text.rstrip() for r in cut)
+
+
 def test_mixing_hard(hard, empty):
     got = mixing.mix(hard).collect()
     assert len(got) == hard.count() and all(0 <= r.taken <= 3 * r["size"] for r in got)
