@@ -262,9 +262,23 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = S
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs without those that are not the first, by id, of their group (see near_duplicates); the same columns."""
-    found = near_duplicates(docs, id_col=id_col, text=text, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col(id_col) == F.col("_gone"), "left_anti")
+    """One row of each group of near duplicates (see near_duplicates), the first by id, null ids last; the same columns.
+
+    Rows are told apart by a hash of id and text, so those with a null id or one id for different texts are compared like all
+    others, and of rows equal in both one is kept. Texts without words are all kept.
+    """
+    some = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(some).withColumn("_key", F.xxhash64(id_col, text))
+    found = near_duplicates(rows, id_col="_key", text=text, **options).groupBy("doc_id").agg(F.first("class_id").alias("class_id"))
+    ids = rows.groupBy("_key").agg(F.first(id_col).alias("_id"))
+    place = F.struct(F.col("_id").isNull(), "_id", "doc_id")
+    known = found.join(ids, F.col("doc_id") == F.col("_key"))
+    first = known.groupBy("class_id").agg(F.min_by("doc_id", place).alias("_first"))
+    gone = known.select("doc_id", "class_id").join(first, "class_id").where("doc_id <> _first").select(F.col("doc_id").alias("_key"))
+    kept_rows = rows.join(gone, "_key", "left_anti")
+    again = rows.groupBy("_key").count().where("count > 1").select("_key")
+    once = kept_rows.join(again, "_key", "left_anti").unionByName(kept_rows.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
+    return once.select(docs.columns).unionByName(docs.where(~some))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -492,6 +492,15 @@ def test_near_duplicates(docs, limit):
     assert got == brute_links(rows)
 
 
+def test_near_duplicates_with_null_and_repeated_ids(docs):
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"{k}{rng.randint(0, 99)}" for _ in range(60)) for k in "abc")
+    rows = [(None, a), (None, a), (7, a + " end"), (7, a), (7, a), (8, b), (8, c), (9, c), (None, None), (None, ""), (None, b + " end"), (None, "other")]
+    kept = chosen_path.drop_near_duplicates(docs(rows)).collect()
+    by = collections.Counter(next((k for k, t in (("a", a), ("b", b), ("c", c)) if (r.text or "").startswith(t)), r.text) for r in kept)
+    assert by == {"a": 1, "b": 1, "c": 1, "other": 1, "": 1, None: 1} and sorted(r.doc_id for r in kept if r.doc_id is not None) == [7, 8, 8]
+
+
 def test_near_duplicates_hard(hard, empty):
     got = [tuple(r) for r in chosen_path.near_duplicates(hard).collect()]
     assert len(got) == hard.count()
