@@ -699,6 +699,24 @@ def stream_build(s, d):
     return replay.replayed(pages, "seq", lambda x: builders.sub_time_frames(x, 3_600_000))
 
 
+@query(", q as (select *, (row_number() over (partition by subspec order by seq) - 1) // 16 w from hbf) select subspec, w \"window\", count(*) n_pages, sum(size)::bigint size, min(seq) first_seq, max(seq) last_seq from q group by subspec, w")
+def stream_topology_all(s, d):
+    """The same with each source's last page marked, so what is open at the end of the input comes too."""
+    pages = v.hbf(s, d).select("subspec", "seq", "size")
+    ends = pages.groupBy("subspec").agg(F.max("seq").alias("end"))
+    pages = pages.join(ends, "subspec").select("subspec", "seq", "size", (F.col("seq") == F.col("end")).alias("last"))
+    return replay.replayed(pages, "seq", lambda x: builders.topology_frames(x, 16, 3_600_000))
+
+
+@query(", l as (select tf_id, sender, count(*) n_parts, sum(size)::bigint size from hbf group by all), m as (select sender, max(tf_id) t from hbf group by sender) select sender, tf_id, n_parts, size, case when tf_id < t then 'next' else 'flag' end closed_by from l join m using (sender)")
+def stream_build_all(s, d):
+    """The same with each sender's last page marked by last_tf."""
+    pages = v.hbf(s, d).select("sender", "seq", "tf_id", "size")
+    ends = pages.groupBy("sender").agg(F.max("seq").alias("end"))
+    pages = pages.join(ends, "sender").select("sender", "seq", "tf_id", "size", (F.col("seq") == F.col("end")).alias("last_tf"))
+    return replay.replayed(pages, "seq", lambda x: builders.sub_time_frames(x, 3_600_000))
+
+
 @query(", x as (select distinct tf_id, sender, equipment, line, size, subspec from tf_part where tf_id % 50 = 1) select tf_id, equipment, count(*) n_parts, sum(size % 64)::bigint bytes from x group by all")
 def tf_roundtrip(s, d):
     x = v.tf_part(s, d).where("tf_id % 50 = 1").distinct()

@@ -50,7 +50,7 @@ def sub_time_frames(pages: DataFrame, timeout_ms: int = 2000) -> DataFrame:
 
 
 def topology_frames(pages: DataFrame, n: int = 128, timeout_ms: int = 500) -> DataFrame:
-    """(subspec, window, n_pages, size, first_seq, last_seq): windows of n pages of each source; what is left over comes when idle."""
+    """(subspec, window, n_pages, size, first_seq, last_seq): windows of n pages of each source; what is left over comes at a page with `last` (if there is this column) or when idle."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     columns = ["subspec", "window", "n_pages", "size", "first_seq", "last_seq"]
@@ -64,7 +64,7 @@ def topology_frames(pages: DataFrame, n: int = 128, timeout_ms: int = 500) -> Da
         else:
             for r in pd.concat(list(batches)).sort_values("seq").itertuples():
                 held = [held[0] + 1, held[1] + int(r.size), held[2], int(r.seq)] if held else [1, int(r.size), int(r.seq), int(r.seq)]
-                if held[0] == n:
+                if held[0] == n or getattr(r, "last", False):
                     out.append((key[0], window, *held))
                     window, held = window + 1, None
         state.update((pickle.dumps((window, held)),))

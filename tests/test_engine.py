@@ -133,6 +133,12 @@ def test_sidecar(spark):
     assert line.startswith("1          1          1         TPC    CLUSTERS  0x00000001 1 ") and len(sidecar.title()) > 150
 
 
+def test_streams_give_every_page(spark, sf):
+    n, size = v.hbf(spark, sf).agg(F.count(F.lit(1)), F.sum("size")).first()
+    for name, pages in (("stream_topology_all", "n_pages"), ("stream_build_all", "n_parts")):
+        assert tuple(catalog.QUERIES[name](spark, sf).agg(F.sum(pages), F.sum("size")).first()) == (n, size)
+
+
 def test_streams(spark):
     pages = spark.createDataFrame([(i % 2, i, i // 10, 5, i % 10 >= 8) for i in range(60)], "sender long, seq long, tf_id long, size long, last_tf boolean")
     got = replay.replayed(pages, "seq", lambda x: builders.sub_time_frames(x, 3_600_000), 3)
