@@ -228,7 +228,7 @@ def worker_admission(s, d):
 @query(", w as (select s_suppkey worker, abs(s_acctbal)::bigint * 100 free from supplier), t as (select tf_id, sum(stf_size)::bigint tf_size from stf_info group by tf_id) select worker, count(tf_id) n_fit from w left join t on t.tf_size <= w.free group by worker")
 def worker_admission_all(s, d):
     """The same against every frame: frames counted in the order of sizes, up to each worker's free memory."""
-    w = v.table(s, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("worker"), (F.round(F.abs("s_acctbal")).cast("bigint") * 200 + 1).alias("o"), F.lit(None).cast("bigint").alias("tf_id"))
+    w = v.table(s, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("worker"), (F.bround(F.abs("s_acctbal")).cast("bigint") * 200 + 1).alias("o"), F.lit(None).cast("bigint").alias("tf_id"))
     t = complete.status(v.stf_info(s, d), N).select(F.lit(None).cast("bigint").alias("worker"), (F.col("tf_size") * 2).cast("bigint").alias("o"), F.col("tf_id").cast("bigint").alias("tf_id"))
     return ordered.running(w.unionByName(t), "n_fit", "count", F.col("tf_id"), "o").where("worker is not null").select("worker", "n_fit")
 
