@@ -8,6 +8,8 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framewright.llm.native import numbered
+
 #: Rows of a source partition or of a part of a shard, and the most such parts.
 PART_ROWS, MOST_PARTS = 100_000, 1024
 
@@ -89,15 +91,17 @@ def shard_rows(docs: DataFrame, n_shards: int = 16, seed: int = 5, id_col: str =
     and no count over the result, as all sizes are known in advance.
 
     Returns (row struct<all columns> if carry, doc_id, size, text_crc32, shard, slot gapless from 0 in each shard). size: UTF-8
-    bytes + 1; null text counts as empty. Null ids and repeated rows are dealt like others; rows that agree in id and
-    text are interchangeable. Runs agree for a seed, whatever the partitioning. An empty table gives no rows.
+    bytes + 1; null text counts as empty. Null ids are dealt like others. Rows that agree in id and text are numbered and
+    hashed with their number, so copies scatter like other rows; among each other they are interchangeable. Rows whose hashes tie
+    are ordered by id, size, crc and number. Runs agree for a seed, whatever the partitioning. An empty table gives no rows.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     row = docs.select(*([F.struct("*").alias("row")] if carry else []), F.col(id_col).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"))
+    row = numbered(row, ("doc_id", "size", "text_crc32"))
     total = docs.count()
     n_parts = min(MOST_PARTS, max(64, math.ceil(total / part_rows)))
     cuts = math.ceil(n_parts / n_shards)
-    source = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32"), F.lit(n_parts)).cast("int")
+    source = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "copy"), F.lit(n_parts)).cast("int")
     row = row.withColumn("source", source)
     counts = dict(row.groupBy("source").count().collect())
     sources = [counts.get(i, 0) for i in range(n_parts)]
@@ -116,7 +120,7 @@ def shard_rows(docs: DataFrame, n_shards: int = 16, seed: int = 5, id_col: str =
     plan = plan.select("source", F.transform(F.split("ends", " "), lambda s: F.transform(F.split(s, ","), lambda x: x.cast("long"))).alias("ends"))
 
     def random_order(of: int, *keys: str) -> Window:
-        return Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(of), "doc_id", "text_crc32"), "doc_id", "size", "text_crc32")
+        return Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(of), "doc_id", "text_crc32", "copy"), "doc_id", "size", "text_crc32", "copy")
 
     below: Column = F.col("rank")
     row = row.withColumn("rank", F.row_number().over(random_order(seed + 1, "source")) - 1).join(F.broadcast(plan), "source")
@@ -124,7 +128,7 @@ def shard_rows(docs: DataFrame, n_shards: int = 16, seed: int = 5, id_col: str =
     row = row.withColumn("part", F.size(F.filter(F.get("ends", F.col("shard")), lambda e: e <= below))).drop("ends", "rank", "source")
     held = F.lit(total // n_shards) + F.when(F.col("shard") < total % n_shards, 1).otherwise(0)
     slot = F.expr(f"({total // n_shards} + if(shard < {total % n_shards}, 1, 0)) * part div {cuts}") if total else held
-    return row.withColumn("slot", (slot + F.row_number().over(random_order(seed + 2, "shard", "part")) - 1).cast("long")).drop("part")
+    return row.withColumn("slot", (slot + F.row_number().over(random_order(seed + 2, "shard", "part")) - 1).cast("long")).drop("part", "copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark import cloudpickle
@@ -21,6 +22,15 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, computed now and written as a table in the shared folder, of which later plans read only the columns they use."""
+    spark = df.sparkSession
+    ready(spark)
+    at = f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def shared(spark: SparkSession, x: object) -> Callable[[], object]:
     """Broadcasts x, whose size the caller has bounded, with the code of its class; the result gives x on an executor."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(x))

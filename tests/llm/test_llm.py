@@ -289,6 +289,38 @@ def test_sharding(spark, docs, hard, empty):
     assert sharding.query(spark, "/root/testdata/sf0.001").columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
 
+def test_copies_scatter(spark, docs):
+    rows = [(i, f"text {i}") for i in range(1500)] * 3 + [(None, "hot")] * 2000
+    df = docs(rows).repartition(5)
+    got = check_shards(sharding.shard_rows(df, 16), 16, len(rows))
+    assert collections.Counter((r.doc_id, r.size) for r in got) == collections.Counter((i, len(t) + 1) for i, t in rows)
+    order = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    pairs = sum(a == b is not None for a, b in zip(order, order[1:], strict=False))
+    hot = sum(a is None and b is None for a, b in zip(order, order[1:], strict=False))
+    n = len(rows)
+    assert pairs <= 10  # about 1.4 by chance
+    assert abs(hot - 2000 * 1999 / n) < 6 * math.sqrt(2000 * 1999 / n)
+    shards = np.bincount([r.shard for r in got if r.doc_id is None], minlength=16)
+    assert ((shards - 125) ** 2 / 125).sum() < 45  # 15 degrees of freedom
+    again = sharding.shard_rows(docs(rows).repartition(3), 16).collect()
+    place = lambda x: collections.Counter((r.doc_id, r.shard, r.slot) for r in x)
+    assert place(again) == place(got)
+
+
+def test_matrix_against_shuffles():
+    """Counts of a matrix are as frequent as in shuffles of all rows."""
+    rng, sources, targets = random.Random(3), [4, 3, 2], [5, 4]
+    labels = [i for i, n in enumerate(sources) for _ in range(n)]
+    drawn, shuffled, n = collections.Counter(), collections.Counter(), 20_000
+    for _ in range(n):
+        drawn[tuple(r[0] for r in sharding.communication_matrix(rng, sources, targets))] += 1
+        rng.shuffle(labels)
+        shuffled[tuple(labels[: targets[0]].count(i) for i in range(3))] += 1
+    for k in drawn.keys() | shuffled.keys():
+        p = math.prod(math.comb(m, x) for m, x in zip(sources, k, strict=True)) / math.comb(9, 5)
+        assert abs(drawn[k] / n - p) < 5 * math.sqrt(p / n) and abs(shuffled[k] / n - p) < 5 * math.sqrt(p / n)
+
+
 def test_hypergeometric_draws():
     rng = random.Random(1)
     got = collections.Counter(sharding.hypergeometric(rng, 12, 18, 10) for _ in range(20_000))
