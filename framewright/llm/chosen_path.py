@@ -53,9 +53,9 @@ def shingles(column: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.nda
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, offsets = bw.text_buffers(batch.column(1))
+            _, offsets = bw.text_buffers(batch.column(2))
             for lo, hi in bw.blocks(offsets):
-                values, first = shingles(batch.column(1).slice(lo, hi - lo), width)
+                values, first = shingles(batch.column(2).slice(lo, hi - lo), width)
                 n = np.diff(first)
                 some = np.flatnonzero(n)
                 starts = first[:-1][some]
@@ -67,7 +67,7 @@ def _sets(width: int):
                     for i in range(SAMPLES):
                         low[some, i] = (np.minimum.reduceat(values * _A[i] + _B[i], starts) >> U64(32)).astype(np.uint32).view(np.int32)
                 tokens = pa.ListArray.from_arrays(np.arange(0, (hi - lo) * SAMPLES + 1, SAMPLES, dtype=np.int32), pa.array(low.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(sig[0].view(np.int64)), pa.array(sig[1].view(np.int64)), tokens], ["doc_id", "n", "s0", "s1", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), pa.array(sig[0].view(np.int64)), pa.array(sig[1].view(np.int64)), tokens], ["doc_id", "h", "n", "s0", "s1", "tokens"])
 
     return run
 
@@ -119,47 +119,57 @@ def linked(values: np.ndarray, first: np.ndarray, at_least: Fraction) -> np.ndar
 
 def _verify(width: int, at_least: Fraction):
     def one(table: pa.Table) -> tuple[list, list, list]:
-        bucket = table["bucket"][0].as_py()
-        reps = table["rep"].to_numpy()
-        order = np.argsort(reps, kind="stable")
-        keep = order[np.concatenate([[True], reps[order][1:] != reps[order][:-1]])]
+        rep = table["rep"].combine_chunks()
+        low, high = (rep.field(k).to_numpy() for k in ("id", "s"))
+        order = np.lexsort((high, low))
+        new = np.concatenate([[True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])])
+        keep = order[new]  # ascending
         if len(keep) < 2:
             return [], [], []
-        table, reps = table.take(pa.array(keep)), reps[keep]
+        table = table.take(pa.array(keep))
         values, first = shingles(table["text"].combine_chunks(), width)
         links = linked(values, first, at_least)
         if not links.any():
             return [], [], []
-        # a pair counts in the first of the buckets that it shares
-        lists = table["buckets"].combine_chunks()
+        # a pair counts in the first of the groups that it shares; in one of blocks, where the two blocks meet
+        group = table["group"][0].as_py()
+        lists = table["groups"].combine_chunks()
         ids = lists.flatten().to_numpy()
-        owner = np.repeat(np.arange(len(reps)), np.diff(lists.offsets.to_numpy()))
-        before = ids < bucket
-        counted = links
+        owner = np.repeat(np.arange(len(keep)), np.diff(lists.offsets.to_numpy()))
+        before = ids < group
+        own, other = table["own"].to_numpy(), table["other"].to_numpy()
+        counted = links & ((own[:, None] == other[None, :]) & (other[:, None] == own[None, :]))
         if before.any():
             known, place = np.unique(ids[before], return_inverse=True)
-            y = np.zeros((len(reps), len(known)), np.float32)
+            y = np.zeros((len(keep), len(known)), np.float32)
             y[owner[before], place] = 1
-            counted = links & ~(y @ y.T > 0)
-        label = np.arange(len(reps))
+            counted &= ~(y @ y.T > 0)
+        label = np.arange(len(keep))
         while True:
-            least = np.minimum(label, np.where(links, label[None, :], len(reps)).min(axis=1))
+            least = np.minimum(label, np.where(links, label[None, :], len(keep)).min(axis=1))
             if (least == label).all():
                 break
             label = least
         weight = counted @ table["copies"].to_numpy().astype(np.int64)
-        some = np.flatnonzero((weight > 0) | (label != np.arange(len(reps))))
-        return reps[some].tolist(), reps[label[some]].tolist(), weight[some].tolist()
+        some = np.flatnonzero((weight > 0) | (label != np.arange(len(keep))))
+        reps = table["rep"].combine_chunks()
+        return reps.take(pa.array(some)).to_pylist(), reps.take(pa.array(label[some])).to_pylist(), weight[some].tolist()
+
+    kind = pa.struct([("id", pa.int64()), ("s", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rep, root, links = [], [], []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rep, kind), pa.array(root, kind), pa.array(links, pa.int64())], ["rep", "root", "links"])
+
         for table in groups(batches, "bucket"):
             for held, got in zip((rep, root, links), one(table), strict=True):
                 held += got
             if len(rep) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rep, root, links)], ["rep", "root", "links"])
+                yield out()
                 rep, root, links = [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rep, root, links)], ["rep", "root", "links"])
+        yield out()
 
     return run
 
@@ -192,20 +202,22 @@ def _children(rows: DataFrame, level: int) -> DataFrame:
 
 
 def buckets(reps: DataFrame, runs: int, limit: int = BUCKET, levels: int = LEVELS) -> DataFrame:
-    """(rep, tokens) to (bucket, rep): buckets of at most twice `limit` sets, so that similar pairs share one.
+    """(rep, tokens) to (bucket, group, own, other, rep): buckets of at most twice `limit` sets, so that similar pairs share one.
 
-    Every run splits all sets on BRANCHES sampled tokens. What falls together up to `limit` times is a bucket;
+    Every run splits all sets on BRANCHES sampled tokens. What falls together up to `limit` times is a bucket, and a group of its own;
     larger ones are split again, unless they are dense: those, and what is still too large at the last level, are
-    dealt into blocks of about `limit`, each pair of blocks a bucket, so no pair is lost. Equal buckets are kept once.
+    groups dealt into blocks of about `limit`. Each pair of blocks is a bucket, so no pair is lost: a row of block `own` goes to
+    those of `own` and every `other` block. Equal buckets are kept once.
     """
     first = [F.xxhash64(F.lit(r * BRANCHES + b), F.get("tokens", F.lit((r * BRANCHES + b) % SAMPLES))) for r in range(runs) for b in range(BRANCHES)]
     rows = reps.select("rep", F.explode(F.array(*first)).alias("bucket"))
+    none = F.lit(0).cast("long")
     out = None
     for level in range(1, levels + 1):
         size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         sized = kept(rows.join(size, "bucket"))
         lists = sized.where(F.col("m") <= limit).groupBy("bucket").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
-        lists = lists.groupBy(F.xxhash64("reps").alias("bucket")).agg(F.first("reps").alias("reps")).select("bucket", F.explode("reps").alias("rep"))
+        lists = lists.groupBy(F.xxhash64("reps").alias("bucket")).agg(F.first("reps").alias("reps")).select("bucket", F.col("bucket").alias("group"), none.alias("own"), none.alias("other"), F.explode("reps").alias("rep"))
         out = lists if out is None else out.unionByName(lists)
         large = sized.where(F.col("m") > limit)
         if large.isEmpty():
@@ -217,68 +229,85 @@ def buckets(reps: DataFrame, runs: int, limit: int = BUCKET, levels: int = LEVEL
         large = large.join(held.select("bucket", ((F.col("mean") >= DENSE) | F.lit(level == levels)).alias("dense")), "bucket")
         large = kept(large)
         n = F.ceil(F.col("m") / limit)
-        own = F.pmod(F.xxhash64(F.lit("block"), "rep"), n)
-        pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda j: F.xxhash64("bucket", F.least(own, j), F.greatest(own, j)))
-        out = out.unionByName(large.where("dense").select(F.explode(pairs).alias("bucket"), "rep"))
+        blocks = large.where("dense").select("rep", F.col("bucket").alias("group"), F.pmod(F.xxhash64(F.lit("block"), "rep"), n).alias("own"), F.explode(F.sequence(none, n - 1)).alias("other"))
+        out = out.unionByName(blocks.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "group", "own", "other", "rep"))
         rows = _children(large.where("not dense"), level)
     return out
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id", text: str = "text", limit: int = BUCKET) -> DataFrame:
-    """Documents whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more.
+#: Stands for a null id, so that null ids come last.
+LAST = (1 << 63) - 1
 
-    Documents with equal sets are one class from the start (a 128-bit sum of hashes). The classes are joined by
-    chosen paths over sampled tokens of their sets: a pair at the threshold shares each token with that chance, so a run
-    finds it with the chance q = 1 - (1 - similarity q)^BRANCHES at any depth, and the number of runs follows from `recall`.
-    Within a bucket all pairs are compared exactly on the whole sets; a pair in many buckets counts in the first.
 
-    Returns (doc_id, class_id, n_links): the least id of the group that links connect, and how many other documents are
-    linked to this one, copies included. Words are runs without white space, unchanged; a text of fewer than `width` words
-    is one shingle; texts without words, or null, are linked to none and stand alone. Null ids have a null class and no
-    links; rows with one id count as copies in the class of their text, and where their texts differ one of them is compared.
-    An empty table gives no rows; other columns are ignored.
+def _classes(docs: DataFrame, width: int, similarity: float, recall: float, id_col: str, text: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, n, s0, s1) of all documents, h a hash of the text; and their different sets (s0, s1, n, rep, h, twins, copies, root, links).
+
+    A set is told by rep = (its least id, a hash of the set), so one id can have several. h and twins: hash and number of its rows
+    with the least id and text. root: the least rep that links lead to. Only texts named by (id, h) are read again.
     """
     at_least = Fraction(str(similarity))
     q = 1.0
     for _ in range(LEVELS):
         q = 1 - (1 - similarity * q) ** BRANCHES
     runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - q)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = kept(rows.mapInArrow(_sets(width), "doc_id long, n long, s0 long, s1 long, tokens array<int>"))
-    some = sets.where("n > 0 and doc_id is not null")
-    reps = kept(some.groupBy("s0", "s1", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
+    sets = kept(rows.mapInArrow(_sets(width), "doc_id long, h long, n long, s0 long, s1 long, tokens array<int>"))
+    some = sets.where("n > 0").withColumn("id", F.coalesce("doc_id", F.lit(LAST)))
+    twins = some.groupBy("s0", "s1", "n", "id", "h").agg(F.count(F.lit(1)).alias("twins"), F.first("tokens").alias("tokens"))
+    one = F.min_by(F.struct("id", "h", "twins", "tokens"), F.struct("id", "h")).alias("o")
+    reps = twins.groupBy("s0", "s1", "n").agg(one, F.sum("twins").alias("copies"))
+    reps = kept(reps.select("s0", "s1", "n", F.struct(F.col("o.id").alias("id"), F.col("s0").alias("s")).alias("rep"), "o.h", "o.twins", "copies", "o.tokens"))
     found = kept(buckets(reps.select("rep", "tokens"), runs, limit))
-    asked = found.groupBy("rep").agg(F.collect_set("bucket").alias("buckets")).join(reps.select("rep", "copies"), "rep")
-    texts = rows.join(asked, rows.doc_id == asked.rep).select(F.explode("buckets").alias("bucket"), "rep", "copies", "buckets", "text")
+    asked = found.groupBy("rep").agg(F.collect_set("group").alias("groups"), F.collect_list(F.struct("bucket", "group", "own", "other")).alias("places"))
+    asked = asked.join(reps.select("rep", "copies", "h", "twins"), "rep").withColumn("id", F.col("rep.id"))
+    texts = _named(rows.withColumn("id", F.coalesce("doc_id", F.lit(LAST))).select("id", "h", "text"), asked)
+    texts = texts.select("rep", "copies", "groups", "text", F.inline("places"))
     parts = max(12, math.ceil(found.count() / 2000))
-    pairs = texts.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_verify(width, at_least), "rep long, root long, links long")
+    pairs = texts.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_verify(width, at_least), "rep struct<id:long,s:long>, root struct<id:long,s:long>, links long")
     pairs = kept(pairs.groupBy("rep", "root").agg(F.sum("links").alias("links")))
     roots = components(pairs.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = pairs.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = reps.select("s0", "s1", "n", "rep", "copies").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
-    known = known.select("s0", "s1", "n", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return some.join(known, ["s0", "s1", "n"]).select("doc_id", "class_id", "n_links").unionByName(alone)
+    known = reps.drop("tokens").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
+    known = known.withColumns({"root": F.coalesce("root", "rep"), "links": F.col("copies") - 1 + F.coalesce("links", F.lit(0))})
+    return sets.drop("tokens"), known
+
+
+def _named(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows that asked names by id and h, one of each name: only where it says that there are twins are they sorted out."""
+    single = rows.join(asked.where("twins = 1"), ["id", "h"])
+    return single.unionByName(rows.join(asked.where("twins > 1"), ["id", "h"]).dropDuplicates(["id", "h"]))
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id", text: str = "text", limit: int = BUCKET) -> DataFrame:
+    """Documents whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more.
+
+    Documents with equal sets are one class from the start (a 128-bit sum of hashes). The classes are joined by
+    chosen paths over sampled tokens of their sets: a pair at the threshold shares each token with that chance, so a run
+    finds it with the chance q = 1 - (1 - similarity q)^BRANCHES at any depth, and the number of runs follows from `recall`.
+    Within a bucket all pairs are compared exactly on the whole sets; a pair in many buckets counts in the first.
+
+    Returns (doc_id, class_id, n_links), a row for each row: the least id of the group that links connect, and how many other rows are
+    linked to this one, copies included. Words are runs without white space, unchanged; a text of fewer than `width` words
+    is one shingle; texts without words, or null, are linked to none and stand alone. Rows are compared by their texts: those with null ids
+    or one id for different texts like all others, and rows equal in both are copies. A class of null ids only has a null
+    class_id (so has the id 2^63 - 1, which stands for null). An empty table gives no rows; other columns are ignored.
+    """
+    sets, known = _classes(docs, width, similarity, recall, id_col, text, limit)
+    known = known.select("s0", "s1", "n", F.nullif(F.col("root.id"), F.lit(LAST)).alias("class_id"), F.col("links").alias("n_links"))
+    alone = sets.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return sets.where("n > 0").join(known, ["s0", "s1", "n"]).select("doc_id", "class_id", "n_links").unionByName(alone)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, limit: int = BUCKET) -> DataFrame:
     """One row of each group of near duplicates (see near_duplicates), the first by id, null ids last; the same columns.
 
-    Rows are told apart by a hash of id and text, so those with a null id or one id for different texts are compared like all
-    others, and of rows equal in both one is kept. Texts without words are all kept.
+    Of rows that share the first id, the one whose text has the least hash stays, and of rows equal in both one. Texts without
+    words, and null, are all kept. An empty table gives no rows.
     """
-    some = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.where(some).withColumn("_key", F.xxhash64(id_col, text))
-    found = near_duplicates(rows, id_col="_key", text=text, **options).groupBy("doc_id").agg(F.first("class_id").alias("class_id"))
-    ids = rows.groupBy("_key").agg(F.first(id_col).alias("_id"))
-    place = F.struct(F.col("_id").isNull(), "_id", "doc_id")
-    known = found.join(ids, F.col("doc_id") == F.col("_key"))
-    first = known.groupBy("class_id").agg(F.min_by("doc_id", place).alias("_first"))
-    gone = known.select("doc_id", "class_id").join(first, "class_id").where("doc_id <> _first").select(F.col("doc_id").alias("_key"))
-    kept_rows = rows.join(gone, "_key", "left_anti")
-    again = rows.groupBy("_key").count().where("count > 1").select("_key")
-    once = kept_rows.join(again, "_key", "left_anti").unionByName(kept_rows.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
-    return once.select(docs.columns).unionByName(docs.where(~some))
+    _, known = _classes(docs, width, similarity, recall, id_col, text, limit)
+    first = known.where("rep = root").select(F.col("rep.id").alias("id"), "h", "twins")
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("some"))
+    return _named(rows.where("some").drop("some"), first).select("row.*").unionByName(rows.where("not some").select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
