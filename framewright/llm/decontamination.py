@@ -81,6 +81,36 @@ class Items:
         self.size = size[self.item]
 
 
+def _starts(seq: np.ndarray, test: np.ndarray, suffixes: np.ndarray, at: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (window, place) at which a match begins: those of a window's places whose word before differs from the window's.
+
+    Windows of one size share a range of the suffix array or have none in common. Each range is sorted by the word before, so the
+    places at which a match only goes on are stepped over together: no more pairs are made than there are longest matches.
+    """
+    before = np.concatenate([[0], seq[:-1]])
+    own = np.where(at > 0, test[np.maximum(at, 1) - 1], -1)
+    which, places = [], []
+    for n in np.unique(size):
+        asked = np.flatnonzero(size == n)
+        starts, of = np.unique(low[asked], return_inverse=True)
+        ends = np.zeros(len(starts), np.int64)
+        ends[of] = high[asked]
+        lengths = ends - starts
+        base = np.concatenate([[0], np.cumsum(lengths)])
+        group = np.repeat(np.arange(len(starts)), lengths)
+        place = suffixes[np.repeat(starts - base[:-1], lengths) + np.arange(base[-1])]
+        key = group << 32 | before[place]
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], place[order]
+        same = of.astype(np.int64) << 32 | np.maximum(own[asked], 0)
+        skip = [np.where(own[asked] > 0, np.searchsorted(key, same, side), base[of + 1]) for side in ("left", "right")]
+        for lo, hi in ((base[of], skip[0]), (skip[1], base[of + 1])):
+            many = hi - lo
+            which.append(np.repeat(asked, many))
+            places.append(place[np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())])
+    return np.concatenate(which), np.concatenate(places)
+
+
 def _matches(items: Items, column: pa.Array, width: int, lo: int, hi: int, raw: np.ndarray, offsets: np.ndarray):
     """Of one shard (rows lo to hi): words of each row, and all (row, item, item word, row word, length) that match as far as they can."""
     texts = pa.StringArray.from_buffers(hi - lo, pa.py_buffer((offsets[lo : hi + 1] - offsets[lo]).astype(np.int32)), pa.py_buffer(raw[offsets[lo] : offsets[hi]]))
@@ -106,19 +136,21 @@ def _matches(items: Items, column: pa.Array, width: int, lo: int, hi: int, raw:
         return none
     pats = test[np.minimum(items.at[ask][:, None] + np.arange(width), len(test) - 1)]
     low, high = (search(seq, suffixes, pats, items.size[ask], up) for up in (False, True))
-    times = high - low
-    which = np.repeat(ask, times)
-    at = suffixes[np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())]
-    if not len(at):
+    some = high > low
+    ask, low, high = ask[some], low[some], high[some]
+    if not len(ask):
         return none
-    # windows that follow one another in both texts are one longer match
-    diagonal, there = items.at[which] - at, items.at[which]
-    by = np.lexsort((there, diagonal))
-    joined = np.zeros(len(by), bool)
-    joined[1:] = (np.diff(diagonal[by]) == 0) & (np.diff(there[by]) == 1)
-    starts = np.flatnonzero(~joined)
-    size = np.diff(starts, append=len(by)) - 1 + items.size[which[by[starts]]]
-    which, at = which[by[starts]], at[by[starts]]
+    which, at = _starts(seq, test, suffixes, items.at[ask], items.size[ask], low, high)
+    which = ask[which]
+    # both texts agree over the window, and may go on
+    there, size = items.at[which], items.size[which].copy()
+    busy = np.arange(len(at))
+    while len(busy):
+        a, b = at[busy] + size[busy], there[busy] + size[busy]
+        inside = (a < len(seq)) & (b < len(test))
+        busy, a, b = busy[inside], a[inside], b[inside]
+        busy = busy[(seq[a] == test[b]) & (seq[a] > 0)]
+        size[busy] += 1
     heads = first[:-1] + np.arange(rows)
     row = np.searchsorted(heads, at, "right") - 1
     return n, row, items.item[which], items.at[which] - items.start[items.item[which]], at - heads[row], size
@@ -168,14 +200,14 @@ def find_matches(docs: DataFrame, items: DataFrame, width: int = 10, text: str =
     """Longest verbatim matches of `width` words or more between each document and the test items.
 
     The documents' words are cut into shards of a few MB as they are read. Each shard sorts its suffixes into a
-    suffix array, in which every suffix of every item is looked up by binary search; matches that go on are
-    joined, so each is as long as it can be. An item of fewer words, but not none, matches as a whole.
+    suffix array, in which every suffix of every item is looked up by binary search. Only where the words before
+    differ does a match begin, and it is followed as far as both texts agree. An item of fewer words, but not none, matches as a whole.
     No shuffle. The items are the stated query set: they are broadcast in blocks of item_bytes, and each block
     passes over the documents once.
 
     Returns (row struct<all columns of docs>, n_words, n_hit words within a match, items: ids found, matches:
     item, word of the item and of the document, length). Letters A-Z are lowered. Null or empty texts have no
-    words and no matches. A null item id reads ''. Rows are independent, so equal rows give equal results, and
+    words and no matches. A null item id reads ''. Repeated words make as many matches as there are, not all pairs of places. Rows are independent, so equal rows give equal results, and
     clashing column names stay inside `row`. No items: nothing is hit.
     """
     _, size = totals(items, item_text)

@@ -665,6 +665,44 @@ def test_decontamination_hard(spark, hard, empty):
     assert decontamination.decontaminate(hard, items.where("false")).count() == hard.count()
 
 
+def brute_matches(w, q, width=10):
+    """(item word, document word, length) of all longest matches."""
+    out = []
+    for a in range(len(q)):
+        for b in range(len(w)):
+            if a and b and q[a - 1] == w[b - 1]:
+                continue
+            n = 0
+            while a + n < len(q) and b + n < len(w) and q[a + n] == w[b + n]:
+                n += 1
+            if n >= width or n == len(q) > 0:
+                out.append((a, b, n))
+    return sorted(out)
+
+
+def test_all_longest_matches(spark, docs):
+    rng = random.Random(9)
+    draw = lambda n, k: [f"x{rng.randint(0, k)}" for _ in range(n)]
+    texts = [draw(200, 1), draw(150, 0), draw(300, 2) + ["x0"] * 40, draw(100, 1) * 3, ["x0", "x1"] * 80]
+    items = [draw(60, 1), ["x0"] * 30, ["x0", "x1"] * 20, ["x1", "x0"], draw(40, 2), ["x0"] * 9]
+    df = spark.createDataFrame([(str(i), " ".join(q)) for i, q in enumerate(items)], "item_id string, text string")
+    out = decontamination.find_matches(docs([(i, " ".join(w)) for i, w in enumerate(texts)]), df).collect()
+    for r in out:
+        got = collections.defaultdict(list)
+        for m in r.matches:
+            got[m.item_id].append((m.item_word, m.doc_word, m.n_words))
+        assert {k: sorted(v) for k, v in got.items()} == {str(i): x for i, q in enumerate(items) if (x := brute_matches(texts[r.row.doc_id], q))}
+
+
+def test_one_word_over_and_over_makes_few_pairs():
+    column = pa.array(["again " * 20_000])
+    raw, offsets = bytewords.text_buffers(column)
+    items = decontamination.Items([("i", "again " * 500)], 10)
+    n, row, *_, size = decontamination._matches(items, column, 10, 0, 1, raw, offsets)
+    # a match for each diagonal, of all 9.8 million pairs of windows and places
+    assert n.tolist() == [20_000] and len(row) == 20_000 - 9 + 500 - 9 - 1 and size.max() == 500
+
+
 def test_suffix_array():
     rng = np.random.default_rng(3)
     seq = rng.integers(1, 4, 500)
