@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
-from re import _constants as sre
-from re import _parser as parser
+from itertools import batched
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,34 +25,93 @@ PATTERNS = (
 )
 #: Rules up to this size are broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
-WORD = re.compile("[a-z0-9]")
+#: Letters and digits of a lower-case URL.
+TOKEN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def _items(pattern: str) -> list[str] | None:
+    """The pattern's top level, in Java's grammar: letters and digits as such, "|" for what borders a token, "" for all else. None if that can't be told."""
+    out, i, n = [], 0, len(pattern)
+
+    def after_class(i: int) -> tuple[int, bool]:
+        """Where the class that begins at i ends, and whether it has plain marks only."""
+        depth, plain, start = 0, True, i
+        while i < n:
+            c = pattern[i]
+            if c == "\\":
+                plain &= i + 1 < n and not pattern[i + 1].isalnum()
+                i += 2
+                continue
+            if c == "[":
+                depth += 1
+                plain &= depth == 1
+            elif c == "]" and i > start + 1:
+                depth -= 1
+                if not depth:
+                    return i + 1, plain
+            elif c in "^&-" or c.isalnum() or ord(c) > 126:
+                plain = False
+            i += 1
+        return n, False
+
+    while i < n:
+        c = pattern[i]
+        if c == "|":
+            return None  # a choice of whole patterns
+        if c == "\\":
+            x = pattern[i + 1 : i + 2]
+            if x in ("Q", "E", ""):
+                return None
+            out.append("|" if x in "bAzZ" or not x.isalnum() else "")
+            i += 2
+            if x in "pPxuNkco0123456789":  # followed by a name or a number: nothing more is told of this pattern
+                return None
+        elif c == "[":
+            i, plain = after_class(i)
+            out.append("|" if plain else "")
+        elif c == "(":
+            if pattern.startswith("(?", i) and "x" in pattern[i + 2 : i + 8].split(":")[0].split(")")[0]:
+                return None  # white space may be no text
+            depth, out = 0, [*out, ""]
+            while i < n:
+                if pattern[i] == "\\":
+                    if pattern[i + 1 : i + 2] == "Q":
+                        return None
+                    i += 1
+                elif pattern[i] == "[":
+                    i = after_class(i)[0] - 1
+                else:
+                    depth += (pattern[i] == "(") - (pattern[i] == ")")
+                i += 1
+                if not depth:
+                    break
+        elif c in "*+?{":
+            if out:
+                out[-1] = ""
+            i = pattern.find("}", i) + 1 if c == "{" else i + 1
+            if not i:
+                return None
+        else:
+            out.append(c if c in TOKEN else "|" if c in "^$" or c < "\x7f" and not c.isalnum() and c != "." else "")
+            i += 1
+    return out
 
 
 def literal_tokens(pattern: str) -> list[str]:
     """The tokens (runs of a-z and 0-9) that every match of the pattern must contain whole.
 
     A run counts only if what stands on either side can be no letter or digit: other literal characters,
-    classes without any, word borders, and the ends of the text. So a match's token is a token of the URL too.
+    classes of such, word borders, and the ends of the text. So a match's token is a token of the URL too. Groups, quantified items and
+    what else isn't plain end a run and border none; of a pattern with a choice at its top level nothing is told.
     """
     out, run, closed = [], "", False
-    inside = set(map(ord, "abcdefghijklmnopqrstuvwxyz0123456789"))
-
-    def ends(item) -> bool:
-        op, arg = item
-        if op is sre.LITERAL:
-            return arg not in inside
-        if op is sre.AT:
-            return True
-        return op is sre.IN and all(o is sre.LITERAL and a not in inside for o, a in arg)
-
-    for item in [*parser.parse(pattern), None]:
-        if item is not None and item[0] is sre.LITERAL and item[1] in inside:
-            run += chr(item[1])
+    for item in [*(_items(pattern) or []), ""]:
+        if item in TOKEN:
+            run += item
             continue
-        shut = item is not None and ends(item)
-        if run and closed and shut:
+        if run and closed and item == "|":
             out.append(run)
-        run, closed = "", shut
+        run, closed = "", item == "|"
     return list(dict.fromkeys(out))
 
 
@@ -65,10 +122,8 @@ def tokens_of(url: Column) -> Column:
 
 def parts_of(url: Column) -> tuple[Column, Column]:
     """(host, path): empty both without '://'; the host's A-Z lowered, up to / ? # or the end; the path from there up to ? or #."""
-    rest = F.when(F.instr(url, "://") > 0, F.substring_index(F.regexp_replace(url, r"(?s)^.*?://", "\x00"), "\x00", -1)).otherwise("")
-    host = F.regexp_extract(rest, r"(?s)^[^/?#]*", 0)
-    path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
-    return lower(host), path
+    whole = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+    return lower(F.regexp_extract(url, whole, 1)), F.regexp_extract(url, whole, 2)
 
 
 def lower(x: Column) -> Column:
@@ -80,8 +135,9 @@ def matching_rules(urls: DataFrame, patterns: Sequence[str], url: str = "url", b
     """(url, rules array<int>): distinct URLs that match patterns, and which.
 
     Each rule is filed under the one of its literal tokens that fewest URLs have. A URL's tokens fetch its candidate
-    rules, and only those run their regular expressions. Rules without a literal token run on every URL.
-    Patterns are matched against the URL with A-Z lowered. Null URLs match nothing.
+    rules, and only those run their regular expressions. Rules without a literal token run on every URL, all in one pass.
+    Patterns are Java's, matched against the URL with A-Z lowered. Null URLs match nothing; repeated URLs and repeated patterns
+    are judged alike, and ties for the rarest token go to the first in order. No patterns, or an empty table: no rows.
     """
     spark = urls.sparkSession
     seen = urls.where(F.col(url).isNotNull()).select(F.col(url).alias("url")).distinct().withColumn("low", lower(F.col("url")))
@@ -96,10 +152,10 @@ def matching_rules(urls: DataFrame, patterns: Sequence[str], url: str = "url", b
         often = worded.join(hint(listed.select("token").distinct()), "token", "left_semi").groupBy("token").count()
         index = listed.join(often, "token", "left").groupBy("rule", "pattern").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
         found = worded.join(hint(index), "token").where(F.expr("low rlike pattern")).select("url", "rule")
-    for i, p, ts in rules:
-        if not ts:
-            more = seen.where(F.col("low").rlike(p)).select("url", F.lit(i).alias("rule"))
-            found = more if found is None else found.unionByName(more)
+    for some in batched([(i, p) for i, p, ts in rules if not ts], 100):
+        hits = F.array_compact(F.array(*[F.when(F.col("low").rlike(p), F.lit(i)) for i, p in some]))
+        more = seen.select("url", F.explode(hits).alias("rule"))
+        found = more if found is None else found.unionByName(more)
     if found is None:
         return seen.where("false").select("url", F.array().cast("array<int>").alias("rules"))
     return found.groupBy("url").agg(F.sort_array(F.collect_set("rule")).alias("rules"))

@@ -350,7 +350,7 @@ def brute_url(url):
     return host, path, best and best[0], best[1] if best else "block" if hit else "allow"
 
 
-URLS = ["http://a.net/x", "http://A.NET/x?y#z", "http://net", "http://net/", "https://sub.example.net/en/1", "http://example.net/fr/", "http://example.com/de/2?q", "http://x.example.com/dex", "http://evilnet/", "ftp://b.org/fr/x", "http://m.casino-win.example.com/en/", "http://mycasino-win.example.com/", "no scheme", "", None, "http://h#frag", "a://b://c/d", "HTTP://X.COM/WP-LOGIN.PHP", "http://x.com/a.torrent", "http://é.com/ü?affid=1", "http://x.com/\nline"]
+URLS = ["http://a.net/x", "http://A.NET/x?y#z", "http://net", "http://net/", "https://sub.example.net/en/1", "http://example.net/fr/", "http://example.com/de/2?q", "http://x.example.com/dex", "http://evilnet/", "ftp://b.org/fr/x", "http://m.casino-win.example.com/en/", "http://mycasino-win.example.com/", "no scheme", "", None, "http://h#frag", "a://b://c/d", "HTTP://X.COM/WP-LOGIN.PHP", "http://x.com/a.torrent", "http://é.com/ü?affid=1", "http://x.com/\nline", "http://a\x00b.net/x", "http://c.net\x00/en/?x", "x\x00://\x00net/", "://", "a:///p?q"]
 
 
 def test_urls(spark, empty):
@@ -360,6 +360,21 @@ def test_urls(spark, empty):
     assert url_filter.filter_urls(df.where("false")).count() == 0
 
 
+def test_literal_tokens_are_in_every_match():
+    cases = {r"a|b": [], r"/ads/": ["ads"], r"/ads+/": [], r"/ad?s/": [], r"/ads{2}/x/": ["x"], r"[/.]x1[._]": ["x1"], r"[/.]x1[-_]": [], r"[^/]x1/": [], r"/x1[a-z]": [], r"\.x1\W": [], r"\bx1\b": ["x1"], r"(?i)/x1/": ["x1"], r"(?x)/ x1 /": [],
+             r"\Q/x1/\E": [], r"/(x1/)": [], r"/a(b|[)])/c/": ["c"], r"/A1/": [], r"/x1.y2/": [], r"^x1$": ["x1"], r"\d/x1/": ["x1"], r"\x41/x1/": [], "": [], r"/x1": [], r"/[a]x1/": [], r"/[][]x1/": [], r"é/x1/": ["x1"]}
+    assert {p: url_filter.literal_tokens(p) for p in cases} == cases
+
+
+def test_a_thousand_rules(spark):
+    rng = random.Random(2)
+    rules = [rf"/track{i}[/.]" if i % 3 else rf"[?&]k{i}=[0-9]+$" for i in range(1000)] + [r"free[0-9]+win", r"(ad|pop)s?/z", r"x{3,}$"]
+    urls = [f"http://h{i}.com/track{rng.randrange(1100)}/?k{rng.randrange(1100)}={rng.choice(('9', 'x', '77'))}" + rng.choice(("", "free8win", "xxx")) for i in range(300)]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    want = {u: x for u in urls if (x := [i for i, p in enumerate(rules) if re.search(p, u)])}
+    assert {r.url: r.rules for r in url_filter.matching_rules(df, rules).collect()} == want
+
+
 def test_patterns_by_their_rarest_token(spark):
     assert url_filter.literal_tokens(r"[/.]casino-win\.") == ["casino", "win"]
     assert url_filter.literal_tokens(r"\bads[0-9]+/") == [] and url_filter.literal_tokens(r"/(a|b)/") == [] and url_filter.literal_tokens(r"x-y?-z/") == ["z"]
