@@ -209,7 +209,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id
     """Scores every document from 0 to 1 by how likely it is of trusted quality, learned without negatives.
 
     Trusted positives are the rows labelled 1 whose id has a CRC-32 not divisible by 5; all documents without a label that may
-    be learned from are the unlabelled text, and known negatives aren't used. The share of positives in the unlabelled text is
+    be learned from are the unlabelled text (held-out rows among them, as texts without a label), and known negatives aren't used. The share of positives in the unlabelled text is
     estimated from the two score distributions, and a logistic model minimises the non-negative PU risk. All rows count: features are
     computed once from whole texts and kept in the shared folder, and each step of Newton's method adds up one vector from
     each task (the Hessian is about 60 x 60), so nothing that reaches the driver grows with the rows.

@@ -44,12 +44,10 @@ def _pairs(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _fresh(h: np.ndarray, first: np.ndarray, width: int = 4) -> np.ndarray:
     """Words outside all windows of `width` words that occurred before, so copies and shared passages are learned from once."""
-    w, inside = bw.windows(h, width), bw.inner(first, len(h), width)
+    at = np.flatnonzero(bw.inner(first, len(h), width))
     edge = np.zeros(len(h) + 1, np.int32)
-    _, once = np.unique(w, return_index=True)
-    again = inside.copy()
-    again[once] = False
-    at = np.flatnonzero(again)
+    _, once = np.unique(bw.windows(h, width)[at], return_index=True)
+    at = np.delete(at, once)
     edge[at] += 1
     edge[at + width] -= 1
     return np.cumsum(edge[:-1]) == 0
@@ -122,7 +120,10 @@ class Model:
 
     def features(self, column: pa.Array) -> np.ndarray:
         """For each row the mean ratio over all words, and the largest over stretches of STRETCHES words (the whole text if shorter)."""
-        h, first = bw.words(column, bw.ALNUM, lower=True)
+        return self.measured(*bw.words(column, bw.ALNUM, lower=True))
+
+    def measured(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The same from hashes of words, and where rows begin in them (one more at the end)."""
         total = np.concatenate([[0.0], np.cumsum(self.ratios(h, first))])
         n = np.diff(first)
         mean = (total[first[1:]] - total[first[:-1]]) / np.maximum(1, n)
@@ -151,38 +152,51 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w
 
 
-def _sample(docs: DataFrame, labels: DataFrame, label: str, n: int, words: int) -> list[tuple[int, bool, str]]:
-    """(class, whether to calibrate, text) of labelled documents in the order of a hash: up to n and `words` words of each class, half as many to calibrate.
+def _sample(docs: DataFrame, labels: DataFrame, label: str, n: int, words: int) -> list[tuple[int, bool, np.ndarray]]:
+    """(class, whether to calibrate, hashes of words) of labelled documents in the order of a hash: up to n and `words` words of each class, half as many to calibrate.
 
     A document has one SHARE-th of the words at most: of a longer one its beginning is taken, so it can't displace the others.
+    Words are hashed on the executors; no text reaches the driver, and 8 bytes a word do.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     known = known.withColumn("fold", fold(F.col("doc_id"))).where("fold > 0").select("doc_id", "y", (F.col("fold") == FOLDS - 1).alias("held"), F.xxhash64(F.lit(7), "doc_id").alias("h"))
     parts = [known.where((F.col("y") == y) & (F.col("held") == held)).orderBy("h", "doc_id").limit(n // 2 if held else n) for y in (0, 1) for held in (False, True)]
     chosen = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])  # three times n rows at most
-    rows = docs.join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull()).dropDuplicates(["doc_id"])
-    most = F.expr(f"if(held, {max(1, words // 2 // SHARE)}, {max(1, words // SHARE)})")
-    rows = rows.withColumn("text", F.call_function("substring_index", "text", F.lit(" "), most))
-    rows = rows.select("y", "held", "h", "doc_id", "text", F.size(F.split("text", " ")).alias("w"))
+    most = {False: max(1, words // SHARE), True: max(1, words // 2 // SHARE)}
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, offsets = bw.text_buffers(batch.column("text"))
+            for lo, hi in bw.blocks(offsets):
+                part = batch.slice(lo, hi - lo)
+                h, first = bw.words(part.column("text"), bw.ALNUM, lower=True)
+                rows = [h[a : min(b, a + most[held])] for a, b, held in zip(first[:-1], first[1:], part.column("held").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("y", "held", "h", "doc_id")), pa.array([len(x) for x in rows], pa.int64()), pa.array([x.tobytes() for x in rows], pa.binary())], ["y", "held", "h", "doc_id", "w", "words"])
+
+    rows = docs.join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull()).select("y", "held", "h", "doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows = rows.mapInArrow(hashed, f"y int, held boolean, h long, doc_id {kind}, w long, words binary").dropDuplicates(["doc_id"])
     before = F.sum("w").over(Window.partitionBy("y", "held").orderBy("h", "doc_id"))
     rows = rows.withColumn("upto", before).where(F.col("upto") <= F.when(F.col("held"), words // 2).otherwise(words))
-    return sorted((r.y, r.held, r.text) for r in rows.select("y", "held", "text").collect())
+    found = sorted(rows.select("y", "held", "h", "doc_id", "words").collect(), key=lambda r: tuple(r)[:4])
+    return [(r.y, r.held, np.frombuffer(r.words, U64)) for r in found]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> tuple[Model, np.ndarray]:
     """The models, counted on folds 1 to 3 of the ids, and the weights of their features, fitted on fold 4, class sizes as in all of fold 4."""
     sample = _sample(docs, labels, label, sample_docs, sample_words)
-    counted = [(y, bw.words(pa.array([t]), bw.ALNUM, lower=True)[0]) for y, held, t in sample if not held]
-    texts, y = pa.array([t for _, held, t in sample if held], pa.string()), np.array([y for y, held, _ in sample if held], int)
+    counted = [(y, h) for y, held, h in sample if not held]
+    held, y = [h for _, held, h in sample if held], np.array([y for y, held, _ in sample if held], int)
     n = dict(labels.where(fold(F.col("doc_id")) == FOLDS - 1).groupBy(F.col(label).cast("int")).count().collect())
     n, seen = np.array([n.get(0, 0), n.get(1, 0)]), np.bincount(y, minlength=2)
     if not seen.all():
         rate = (n[1] + 1) / (n.sum() + 2)
         return Model(counted, DISCOUNTS[0], 0.5), np.array([np.log(rate / (1 - rate)), *[0.0] * (3 + len(STRETCHES))])
     best, weight = None, (n / seen)[y]
+    ends = np.cumsum([0, *map(len, held)])
     for discount in DISCOUNTS:
         model = Model(counted, discount, n[1] / n.sum())
-        x = np.concatenate([model.features(texts[lo:hi]) for lo, hi in bw.blocks(bw.text_buffers(texts)[1])])
+        x = np.concatenate([model.measured(np.concatenate(held[lo:hi]), ends[lo : hi + 1] - ends[lo]) for lo, hi in bw.blocks(ends, 1 << 17)])
         w = logistic(x, y, weight)
         loss = (weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w))).sum()
         if best is None or loss < best[0]:
@@ -195,7 +209,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_
 
     Each class has an interpolated Kneser-Ney bigram model; both back off to continuation counts over the two together, so an
     expression that neither knows well counts for neither. The log-likelihoods are compared by word: over the whole text,
-    and over its most toxic stretches of STRETCHES words, so a long text doesn't hide one. Both normalised ratios are
+    and over its most toxic stretches of STRETCHES words, so a long text doesn't hide one. One word's log-ratio counts for MOST_RATIO at most
+    either way. Both normalised ratios are
     weighted by a logistic regression on labelled rows that the models haven't seen.
 
     Fitted on a documented sample of labelled rows (sample_docs documents and sample_words words for each class and use,

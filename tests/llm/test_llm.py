@@ -152,6 +152,30 @@ def test_prior_is_estimated(spark, docs):
     assert 0.4 < prior < 0.75  # of the unlabelled: about 0.58 are good
 
 
+def test_risk_is_minimised(spark):
+    """Against plain gradient descent on the same risk, and where the risk of negatives would fall below zero."""
+    rng = np.random.default_rng(4)
+    good = rng.random(400) < 0.4
+    x = np.where(good[:, None], rng.normal(0.7, 0.5, (400, 3)), rng.normal(0, 0.5, (400, 3)))
+    trusted = good & (rng.random(400) < 0.5)
+    df = spark.createDataFrame([([float(v) for v in r], bool(t)) for r, t in zip(x, trusted, strict=True)], "x array<float>, trusted boolean")
+    ones = np.concatenate([np.ones((400, 1)), x.astype(np.float32)], axis=1)
+    p, u, ridge = ones[trusted], ones[~trusted], quality_classifier.RIDGE * np.array([0, 1, 1, 1])
+    soft = lambda z: np.logaddexp(0, z)
+
+    def parts(w, prior):
+        return prior * soft(-p @ w).mean(), soft(u @ w).mean() - prior * soft(p @ w).mean(), ridge @ (w * w) / 2
+
+    prior = 0.25
+    w = np.zeros(4)
+    for _ in range(20_000):
+        w -= 0.3 * (u.T @ (1 / (1 + np.exp(-u @ w))) / len(u) - prior * p.mean(axis=0) + ridge * w)
+    got = quality_classifier._newton(df, 4, prior)
+    assert parts(w, prior)[1] > 0 and sum(parts(got, prior)) <= sum(parts(w, prior)) + 1e-5 and np.allclose(got, w, atol=0.05)
+    bound = quality_classifier._newton(df, 4, 0.9)  # far above the true share: the unbiased risk has a negative part
+    assert parts(bound, 0.9)[1] >= -1e-9
+
+
 def test_kneser_ney_adds_up():
     rng = random.Random(2)
     text = lambda c: " ".join(rng.choice(("a", "b", "c", "d", f"t{rng.randint(0, 9)}" if c else f"o{rng.randint(0, 9)}")) for _ in range(50))
@@ -165,6 +189,50 @@ def test_kneser_ney_adds_up():
     assert model.ratios(word("x t1"), np.array([0, 2]))[1] > 1 and model.ratios(word("x o1"), np.array([0, 2]))[1] < -0.5
 
 
+def direct_kneser_ney(docs, discount, rate):
+    """log-ratio of each word of a text by dictionaries: counts of different (class, word, word, word) outside repeated windows of four words."""
+    windows, fresh = set(), []
+    every = [(d, i) for d, (_, w) in enumerate(docs) for i in range(len(w))]
+    again = set()
+    for d, (_, w) in enumerate(docs):
+        for i in range(len(w) - 3):
+            k = tuple(w[i : i + 4])
+            if k in windows:
+                again.update((d, i + j) for j in range(4))
+            windows.add(k)
+    fresh = [p for p in every if p not in again]
+    triples = {(docs[d][0], *(docs[d][1][j] if j >= 0 else None for j in (i - 2, i - 1, i))) for d, i in fresh}
+    pairs = collections.Counter((c, b, w) for c, a, b, w in triples)  # None before the first word, so triples of a text's head are told apart
+    context, follow, types = collections.Counter(), collections.Counter(), collections.Counter()
+    for (c, b, w), n in pairs.items():
+        context[c, b] += n
+        follow[c, b] += min(n, discount)
+        types[c, w] += 1
+    total = [max(1, sum(n for (c, _), n in types.items() if c == k)) for k in (0, 1)]
+    vocabulary = {w for _, w in types}
+    rest = toxicity.SHARED_DISCOUNT * len(vocabulary) / max(1, sum(types.values()))
+    spilled = [max(1, sum(min(n, discount) for (c, _), n in types.items() if c == k)) for k in (0, 1)]
+
+    def p(c, b, w):
+        shared = (1 - rest) * sum(r * types[k, w] / total[k] for k, r in ((0, 1 - rate), (1, rate))) + rest / (len(vocabulary) + 1)
+        own = (max(0, types[c, w] - discount) + spilled[c] * shared) / total[c]
+        return (max(0, pairs[c, b, w] - discount) + follow[c, b] * own) / context[c, b] if context[c, b] else own
+
+    return lambda w: [max(-toxicity.MOST_RATIO, min(toxicity.MOST_RATIO, math.log(p(1, b, x)) - math.log(p(0, b, x)))) for b, x in zip([None, *w], w, strict=False)]
+
+
+@pytest.mark.parametrize("discount", [1.0, 4.0])
+def test_kneser_ney_by_dictionaries(discount):
+    rng = random.Random(7)
+    texts = [(i % 2, [f"{'t' if i % 2 and rng.random() < 0.3 else 'w'}{int(rng.paretovariate(1)) % 12}" for _ in range(rng.randint(1, 40))]) for i in range(40)]
+    texts += [texts[3], texts[4]]
+    hashed = lambda w: bytewords.words(pa.array([" ".join(w)]), bytewords.ALNUM)[0]
+    model = toxicity.Model([(c, hashed(w)) for c, w in texts], discount, 0.3)
+    direct = direct_kneser_ney(texts, discount, 0.3)
+    for w in [*(w for _, w in texts[:12]), ["t1", "new", "w1", "t2"], ["new"]]:
+        assert np.allclose(model.ratios(hashed(w), np.array([0, len(w)])), direct(w), rtol=1e-4, atol=1e-4)
+
+
 def test_toxicity_sample_with_an_oversize_document(spark, docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
     use = lambda i: (i % 2, fold(i, 5) == 4)
@@ -173,7 +241,7 @@ def test_toxicity_sample_with_an_oversize_document(spark, docs):
     rows = docs([(i, " ".join([f"w{i}"] * (5000 if i in first.values() else 3))) for i in range(200)])
     got = toxicity._sample(rows, labels, "toxic", 1000, 2000)
     assert collections.Counter((y, held) for y, held, _ in got) == collections.Counter(map(use, order))
-    assert {(y, held, len(words(t))) for y, held, t in got if len(words(t)) > 3} == {(y, held, 100 if held else 200) for y, held in first}
+    assert {(y, held, len(h)) for y, held, h in got if len(h) > 3} == {(y, held, 100 if held else 200) for y, held in first}
     assert toxicity.fit(rows, labels, sample_docs=1000, sample_words=2000)[1][1:].any()  # not one score for all
 
 
