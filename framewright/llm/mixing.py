@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.native import SPACE, words_of
+from framewright.llm.native import SPACE, numbered, words_of
+from framewright.llm.store import written
 
 #: Weights of the sources in code point order, again and again.
 WEIGHTS = (5, 2, 1)
@@ -15,7 +16,10 @@ MOST_PASSES = 3
 SLOTS, LEAST_BLOCK = 1 << 20, 16
 #: 2**31 divided by the golden ratio, odd: multiples of it modulo 2**31 are evenly spread.
 GOLDEN, GOLDEN_BITS = 1327217885, 31
-ROWS_A_BUCKET = 50_000
+#: Buckets of the hash by which a source is shuffled: so many rows each, but no fewer and no more buckets than this.
+ROWS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 5_000, 1024, 65_536
+#: Slots that are ranked in one task.
+SLOT_RANGE = 1 << 16
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
@@ -51,14 +55,32 @@ def schedule(spark: SparkSession, shares: DataFrame, total: int, block: int) ->
     return slots.join(x, "cell").where("lo <= x and x < hi").select("slot", "key")
 
 
-def _placed(docs: DataFrame, seed: str, id_col: str, source: str, text: str):
-    """Rows with key, size and their first word's place in the shuffled source; the schedule; the words of a block."""
+def ranked(slots: DataFrame) -> DataFrame:
+    """(slot, key) with each slot's rank within its source: counted by ranges of slots, so no source is in one task."""
+    x = slots.withColumn("range", F.floor(F.col("slot") / SLOT_RANGE))
+    held = x.groupBy("key", "range").agg(F.count(F.lit(1)).alias("n"))
+    base = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.join(held.select("key", "range", base.alias("base")), ["key", "range"])
+    return x.select("slot", "key", (F.col("base") + F.row_number().over(Window.partitionBy("key", "range").orderBy("slot")) - 1).alias("rank"))
+
+
+def _placed(docs: DataFrame, seed: str, id_col: str, source: str, text: str, carry: bool):
+    """Rows with key, size and their first word's place in the shuffled source; the blocks that each slot of the schedule takes.
+
+    Each text is split into words once: sizes and places are written to the shared folder, with the rows if carry.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("~")).alias("key"), F.size(words_of(F.col(text))).cast("long").alias("size"))
-    rows = rows.withColumn("h", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    n = docs.count()
-    buckets = min(65536, max(16, n // ROWS_A_BUCKET))
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(*([F.struct("*").alias("row")] if carry else []), F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("~")).alias("key"), F.crc32(t).alias("crc"), F.octet_length(t).alias("bytes"), t.alias("t"))
+    rows = numbered(rows, ("doc_id", "key", "crc", "bytes"))
+    plain = F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string")))
+    again = F.md5(F.concat_ws("/", F.lit(seed), F.col("doc_id").cast("string"), "crc", "bytes", "copy"))
+    rows = rows.withColumns({"h": F.when(F.col("doc_id").isNotNull() & (F.col("copy") == 0), plain).otherwise(again), "size": F.size(words_of(F.col("t"))).cast("long")}).drop("t")
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, docs.count() // ROWS_A_BUCKET))
     rows = rows.withColumn("bucket", F.expr(f"cast(conv(substr(h, 1, 4), 16, 10) as int) * {buckets} div 65536"))
+    order = Window.partitionBy("key", "bucket").orderBy("h", "doc_id", "size", "crc", "copy")
+    inside = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = written(rows.withColumn("inside", inside).drop("h", "crc", "bytes", "copy"))
     held = rows.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     shares = targets(held.groupBy("key").agg(F.sum("words").alias("source_size")))
     total = (held.agg(F.sum("words")).first()[0]) or 0
@@ -67,46 +89,55 @@ def _placed(docs: DataFrame, seed: str, id_col: str, source: str, text: str):
     taken = slots.groupBy("key").agg((F.count(F.lit(1)) * block).alias("scheduled"))
     base = F.coalesce(F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = held.select("key", "bucket", base.alias("base")).join(shares.join(taken, "key", "left"), "key")
-    offsets = offsets.select("key", "bucket", "base", "source_size", "target", F.least(F.coalesce("scheduled", F.lit(0)), F.col("source_size") * MOST_PASSES).alias("covered"))
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("inside", inside).join(offsets, ["key", "bucket"])
-    return rows.withColumn("first", F.col("base") + F.col("inside")).drop("h", "base", "inside", "bucket"), slots, block
+    offsets = offsets.select("key", "bucket", "base", "source_size", "target", F.coalesce("scheduled", F.lit(0)).alias("scheduled"))
+    rows = rows.join(offsets, ["key", "bucket"]).withColumn("first", F.col("base") + F.col("inside")).drop("base", "inside", "bucket")
+
+    # the words of a document at each pass, cut where blocks end; a block is taken by the slot of its rank, if there is one
+    passes = F.transform(F.array(*map(F.lit, range(MOST_PASSES))), lambda p: F.struct(p.alias("pass"), (p * F.col("source_size") + F.col("first")).alias("at")))
+    x = rows.where("size > 0").select("key", "doc_id", "first", "size", "scheduled", F.inline(passes)).where("at < scheduled")
+    x = x.select("*", F.explode(F.expr(f"sequence(at div {block}, (least(at + size, scheduled) - 1) div {block})")).alias("rank"))
+    lo, hi = F.greatest("at", F.col("rank") * block), F.least(F.col("at") + F.col("size"), (F.col("rank") + 1) * block)
+    blocks = x.join(ranked(slots), ["key", "rank"]).select("key", "first", "pass", "slot", "doc_id", (lo - F.col("at")).alias("first_word"), (hi - lo).alias("n_words"))
+    return rows, blocks
 
 
-def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", source: str = "source", text: str = "text", carry: bool = True) -> DataFrame:
     """How many words of each document the mix takes, passes counted.
 
-    Sources share the total of all words by weight (see targets). Slot i of the schedule falls to the source in whose
-    share the i-th golden-ratio point lies. A source's documents are shuffled by a seeded hash into one stream, cut
-    into blocks of equal words; its j-th slot takes block j, and the stream starts again at its end, three times
-    at most. Places in the stream are sums over buckets of the hash, so that no source is ever in one task. A block has
+    Sources share the total of all words by weight (see targets; a row for each source, which are sorted in one task). Slot i of the
+    schedule falls to the source in whose share the i-th golden-ratio point lies. A source's documents are shuffled by a seeded hash into
+    one stream, cut into blocks of equal words; its j-th slot takes block j, and the stream starts again at its end, three times
+    at most. What is taken of a document are the words that its blocks have in common with it, from the join of ranked slots and blocks.
+    Places and ranks are sums over buckets of the hash and ranges of slots, so that no source is ever in one task. A block has
     LEAST_BLOCK words at every size, so what a source takes is some blocks from its target (ten in a replay of 5 G words), however large the others are;
     beyond 2**GOLDEN_BITS slots (34 G words) points come again, and a source of less than that share can get none.
 
-    Returns (row struct<all columns>, doc_id, size, source_size, target, taken, pieces array<struct<pass, words>>). Null text has
-    size 0 and takes nothing; null sources form one source, the last; null and repeated ids are shuffled like others.
-    Runs agree. An empty table gives no rows.
+    Returns (row struct<all columns> if carry, doc_id, size, source_size, target, taken, pieces array<struct<pass, words>>). Null text has
+    size 0 and takes nothing; null sources form one source, the last. Null ids are shuffled by text, and rows that agree in id, source and text by
+    their number, so copies lie apart; ties of the hash are ordered by id, size, text and number. Runs agree. An empty table gives no rows.
     """
-    rows, _, _ = _placed(docs, seed, id_col, source, text)
-    # slots are ranked without gaps, so what is taken of a stream is its beginning, as long as its slots
-    piece = F.transform(F.array(*map(F.lit, range(MOST_PASSES))), lambda p: F.struct(p.alias("pass"), F.greatest(F.lit(0), F.least(F.col("size"), F.col("covered") - F.col("first") - p * F.col("source_size"))).cast("long").alias("words")))
-    rows = rows.withColumn("pieces", F.filter(piece, lambda x: x["words"] > 0))
-    return rows.select("row", "doc_id", "size", "source_size", "target", F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"), "pieces")
+    rows, blocks = _placed(docs, seed, id_col, source, text, carry)
+    of = [F.sum(F.when(F.col("pass") == p, F.col("n_words"))).alias(f"p{p}") for p in range(MOST_PASSES)]
+    taken = blocks.groupBy("key", "first").agg(F.sum("n_words").alias("taken"), *of).withColumn("some", F.lit(True))
+    x = rows.withColumn("some", F.col("size") > 0).join(taken, ["key", "first", "some"], "left")  # places of rows with words are all different
+    pieces = F.filter(F.array(*[F.struct(F.lit(p).alias("pass"), F.col(f"p{p}").alias("words")) for p in range(MOST_PASSES)]), lambda s: s["words"].isNotNull())
+    return x.select(*(["row"] if carry else []), "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), pieces.alias("pieces"))
 
 
 def mixed_blocks(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The schedule joined with the shuffled blocks: (slot, doc_id, first_word, n_words), the order in which to write the mix."""
-    rows, slots, block = _placed(docs, seed, id_col, source, text)
-    slots = slots.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("slot")) - 1)
-    x = rows.where("size > 0").select("key", "doc_id", "size", "covered", F.explode(F.transform(F.array(*map(F.lit, range(MOST_PASSES))), lambda p: p * F.col("source_size") + F.col("first"))).alias("at"))
-    x = x.where("at < covered").select("*", F.least(F.col("at") + F.col("size"), F.col("covered")).alias("end"))
-    x = x.select("*", F.explode(F.expr(f"sequence(at div {block}, (end - 1) div {block})")).alias("rank"))
-    lo, hi = F.greatest("at", F.col("rank") * block), F.least(F.col("end"), (F.col("rank") + 1) * block)
-    return x.join(slots, ["key", "rank"]).select("slot", "doc_id", (lo - F.col("at")).alias("first_word"), (hi - lo).alias("n_words"))
+    """The schedule joined with the shuffled blocks: (slot, doc_id, first_word, n_words), the order in which to write the mix.
+
+    Nulls, repeated rows, ties and empty tables are as in mix; a document without words has no row.
+    """
+    _, blocks = _placed(docs, seed, id_col, source, text, False)
+    return blocks.select("slot", "doc_id", "first_word", "n_words")
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix", text: str = "text", n_chars: str | None = "n_chars", **names: str) -> DataFrame:
-    """The mix as rows of docs: a document for each pass that takes it, cut to its first words, line breaks kept, where the mix ends within it."""
+    """The mix as rows of docs: a document for each pass that takes it, cut to its first words, line breaks kept, where the mix ends within it.
+
+    Nulls, repeated rows, ties and empty tables are as in mix; texts without words have no row. Columns keep their names and types.
+    """
     x = mix(docs, seed, text=text, **names).select("row", "size", F.explode("pieces").alias("piece"))
     own = F.split(F.regexp_replace(F.col("row")[text], f"^{SPACE}+", ""), f"(?<={SPACE})(?!{SPACE})")  # words, each with the white space after it
     cut = F.regexp_replace(F.array_join(F.slice(own, F.lit(1), F.col("piece.words").cast("int")), ""), f"{SPACE}+$", "")
@@ -116,7 +147,7 @@ def mixed_documents(docs: DataFrame, seed: str = "mix", text: str = "text", n_ch
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"), carry=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = f"""

@@ -533,9 +533,50 @@ def test_mixing_keeps_line_breaks_of_a_cut_document(docs):
     assert cut and all(text[r.doc_id].lstrip().startswith(r.text) and "\n\n" in r.text and r.text == r.text.rstrip() for r in cut)
 
 
+def brute_mix(rows):
+    """Taken words of (id, source, size) with unique ids: slots one after another take the next block of their source's stream."""
+    streams, sizes = collections.defaultdict(list), collections.Counter()
+    for i, source, n in rows:
+        key = "~" if source is None else "=" + source
+        sizes[key] += n
+        streams[key].append((hashlib.md5(f"mix{i}".encode()).hexdigest(), i, n))
+    target, total = filled(sizes), sum(sizes.values())
+    words_of = {k: [i for _, i, n in sorted(v) for _ in range(n)] * 3 for k, v in streams.items()}
+    edges, at, taken = [], 0.0, collections.Counter()
+    for k in sorted(k for k in target if target[k] > 0):
+        at += target[k]
+        edges.append((at / total, k))
+    done = collections.Counter()
+    for slot in range(-(-total // 16)):
+        x = slot % (1 << 31) * mixing.GOLDEN % (1 << 31) / 2**31
+        k = next((k for hi, k in edges if x < hi), edges[-1][1])
+        taken.update(words_of[k][done[k] * 16 : done[k] * 16 + 16])
+        done[k] += 1
+    return {i: taken[i] for i, _, _ in rows}
+
+
+def test_mixing_takes_its_blocks_one_by_one(docs):
+    rng = random.Random(12)
+    rows = [(i, rng.choice(("a", "b", "c", "d", None)), rng.choice((0, 1, 5, 40, 90))) for i in range(150)] + [(900, "b", 3000)]
+    got = {r.doc_id: r.taken for r in mixing.mix(docs([(i, "w " * n, s) for i, s, n in rows]), carry=False).collect()}
+    assert got == brute_mix(rows)
+
+
+def test_mixing_of_copies(spark, docs):
+    """Null and repeated ids: each copy has a place of its own, far from the others."""
+    rows = [(None, "y " * 7, "a")] * 600 + [(5, "z " * 3, "a")] * 300 + [(i + 10, "x " * 5, "b") for i in range(900)]
+    got = mixing.mix(docs(rows).repartition(4), carry=False).collect()
+    assert len(got) == len(rows) and sum(r.taken for r in got) == pytest.approx(sum(len(words(t)) for _, t, _ in rows), abs=64)
+    pieces = mixing.mixed_blocks(docs(rows)).collect()
+    hot = np.array([p.slot for p in pieces if p.doc_id is None])
+    assert abs(hot.mean() / max(p.slot for p in pieces) - 0.5) < 0.05 and len(set(hot.tolist())) > 100
+
+
 def test_mixing_hard(hard, empty):
     got = mixing.mix(hard).collect()
     assert len(got) == hard.count() and all(0 <= r.taken <= 3 * r["size"] for r in got)
+    assert sorted((r.row.doc_id, r.row.text) == (r.doc_id, r.row.text) and r["size"] == len(words(r.row.text)) for r in got) == [True] * len(got)
+    assert sorted((repr(tuple(r.row)[:2]) for r in got)) == sorted(repr(tuple(r)[:2]) for r in hard.collect())
     assert mixing.mixed_documents(hard).columns == hard.columns
     assert mixing.mix(empty).count() == 0 and mixing.mixed_blocks(empty).count() == 0
 
