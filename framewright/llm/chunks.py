@@ -23,8 +23,12 @@ def totals(docs: DataFrame, text: str = "text") -> tuple[int, int]:
 
 
 def chunked(docs: DataFrame, size: int, id_col: str = "doc_id", text: str = "text", keep: tuple[Column, ...] = (), chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk, doc_id, text, ...): about chunk_bytes of text each, by a hash of id and length."""
+    """(chunk, doc_id, text, ...): about chunk_bytes of text each, by a hash of the row's place in the input.
+
+    So neither null ids nor copies meet in one chunk. Which rows do doesn't matter for the results, but passes over the chunks must see
+    the same ones: docs should be a table or what a written one gives, whose partitions are read alike again.
+    """
     n = max(1, math.ceil(size / chunk_bytes))
-    key = F.pmod(F.xxhash64(F.col(id_col), F.length(F.col(text))), F.lit(n)).cast("int")
+    key = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
     rows = docs.select(key.alias("chunk"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep)
     return rows.repartition(max(12, math.ceil(n / 3)), "chunk")

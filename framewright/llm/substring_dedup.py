@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib  # noqa: F401  (tests compare digests)
 import itertools
 import math
 
@@ -40,6 +39,12 @@ def _place(a: np.ndarray, b: np.ndarray, n: int, cells: int) -> tuple[np.ndarray
     return block, [x & U64(cells - 1) for x in (a, b)]
 
 
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of an ordered array, and where their runs begin (one more at the end)."""
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[starts], np.append(starts, len(ordered))
+
+
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order, starts of runs, and the run of each sorted place."""
     order = np.argsort(keys)
@@ -55,12 +60,14 @@ def substring_dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", te
     Pass 1: each chunk of documents adds its windows to the sketch, which is cut into blocks by hash
     and merged block by block; a chunk gets back one bit for each cell it touched (counted twice or more).
     Pass 2: the windows whose cells are all so marked, and no others, are grouped exactly, by 96 bits of
-    hash beside the block, and the smallest id wins. Pass 3 drops the words. The sketch only
+    hash beside the block, and the smallest id wins: a chunk sends each of its different windows once, with its least id, and is told
+    whether another chunk has a smaller one; which of its own occurrences go, it knows. So a window that all documents share is
+    one entry a chunk. Chunks send rows to those blocks only for which they have windows. Pass 3 drops the words. The sketch only
     overestimates, so no repeated window is lost.
 
     Returns (doc_id, n_words, n_removed, removed array<struct<first,last>> of word numbers, kept_text), a row
     for each input row. Null or empty text: no words. Null ids count as larger than all others and do not
-    remove each other's words; nor do rows with one id. Other columns are ignored. An empty table gives no rows.
+    remove each other's words; nor do rows with one id, equal or not. Other columns are ignored. An empty table gives no rows.
     """
     _, size = totals(docs, text)
     base = chunked(docs, size, id_col, text, chunk_bytes=chunk_bytes)
@@ -79,12 +86,11 @@ def substring_dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", te
             starts = np.flatnonzero(new)
             many = np.diff(starts, append=len(keys)) > 1
             keys = keys[starts]
-            at = bw.slices(keys >> U64(32), n_blocks)
-            for i in range(n_blocks):
-                lo, hi = at[i], at[i + 1]
+            own, ends = _runs(keys >> U64(32))
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
                 out[2 * r].append(bw.pack(keys[lo:hi] & U64(0xFFFFFFFF)))
                 out[2 * r + 1].append(bw.pack(np.flatnonzero(many[lo:hi])))
-        return pa.table({"chunk": pa.array([chunk] * n_blocks, pa.int32()), "block": pa.array(range(n_blocks), pa.int32()), **{n: pa.array(v, pa.binary()) for n, v in zip(("c0", "m0", "c1", "m1"), out, strict=True)}})
+        return pa.table({"chunk": pa.array([chunk] * len(own), pa.int32()), "block": pa.array(own.astype(np.int32)), **{n: pa.array(v, pa.binary()) for n, v in zip(("c0", "m0", "c1", "m1"), out, strict=True)}})
 
     def merge(table: pa.Table) -> pa.Table:
         flags = []
@@ -98,7 +104,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", te
         return pa.table({"chunk": table["chunk"], "block": table["block"], "f0": flags[0], "f1": flags[1]})
 
     def pick(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = {"chunk": pa.int32(), "block": pa.int32(), "k1": pa.binary(), "k2": pa.binary(), "at": pa.binary(), "ids": pa.binary(), "ns": pa.binary()}
+        schema = {"chunk": pa.int32(), "block": pa.int32(), "k1": pa.binary(), "k2": pa.binary(), "at": pa.binary(), "more": pa.binary(), "ids": pa.binary(), "ns": pa.binary()}
         if not left.num_rows or not right.num_rows:
             return pa.table({k: pa.array([], t) for k, t in schema.items()})
         chunk = left["chunk"][0].as_py()
@@ -111,21 +117,26 @@ def substring_dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", te
         for r, cell in enumerate(rows):
             keys = block << U64(32) | cell
             order, starts, run = _groups(keys)
-            ends = bw.slices(keys[order[starts]] >> U64(32), n_blocks)
-            flags = [np.unpackbits(np.frombuffer(f.as_py(), np.uint8), count=ends[i + 1] - ends[i]) for i, f in enumerate(right[f"f{r}"])]
+            _, ends = _runs(keys[order[starts]] >> U64(32))
+            flags = [np.unpackbits(np.frombuffer(f.as_py(), np.uint8), count=n) for n, f in zip(np.diff(ends), right[f"f{r}"], strict=True)]
             twice[order] &= np.concatenate(flags).astype(bool)[run]
-        pick = np.flatnonzero(twice)
-        by = pick[np.argsort(block[pick], kind="stable")]
-        ends = bw.slices(block[by], n_blocks)
-        doc = np.searchsorted(first, at[by], "right") - 1
+        # one entry for each different window, at its first place: rows are in order of ids, so that has the least
+        some = np.flatnonzero(twice)
+        a, b, block, at = a[some], b[some] >> U64(32), block[some], at[some]
+        doc = np.searchsorted(first, at, "right") - 1
+        order = np.lexsort((b, a))
+        new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]) if len(order) else np.zeros(0, bool)
+        heads, ends = order[new], np.append(np.flatnonzero(new)[1:], len(order)) - 1
+        more = ids[doc[order[ends]]] > ids[doc[heads]] if len(order) else np.zeros(0, bool)
+        by = np.lexsort((at[heads], block[heads]))
+        heads, more = heads[by], more[by]
+        own, ends = _runs(block[heads])
         out = {k: [] for k in schema}
-        for i in range(n_blocks):
-            lo, hi = ends[i], ends[i + 1]
-            if lo < hi:
-                own, ns = np.unique(doc[lo:hi], return_counts=True)
-                x = by[lo:hi]
-                for k, v in zip(schema, (chunk, i, a[x].tobytes(), (b[x] >> U64(32)).astype(np.uint32).tobytes(), bw.pack(at[x]), ids[own].tobytes(), ns.astype(np.uint32).tobytes()), strict=True):
-                    out[k].append(v)
+        for i, lo, hi in zip(own.tolist(), ends[:-1], ends[1:], strict=True):
+            x = heads[lo:hi]
+            mine, ns = np.unique(doc[x], return_counts=True)
+            for k, v in zip(schema, (chunk, i, a[x].tobytes(), b[x].astype(np.uint32).tobytes(), bw.pack(at[x]), np.packbits(more[lo:hi]).tobytes(), ids[mine].tobytes(), ns.astype(np.uint32).tobytes()), strict=True):
+                out[k].append(v)
         return pa.table({k: pa.array(out[k], t) for k, t in schema.items()})
 
     def exact(table: pa.Table) -> pa.Table:
@@ -133,15 +144,21 @@ def substring_dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", te
         b = np.frombuffer(b"".join(x.as_py() for x in table["k2"]), np.uint32)
         sizes = [len(x.as_py()) // 4 for x in table["k2"]]
         ids = np.repeat(np.frombuffer(b"".join(x.as_py() for x in table["ids"]), np.int64), np.frombuffer(b"".join(x.as_py() for x in table["ns"]), np.uint32))
+        more = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(table["more"], sizes, strict=True)] or [np.zeros(0, np.uint8)]).astype(bool)
         order = np.lexsort((b, a))
         new = np.ones(len(order), bool)
         new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
         low = np.minimum.reduceat(ids[order], np.flatnonzero(new)) if len(order) else ids
         gone = np.zeros(len(order), bool)
         gone[order] = ids[order] > low[np.cumsum(new) - 1]
-        ends = np.cumsum([0, *sizes])
-        at = [bw.pack(bw.unpack(x.as_py())[gone[ends[i] : ends[i + 1]]]) for i, x in enumerate(table["at"])]
-        return pa.table({"chunk": table["chunk"], "at": pa.array(at, pa.binary())})
+        told = gone | more  # windows of which some occurrence in the chunk goes, and whether the first does too
+        out = {"chunk": [], "at": [], "all": []}
+        for i, (chunk, lo, hi) in enumerate(zip(table["chunk"].to_pylist(), np.cumsum([0, *sizes[:-1]]), np.cumsum(sizes), strict=True)):
+            x = told[lo:hi]
+            if x.any():
+                for k, v in zip(out, (chunk, bw.pack(bw.unpack(table["at"][i].as_py())[x]), np.packbits(gone[lo:hi][x]).tobytes()), strict=True):
+                    out[k].append(v)
+        return pa.table({"chunk": pa.array(out["chunk"], pa.int32()), "at": pa.array(out["at"], pa.binary()), "all": pa.array(out["all"], pa.binary())})
 
     kept_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
@@ -153,8 +170,21 @@ def substring_dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", te
         for lo, hi in bw.blocks(offsets):
             firsts[lo + 1 : hi + 1] = firsts[lo] + bw.spans(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[2][1:]
         edge = np.zeros(firsts[-1] + 1, np.int32)
-        for x in right["at"]:
-            at = bw.unpack(x.as_py())
+        heads = [bw.unpack(x.as_py()) for x in right["at"]]
+        if heads:
+            every = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(p)) for x, p in zip(right["all"], heads, strict=True)]).astype(bool)
+            heads = np.concatenate(heads)
+            at, a, b, _ = _windows(left, width)
+            key = bw.mix(a ^ (b >> U64(32)))
+            ids = left["doc_id"].combine_chunks().fill_null(NONE).to_numpy(zero_copy_only=False)
+            told = key[np.searchsorted(at, heads)]
+            order = np.argsort(told)
+            told, every, heads = told[order], every[order], heads[order]
+            found = np.minimum(np.searchsorted(told, key), len(told) - 1)
+            hit = np.flatnonzero(told[found] == key)
+            found = found[hit]
+            own, least = (ids[np.searchsorted(firsts, x, "right") - 1] for x in (at[hit], heads[found]))
+            at = at[hit][every[found] | (own > least)]
             edge[at] += 1
             edge[at + width] -= 1
         gone = np.cumsum(edge[:-1]) > 0
@@ -176,8 +206,8 @@ def substring_dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", te
     by_chunk = base.groupBy("chunk")
     asked = by_chunk.applyInArrow(ask, "chunk int, block int, c0 binary, m0 binary, c1 binary, m1 binary")
     flags = asked.groupBy("block").applyInArrow(merge, "chunk int, block int, f0 binary, f1 binary")
-    picked = by_chunk.cogroup(flags.groupBy("chunk")).applyInArrow(pick, "chunk int, block int, k1 binary, k2 binary, at binary, ids binary, ns binary")
-    gone = picked.groupBy("block").applyInArrow(exact, "chunk int, at binary")
+    picked = by_chunk.cogroup(flags.groupBy("chunk")).applyInArrow(pick, "chunk int, block int, k1 binary, k2 binary, at binary, more binary, ids binary, ns binary")
+    gone = picked.groupBy("block").applyInArrow(exact, "chunk int, at binary, all binary")
     return by_chunk.cogroup(gone.groupBy("chunk")).applyInArrow(drop, "doc_id long, n_words long, n_removed long, removed array<struct<first:long,last:long>>, kept_text string")
 
 

@@ -91,6 +91,34 @@ def test_substring_dedup(docs, options):
     assert sorted(got) == sorted(brute_dedup(rows, 13))
 
 
+def test_a_window_in_every_document_is_one_entry_a_chunk(spark, docs, monkeypatch):
+    """Rows that the exact pass groups: no more for a chunk than it has different windows, however often they occur."""
+    common = " ".join(f"c{k}" for k in range(13))
+    rows = [(i, f"a{i} {common} b{i} {common} {common}") for i in range(400)] + [(None, common)] * 50
+    asked = []
+    kind = type(docs(rows))
+    plain = kind.groupBy
+
+    def spied(df, *keys):  # what is grouped by block are the messages of the sketch, then those of the exact pass
+        if keys == ("block",):
+            asked.append(df)
+        return plain(df, *keys)
+
+    monkeypatch.setattr(kind, "groupBy", spied)
+    out = substring_dedup.substring_dedup(docs(rows), chunk_bytes=4000)
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out.collect()]
+    sent = asked[1].select("chunk", (F.octet_length("k1") / 8).alias("n")).collect()
+    chunks = len({r.chunk for r in sent})
+    assert chunks > 10 and sum(r.n for r in sent) <= chunks * 60  # 400 documents have 1,200 occurrences of one window alone
+    assert sorted(got, key=repr) == sorted(brute_dedup(rows, 13), key=repr)
+
+
+def test_chunks_of_null_ids_are_even(spark, docs):
+    rows = docs([(None, "same text of all")] * 3000)
+    sizes = [r["count"] for r in substring_dedup.chunked(rows, 3000 * 16, chunk_bytes=1600).groupBy("chunk").count().collect()]
+    assert len(sizes) == 30 and max(sizes) < 200
+
+
 def test_substring_dedup_hard(hard, empty):
     rows = [(r.doc_id, r.text) for r in hard.collect()]
     got = substring_dedup.substring_dedup(hard).collect()
