@@ -18,8 +18,8 @@ U64 = np.uint64
 #: Bytes of context; a gram is as many bytes and the one that follows, the nearest of the context first.
 DEPTH = 5
 CHUNK_BYTES, BLOCK_BYTES = 8 << 20, 32 << 20
-#: Tasks that hold the tree, each the contexts with some last two bytes.
-GROUPS = 64
+#: Groups of contexts by their last two bytes; each is dealt by the third byte into parts, which are so many that they have about this much text.
+GROUPS, PART_BYTES = 64, 2 << 20
 FOLDS = 10
 _LOWER = bw.LOWER.tobytes()
 END = 0x0A
@@ -134,10 +134,12 @@ class Keys:
         return every, count, order, bw.slices(block[order], self.n_blocks)
 
     def packed(self) -> dict[str, list]:
-        out: dict[str, list] = {"block": list(range(self.n_blocks))}
-        for of in ("w", "g"):
-            every, count, order, ends = self.sorted(of)
-            cuts = [order[ends[i] : ends[i + 1]] for i in range(self.n_blocks)]
+        """A row for each block that has any of the keys."""
+        both = {of: self.sorted(of) for of in ("w", "g")}
+        some = np.flatnonzero(sum(np.diff(x[3]) for x in both.values()))
+        out: dict[str, list] = {"block": some.tolist()}
+        for of, (every, count, order, ends) in both.items():
+            cuts = [order[ends[i] : ends[i + 1]] for i in some]
             out[of] = [_planes(every[c]) for c in cuts]
             out[f"{of}n"] = [_planes(count[c]) if of in self.counted else None for c in cuts]
         return out
@@ -203,22 +205,19 @@ def _predict(grams: np.ndarray, levels: dict[int, tuple], depth: int) -> np.ndar
     return total
 
 
-def _upper(rows: list, depth: int) -> dict[int, tuple]:
+def _added(rows: list[dict]) -> tuple:
+    """Nodes of a level, from what those below add up to (k: nodes, a: zeros, b: ones, s: log of the sum below)."""
+    keys, a, b, s = (np.concatenate([np.frombuffer(r[c], t) for r in rows] or [np.zeros(0, t)]) for c, t in (("k", U64), ("a", np.int64), ("b", np.int64), ("s", np.float64)))
+    nodes, at = np.unique(keys, return_inverse=True)
+    x, y, z = (np.bincount(at, v, len(nodes)).astype(v.dtype) for v in (a, b, s))
+    kt = log_kt(x.astype(np.float64), y.astype(np.float64))
+    return nodes, x, y, np.logaddexp(kt, z) - math.log(2), kt, z
+
+
+def _upper(rows: list[dict]) -> dict[int, tuple]:
     """Levels 1 and 0 from what the groups add up to at level 1."""
-    keys = np.concatenate([np.frombuffer(r.k, U64) for r in rows] or [np.zeros(0, U64)])
-    a, b, s = (np.concatenate([np.frombuffer(r[c], t) for r in rows] or [np.zeros(0, t)]) for c, t in (("a", np.int64), ("b", np.int64), ("s", np.float64)))
-    out = {}
-    for d in (1, 0):
-        nodes, at = np.unique(keys, return_inverse=True)
-        x, y, z = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64), np.zeros(len(nodes))
-        np.add.at(x, at, a)
-        np.add.at(y, at, b)
-        np.add.at(z, at, s)
-        kt = log_kt(x.astype(np.float64), y.astype(np.float64))
-        pw = np.logaddexp(kt, z) - math.log(2)
-        out[d] = (nodes, x, y, pw, kt, z)
-        keys, a, b, s = nodes & U64(255), x, y, pw
-    return out
+    one = _added(rows)
+    return {1: one, 0: _added([{"k": (one[0] & U64(255)).tobytes(), "a": one[1].tobytes(), "b": one[2].tobytes(), "s": one[3].tobytes()}])}
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -229,15 +228,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chu
     weighting mixes all depths by their posterior weights, bottom up; so the score is minus the code length.
 
     Counts: every task packs the distinct grams (context and byte) of a few MB, and blocks of a hash add them up. The tree
-    is built by the last two bytes of the contexts, its two topmost levels (65 280 nodes at most) on the driver. Then each chunk of
-    documents asks the blocks for the log probabilities of its distinct grams and the counts of its distinct words.
+    is built in parts by the last three bytes of the contexts, whose number grows with the text; its level of two bytes in GROUPS groups, and
+    the two topmost levels (65 280 nodes at most) on the driver. Then each chunk of documents asks the blocks for the log probabilities of its
+    distinct grams and the counts of its distinct words. A chunk has rows only for blocks, and a block only for parts, that hold some of its keys.
 
-    Returns (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). Words are keyed by 64 bits of hash. Null text is
+    Returns (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte: the code length per byte of the stream). Words are keyed by 64 bits of hash. Null text is
     empty: one token, the end. A null id is held out; repeated rows count as often as they occur. Without training rows each bit
     has probability 1/2. An empty table gives no rows.
     """
     _, size = totals(docs, text)
     n_blocks = max(16, math.ceil(size / BLOCK_BYTES))
+    spread = min(1 << 16, max(1, math.ceil(size / PART_BYTES / GROUPS)))
     train = (fold(F.col(id_col)) != 0).alias("train")
     rows = docs.select(train, F.col(text).alias("text"))
 
@@ -259,12 +260,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chu
         block = table["block"][0].as_py()
         sums = [_counted([_unplanes(x.as_py(), U64) for x in table[k]], [_unplanes(x.as_py(), np.uint32).astype(np.int64) for x in table[f"{k}n"]]) for k in ("w", "g")]
         (_, n), (g, gn) = sums
-        group = _block((g >> U64(8 * (DEPTH - 2) + 8)) + U64(1), GROUPS)
-        order = np.argsort(group, kind="stable")
-        ends = bw.slices(group[order], GROUPS)
-        cuts = [order[ends[i] : ends[i + 1]] for i in range(GROUPS)]
+        part = _block((g >> U64(8 * (DEPTH - 2) + 8)) + U64(1), GROUPS) * U64(spread) + _block((g >> U64(8 * (DEPTH - 3) + 8)) + U64(1), spread)
+        order = np.argsort(part, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) > 0])) if len(part) else np.zeros(0, np.int64)
+        cuts = np.split(order, starts[1:]) if len(part) else [order]  # a row at least, for the words
+        more = len(cuts) - 1
         return pa.table({
-            "block": pa.array([block] * GROUPS, pa.int32()), "part": pa.array(range(GROUPS), pa.int32()), "v": pa.array([int((n > 0).sum())] + [0] * (GROUPS - 1), pa.int64()), "n": pa.array([int(n.sum())] + [0] * (GROUPS - 1), pa.int64()),
+            "block": pa.array([block] * len(cuts), pa.int32()), "part": pa.array(part[order[starts]].astype(np.int32) if len(part) else [0], pa.int32()), "v": pa.array([int((n > 0).sum())] + [0] * more, pa.int64()), "n": pa.array([int(n.sum())] + [0] * more, pa.int64()),
             "g": pa.array([_planes(g[c]) for c in cuts], pa.binary()), "gn": pa.array([_planes(gn[c]) for c in cuts], pa.binary()),
         })
 
@@ -279,28 +281,42 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chu
         blocks = np.repeat(table["block"].to_numpy(), [len(x) for x in g])
         return np.concatenate(g), gn, blocks
 
+    def sums(nodes: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Nodes of the context shorter by its farthest byte, and their sums."""
+        keys, at = np.unique(nodes >> U64(16) << U64(8) | nodes & U64(255), return_inverse=True)
+        return keys, *(np.bincount(at, v, len(keys)).astype(v.dtype) for v in values)
+
     def top(table: pa.Table) -> pa.Table:
         g, gn, _ = read(table)
-        nodes, a, b, pw, _, _ = _levels(g[gn > 0], gn[gn > 0], DEPTH, 2)[2]
-        up = nodes >> U64(16) << U64(8) | nodes & U64(255)
-        keys, at = np.unique(up, return_inverse=True)
-        x, y, s = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys))
-        np.add.at(x, at, a)
-        np.add.at(y, at, b)
-        np.add.at(s, at, pw)
-        return pa.table({k: pa.array([z.tobytes()], pa.binary()) for k, z in (("k", keys), ("a", x), ("b", y), ("s", s))})
-
-    upper = _upper(counts.groupBy("part").applyInArrow(top, "k binary, a binary, b binary, s binary").collect(), DEPTH)
-
-    def tree(table: pa.Table) -> pa.Table:
+        nodes, a, b, pw, _, _ = _levels(g[gn > 0], gn[gn > 0], DEPTH, 3)[3]
+        found = zip(("k", "a", "b", "s"), sums(nodes, a, b, pw), strict=True)
+        return pa.table({"group": pa.array([table["part"][0].as_py() // spread], pa.int32())} | {k: pa.array([z.tobytes()], pa.binary()) for k, z in found})
+
+    def second(table: pa.Table) -> pa.Table:
+        """Level 2 of a group, from its parts; and what it adds up to at level 1."""
+        level = _added(table.to_pylist())
+        found = zip(("k", "a", "b", "s"), sums(level[0], level[1], level[2], level[3]), strict=True)
+        return pa.table({"group": table["group"].slice(0, 1)} | {f"l{i}": pa.array([x.tobytes()], pa.binary()) for i, x in enumerate(level)} | {k: pa.array([z.tobytes()], pa.binary()) for k, z in found})
+
+    arrays = ", ".join(f"{k} binary" for k in ("k", "a", "b", "s"))
+    tops = counts.groupBy("part").applyInArrow(top, f"group int, {arrays}")
+    level2 = kept(tops.groupBy("group").applyInArrow(second, f"group int, {', '.join(f'l{i} binary' for i in range(6))}, {arrays}"))
+    upper = _upper([r.asDict() for r in level2.select("k", "a", "b", "s").collect()])
+
+    def tree(table: pa.Table, above: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"block": pa.array([], pa.int32()), "g": pa.array([], pa.binary()), "p": pa.array([], pa.binary())})
         g, gn, blocks = read(table)
-        p = _predict(g, _levels(g[gn > 0], gn[gn > 0], DEPTH, 2) | upper, DEPTH).astype(np.float32)
+        own = tuple(np.frombuffer(above[f"l{i}"][0].as_py(), t) for i, t in enumerate((U64, np.int64, np.int64, np.float64, np.float64, np.float64)))
+        p = _predict(g, _levels(g[gn > 0], gn[gn > 0], DEPTH, 3) | {2: own} | upper, DEPTH).astype(np.float32)
         order = np.argsort(blocks, kind="stable")
         ends = bw.slices(blocks[order], n_blocks)
         cuts = [(i, order[ends[i] : ends[i + 1]]) for i in range(n_blocks) if ends[i] < ends[i + 1]]
         return pa.table({"block": pa.array([i for i, _ in cuts], pa.int32()), "g": pa.array([_planes(g[c]) for _, c in cuts], pa.binary()), "p": pa.array([_planes(p[c]) for _, c in cuts], pa.binary())})
 
-    scored = counts.groupBy("part").applyInArrow(tree, "block int, g binary, p binary")
+    own_part = F.explode(F.sequence(F.col("group") * spread, F.col("group") * spread + spread - 1)).alias("part")
+    above = level2.select(own_part, *[f"l{i}" for i in range(6)])
+    scored = counts.groupBy("part").cogroup(above.groupBy("part")).applyInArrow(tree, "block int, g binary, p binary")
     base = chunked(docs, size, id_col, text, (train,), chunk_bytes)
     by_chunk = base.groupBy("chunk")
 
@@ -308,7 +324,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chu
         held = Keys(n_blocks, "w")
         for batch in table.to_batches():
             held.add(batch.column("text"), batch.column("train").to_numpy(zero_copy_only=False))
-        return pa.table(_table(held.packed(), chunk=pa.array([table["chunk"][0].as_py()] * n_blocks, pa.int32())))
+        asked = held.packed()
+        return pa.table(_table(asked, chunk=pa.array([table["chunk"][0].as_py()] * len(asked["block"]), pa.int32())))
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         words = [_unplanes(x.as_py(), U64) for x in asked["w"]]
@@ -335,8 +352,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chu
             value = np.zeros(len(every), kind)
             value[order] = np.concatenate([_unplanes(x.as_py(), kind) for x in right[column]] or [np.zeros(0, kind)])
             values[of] = every, value
-        out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        sums = lambda x, first: (t := np.concatenate([[0.0], np.cumsum(x)]))[first[1:]] - t[first[:-1]]
+        out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "bits_per_byte")}
+        added = lambda x, first: (t := np.concatenate([[0.0], np.cumsum(x)]))[first[1:]] - t[first[:-1]]
         for batch in batches:
             raw, offsets = bw.text_buffers(batch.column("text"))
             for lo, hi in bw.blocks(offsets):
@@ -345,20 +362,22 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chu
                 c = value[np.searchsorted(every, h)]
                 n = np.diff(wf) + 1
                 out["n_tokens"].append(n)
-                out["n_known"].append(sums(c > 0, wf).astype(np.int64) + (n_ends > 0))
-                out["base_score"].append(sums(np.log10(c + 0.1), wf) + end_part - n * floor)
+                out["n_known"].append(added(c > 0, wf).astype(np.int64) + (n_ends > 0))
+                out["base_score"].append(added(np.log10(c + 0.1), wf) + end_part - n * floor)
                 g, gf = streams(batch.column("text"), lo, hi, raw, offsets)
                 every, value = values["g"]
                 order = np.argsort(g)
                 p = np.empty(len(g))
                 p[order] = value[np.searchsorted(every, g[order])]
-                out["score"].append(sums(p, gf) / math.log(10))
+                code = added(p, gf)
+                out["score"].append(code / math.log(10))
+                out["bits_per_byte"].append(-code / math.log(2) / np.diff(gf))
         return pa.table({"doc_id": left["doc_id"], "train": left["train"]} | {k: np.concatenate(x) for k, x in out.items()})
 
     asked = by_chunk.applyInArrow(ask, f"chunk int, {ASKED}")
     answers = asked.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(answer, "chunk int, block int, wn binary, gp binary")
-    out = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
+    out = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -336,6 +336,8 @@ def check_scores(df, rows):
     for a, b in zip(want, have, strict=True):
         assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-4, abs_tol=1e-6)
     assert all(r.held_out == (fold(r.doc_id, 10) == 0) for r in got)
+    lengths = collections.Counter(len(stream(t)) for _, t in rows)
+    assert collections.Counter(round(-r.score * math.log2(10) / r.bits_per_byte) for r in got) == lengths
 
 
 def test_context_tree(docs, empty):
@@ -347,8 +349,13 @@ def test_context_tree(docs, empty):
     assert context_tree.score_texts(empty).count() == 0
 
 
-def test_context_tree_hard(hard):
+def test_context_tree_hard(hard, monkeypatch):
     assert context_tree.score_texts(hard).count() == hard.count()
+    some = hard.where("doc_id is null or doc_id not in (5, 6)")  # without the long text
+    rows = [(r.doc_id, r.text) for r in some.collect()]
+    check_scores(context_tree.score_texts(some), rows)
+    monkeypatch.setattr(context_tree, "PART_BYTES", 4)  # several parts for each group
+    check_scores(context_tree.score_texts(some), rows)
 
 
 # 5
