@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -119,11 +120,7 @@ def linked(values: np.ndarray, first: np.ndarray, at_least: Fraction) -> np.ndar
 
 def _verify(width: int, at_least: Fraction):
     def one(table: pa.Table) -> tuple[list, list, list]:
-        rep = table["rep"].combine_chunks()
-        low, high = (rep.field(k).to_numpy() for k in ("id", "s"))
-        order = np.lexsort((high, low))
-        new = np.concatenate([[True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])])
-        keep = order[new]  # ascending
+        reps, keep = np.unique(table["rep"].to_numpy(), return_index=True)
         if len(keep) < 2:
             return [], [], []
         table = table.take(pa.array(keep))
@@ -152,16 +149,13 @@ def _verify(width: int, at_least: Fraction):
             label = least
         weight = counted @ table["copies"].to_numpy().astype(np.int64)
         some = np.flatnonzero((weight > 0) | (label != np.arange(len(keep))))
-        reps = table["rep"].combine_chunks()
-        return reps.take(pa.array(some)).to_pylist(), reps.take(pa.array(label[some])).to_pylist(), weight[some].tolist()
-
-    kind = pa.struct([("id", pa.int64()), ("s", pa.int64())])
+        return reps[some].tolist(), reps[label[some]].tolist(), weight[some].tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rep, root, links = [], [], []
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rep, kind), pa.array(root, kind), pa.array(links, pa.int64())], ["rep", "root", "links"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rep, root, links)], ["rep", "root", "links"])
 
         for table in groups(batches, "bucket"):
             for held, got in zip((rep, root, links), one(table), strict=True):
@@ -212,16 +206,14 @@ def buckets(reps: DataFrame, runs: int, limit: int = BUCKET, levels: int = LEVEL
     first = [F.xxhash64(F.lit(r * BRANCHES + b), F.get("tokens", F.lit((r * BRANCHES + b) % SAMPLES))) for r in range(runs) for b in range(BRANCHES)]
     rows = reps.select("rep", F.explode(F.array(*first)).alias("bucket"))
     none = F.lit(0).cast("long")
-    out = None
+    small, blocks = [], []
     for level in range(1, levels + 1):
         size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         sized = kept(rows.join(size, "bucket"))
-        lists = sized.where(F.col("m") <= limit).groupBy("bucket").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
-        lists = lists.groupBy(F.xxhash64("reps").alias("bucket")).agg(F.first("reps").alias("reps")).select("bucket", F.col("bucket").alias("group"), none.alias("own"), none.alias("other"), F.explode("reps").alias("rep"))
-        out = lists if out is None else out.unionByName(lists)
+        small.append(sized.where(F.col("m") <= limit).select("bucket", "rep"))
         large = sized.where(F.col("m") > limit)
         if large.isEmpty():
-            return out
+            break
         large = large.join(reps, "rep")
         some = [0, SAMPLES // 3, SAMPLES // 2, SAMPLES - 1]
         held = large.select("bucket", "m", F.posexplode(F.array(*[F.get("tokens", F.lit(i)) for i in some])).alias("i", "token"))
@@ -229,21 +221,26 @@ def buckets(reps: DataFrame, runs: int, limit: int = BUCKET, levels: int = LEVEL
         large = large.join(held.select("bucket", ((F.col("mean") >= DENSE) | F.lit(level == levels)).alias("dense")), "bucket")
         large = kept(large)
         n = F.ceil(F.col("m") / limit)
-        blocks = large.where("dense").select("rep", F.col("bucket").alias("group"), F.pmod(F.xxhash64(F.lit("block"), "rep"), n).alias("own"), F.explode(F.sequence(none, n - 1)).alias("other"))
-        out = out.unionByName(blocks.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "group", "own", "other", "rep"))
+        blocks.append(large.where("dense").select("rep", F.col("bucket").alias("group"), F.pmod(F.xxhash64(F.lit("block"), "rep"), n).alias("own"), F.explode(F.sequence(none, n - 1)).alias("other")))
         rows = _children(large.where("not dense"), level)
-    return out
+    lists = reduce(DataFrame.unionByName, small).groupBy("bucket").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
+    lists = lists.groupBy(F.xxhash64("reps").alias("bucket")).agg(F.first("reps").alias("reps"))
+    lists = lists.select("bucket", F.col("bucket").alias("group"), none.alias("own"), none.alias("other"), F.explode("reps").alias("rep"))
+    met = F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("bucket")
+    return reduce(DataFrame.unionByName, [x.select(met, "group", "own", "other", "rep") for x in blocks], lists)
 
 
 #: Stands for a null id, so that null ids come last.
 LAST = (1 << 63) - 1
+#: Rows of one class are joined with its first id in so many parts.
+SALT = 32
 
 
-def _classes(docs: DataFrame, width: int, similarity: float, recall: float, id_col: str, text: str, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, h, n, s0, s1) of all documents, h a hash of the text; and their different sets (s0, s1, n, rep, h, twins, copies, root, links).
+def _classes(docs: DataFrame, width: int, similarity: float, recall: float, id_col: str, text: str, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, h, n, s0, s1) of all documents, h a hash of the text; their different sets (s0, s1, n, rep, id, h, copies, links, twins if some have any); (node, root) of linked sets.
 
-    A set is told by rep = (its least id, a hash of the set), so one id can have several. h and twins: hash and number of its rows
-    with the least id and text. root: the least rep that links lead to. Only texts named by (id, h) are read again.
+    A set's number rep is its place in the order of least ids and signatures, so one id can have several sets. h and twins: hash and
+    number of its rows with the least id and text. root: the least rep that links lead to. Only texts named by (id, h) are read again.
     """
     at_least = Fraction(str(similarity))
     q = 1.0
@@ -253,29 +250,33 @@ def _classes(docs: DataFrame, width: int, similarity: float, recall: float, id_c
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
     sets = kept(rows.mapInArrow(_sets(width), "doc_id long, h long, n long, s0 long, s1 long, tokens array<int>"))
     some = sets.where("n > 0").withColumn("id", F.coalesce("doc_id", F.lit(LAST)))
-    twins = some.groupBy("s0", "s1", "n", "id", "h").agg(F.count(F.lit(1)).alias("twins"), F.first("tokens").alias("tokens"))
-    one = F.min_by(F.struct("id", "h", "twins", "tokens"), F.struct("id", "h")).alias("o")
-    reps = twins.groupBy("s0", "s1", "n").agg(one, F.sum("twins").alias("copies"))
-    reps = kept(reps.select("s0", "s1", "n", F.struct(F.col("o.id").alias("id"), F.col("s0").alias("s")).alias("rep"), "o.h", "o.twins", "copies", "o.tokens"))
+    reps = some.groupBy("s0", "s1", "n").agg(F.min(F.struct("id", "h")).alias("o"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"))
+    reps = reps.select("s0", "s1", "n", "o.*", "copies", "tokens").sort("id", "s0", "s1")
+    reps = kept(reps.withColumn("rep", F.monotonically_increasing_id()))  # ascends with the order
+    twins = some.groupBy("id", "h").agg(F.count(F.lit(1)).alias("twins")).where("twins > 1")
+    names = reps.drop("tokens")
+    if not twins.isEmpty():
+        names = names.join(twins, ["id", "h"], "left")
     found = kept(buckets(reps.select("rep", "tokens"), runs, limit))
     asked = found.groupBy("rep").agg(F.collect_set("group").alias("groups"), F.collect_list(F.struct("bucket", "group", "own", "other")).alias("places"))
-    asked = asked.join(reps.select("rep", "copies", "h", "twins"), "rep").withColumn("id", F.col("rep.id"))
+    asked = names.drop("s0", "s1", "n").join(asked, "rep")
     texts = _named(rows.withColumn("id", F.coalesce("doc_id", F.lit(LAST))).select("id", "h", "text"), asked)
     texts = texts.select("rep", "copies", "groups", "text", F.inline("places"))
     parts = max(12, math.ceil(found.count() / 2000))
-    pairs = texts.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_verify(width, at_least), "rep struct<id:long,s:long>, root struct<id:long,s:long>, links long")
+    pairs = texts.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_verify(width, at_least), "rep long, root long, links long")
     pairs = kept(pairs.groupBy("rep", "root").agg(F.sum("links").alias("links")))
     roots = components(pairs.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = pairs.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = reps.drop("tokens").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
-    known = known.withColumns({"root": F.coalesce("root", "rep"), "links": F.col("copies") - 1 + F.coalesce("links", F.lit(0))})
-    return sets.drop("tokens"), known
+    names = names.join(links, "rep", "left").withColumn("links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
+    return sets.drop("tokens"), names, roots
 
 
 def _named(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """The rows that asked names by id and h, one of each name: only where it says that there are twins are they sorted out."""
-    single = rows.join(asked.where("twins = 1"), ["id", "h"])
-    return single.unionByName(rows.join(asked.where("twins > 1"), ["id", "h"]).dropDuplicates(["id", "h"]))
+    """The rows that asked names by id and h, one of each name: where it says that some have twins, those are sorted out."""
+    if "twins" not in asked.columns:
+        return rows.join(asked, ["id", "h"])
+    single, again = asked.where("twins is null"), asked.where("twins is not null")
+    return rows.join(single, ["id", "h"]).unionByName(rows.join(again, ["id", "h"]).dropDuplicates(["id", "h"]))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id", text: str = "text", limit: int = BUCKET) -> DataFrame:
@@ -292,8 +293,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = S
     or one id for different texts like all others, and rows equal in both are copies. A class of null ids only has a null
     class_id (so has the id 2^63 - 1, which stands for null). An empty table gives no rows; other columns are ignored.
     """
-    sets, known = _classes(docs, width, similarity, recall, id_col, text, limit)
-    known = known.select("s0", "s1", "n", F.nullif(F.col("root.id"), F.lit(LAST)).alias("class_id"), F.col("links").alias("n_links"))
+    sets, names, roots = _classes(docs, width, similarity, recall, id_col, text, limit)
+    # a class can hold a third of all sets: its rows are dealt into SALT parts to be joined with its first id
+    heads = roots.select("root").distinct().join(names.select(F.col("rep").alias("root"), F.col("id").alias("head")), "root")
+    heads = heads.select("root", "head", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    first = roots.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALT))).join(heads, ["root", "salt"]).select(F.col("node").alias("rep"), "head")
+    known = names.join(first, "rep", "left")
+    known = known.select("s0", "s1", "n", F.nullif(F.coalesce("head", "id"), F.lit(LAST)).alias("class_id"), F.col("links").alias("n_links"))
     alone = sets.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return sets.where("n > 0").join(known, ["s0", "s1", "n"]).select("doc_id", "class_id", "n_links").unionByName(alone)
 
@@ -304,8 +310,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     Of rows that share the first id, the one whose text has the least hash stays, and of rows equal in both one. Texts without
     words, and null, are all kept. An empty table gives no rows.
     """
-    _, known = _classes(docs, width, similarity, recall, id_col, text, limit)
-    first = known.where("rep = root").select(F.col("rep.id").alias("id"), "h", "twins")
+    _, names, roots = _classes(docs, width, similarity, recall, id_col, text, limit)
+    first = names.join(roots, F.col("rep") == F.col("node"), "left_anti").drop("s0", "s1", "n", "rep", "copies", "links")
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("some"))
     return _named(rows.where("some").drop("some"), first).select("row.*").unionByName(rows.where("not some").select("row.*"))
 

@@ -746,7 +746,7 @@ def test_three_equal_rows_leave_one(docs):
 
 def test_rows_of_a_dense_group_have_short_lists(spark):
     rows = [(i, [7] * chosen_path.SAMPLES) for i in range(400)]
-    reps = spark.createDataFrame(rows, "id long, tokens array<int>").selectExpr("struct(id, id as s) as rep", "tokens")
+    reps = spark.createDataFrame(rows, "rep long, tokens array<int>")
     found = chosen_path.buckets(reps, 3, limit=10)
     lists = found.groupBy("rep").agg(F.count_distinct("group").alias("groups"), F.count_distinct("bucket").alias("buckets")).collect()
     assert all(r.groups == 6 and r.buckets == 6 * 40 for r in lists)
