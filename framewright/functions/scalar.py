@@ -58,11 +58,11 @@ def file_name(pattern: str, name: Column, run: Column, index: Column, ts: Column
 
 
 def next_in_sequence(name: Column) -> Column:
-    """A name with its last run of digits counted up, its width kept; null without digits."""
+    """A name with its last run of digits counted up, its width kept; "0" without digits."""
     digits = F.regexp_extract(name, r"(\d+)(?=\D*$)", 1)
     up = (F.when(digits != "", digits).cast("decimal(20,0)") + 1).cast("string")
     wide = F.lpad(up, F.greatest(F.length(digits), F.length(up)), F.lit("0"))
-    return F.when(digits != "", F.concat(F.regexp_extract(name, r"^(.*?)\d+\D*$", 1), wide, F.regexp_extract(name, r"(\D*)$", 1)))
+    return F.when(digits != "", F.concat(F.regexp_extract(name, r"^(.*?)\d+\D*$", 1), wide, F.regexp_extract(name, r"(\D*)$", 1))).when(name.isNotNull(), "0")
 
 
 def sequence_number(name: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.operators.ordered import running
+from framewright.operators.tables import kept
 
 
 def first_arrivals(info: DataFrame, order: str = "seq") -> DataFrame:
@@ -44,6 +45,7 @@ def emission(info: DataFrame, n_senders: int, order: str = "seq") -> DataFrame:
 
 def late(info: DataFrame, n_senders: int, order: str = "seq") -> DataFrame:
     """Announcements of frames that were given out before, each with the announcement that did it."""
+    info = kept(info)
     return info.join(emission(info, n_senders, order).select("tf_id", "emit_seq"), "tf_id").where(F.col(order) > F.col("emit_seq"))
 
 
@@ -60,9 +62,20 @@ def stale(info: DataFrame, n_senders: int, timeout: str, at: str = "ts") -> Data
     return x.where((F.col("n_senders") < n_senders) & (F.col("first_ts") < now - F.expr(timeout)))
 
 
-def over_watermark(info: DataFrame, frames: DataFrame, percent: int = 90, most_bytes: int = 4 << 30) -> DataFrame:
-    """Open frames to give up, oldest first and up to most_bytes, of senders whose last announcement shows a buffer over `percent` full."""
+def over_watermark(info: DataFrame, frames: DataFrame, percent: int = 90, most_bytes: int = 4 << 30, least_age: int = 0, at: str = "seq") -> DataFrame:
+    """(tf_id, sender, stf_size, total): open frames to give up, oldest first, so that the sender with the fullest buffer gets room.
+
+    Only if its last announcement shows more than `percent`. Frames are taken in order up to the highest complete one, but none from the first
+    on that began less than `least_age` before the last announcement; those that the sender isn't in don't help it and stay. The sender's
+    sizes are added up, and no frame is taken once they are over most_bytes.
+    """
     last = info.groupBy("sender").agg(F.max_by(F.struct("buffer_used", "buffer_size"), "seq").alias("b"))
-    full = last.where(F.col("b.buffer_used") * 100 > F.col("b.buffer_size") * percent).select("sender")
-    x = info.join(full, "sender", "left_semi").select("tf_id").distinct().join(frames.where("not complete"), "tf_id")
-    return running(x, "total", "sum", F.col("tf_size"), "tf_id").where(F.col("total") <= most_bytes)
+    used = F.col("b.buffer_used") / F.col("b.buffer_size")
+    fullest = last.groupBy().agg(F.max_by("sender", F.struct(used, -F.col("sender"))).alias("sender"), F.max(used).alias("used")).where(F.col("used") > percent / 100).select("sender")
+    open_ = frames.where("not complete").select("tf_id")
+    began = info.join(open_, "tf_id", "left_semi").groupBy("tf_id").agg(F.min(at).alias("began"))
+    now, done = info.agg(F.max(at)).scalar(), frames.where("complete").agg(F.max("tf_id")).scalar()
+    young = began.where(now - F.col("began") < least_age).agg(F.min("tf_id")).scalar()
+    old = began.where((F.col("tf_id") <= done) & (young.isNull() | (F.col("tf_id") < young))).select("tf_id")
+    x = first_arrivals(info).join(F.broadcast(fullest), "sender", "left_semi").join(old, "tf_id", "left_semi").select("tf_id", "sender", "stf_size")
+    return running(x, "total", "sum", F.col("stf_size"), "tf_id").where(F.col("total") - F.col("stf_size") <= most_bytes)

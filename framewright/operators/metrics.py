@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.operators.ordered import ranked
+
 
 def values(metric: DataFrame, interval: Column, keys: tuple[str, ...] = ("name", "key")) -> DataFrame:
     """Mean, least and most by interval."""
     return metric.groupBy(*keys, interval.alias("interval")).agg(F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
-def rates(samples: DataFrame, interval: Column, seconds: int, first: int, last: int, keys: tuple[str, ...] = ("sender",)) -> DataFrame:
-    """Mean size, rate and throughput for every interval from first to last, 0 where there is no sample."""
+def rates(samples: DataFrame, interval: Column, seconds: int, keys: tuple[str, ...] = ("sender",)) -> DataFrame:
+    """Mean size, rate and throughput for every interval from the first to the last that any key has, 0 where there is no sample."""
     x = samples.groupBy(*keys, interval.cast("bigint").alias("interval")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("size").alias("least"), F.max("size").alias("most"))
-    every = samples.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(first).cast("bigint"), F.lit(last).cast("bigint"))).alias("interval"))
+    first, last = (x.agg(f("interval")).scalar() for f in (F.min, F.max))
+    every = x.select(*keys).distinct().select(*keys, F.explode(F.sequence(first, last)).alias("interval"))
     x = every.join(x, [*keys, "interval"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return x.select(*keys, "interval", zero(F.col("total") / F.col("n")).alias("mean"), zero(F.col("least")).alias("least"), zero(F.col("most")).alias("most"), (zero(F.col("n")) / seconds).alias("rate"), (zero(F.col("total")) / seconds).alias("throughput"))
@@ -44,9 +47,10 @@ def buffers(info: DataFrame) -> DataFrame:
 
 
 def smoothed(samples: DataFrame, keys: tuple[str, ...], order: str, value: str, keep: float = 0.75, start: float = 0.5) -> DataFrame:
-    """Exponentially weighted average in order, over each key's samples."""
-    listed = samples.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, F.col(value).cast("double").alias("v")))).alias("s"))
-    return listed.select(*keys, F.aggregate("s", F.lit(start), lambda a, x: a * keep + x["v"] * (1 - keep)).alias("average"))
+    """Exponentially weighted average in order, over each key's samples: a sum of weights by how many samples come after."""
+    x = ranked(samples.select(*keys, order, F.col(value).cast("double").alias("v")).withColumn("_down", -F.col(order)), "_back", "_down", keys=keys)
+    weight = F.pow(F.lit(keep), F.col("_back"))
+    return x.groupBy(*keys).agg((start * F.pow(F.lit(keep), F.count(F.lit(1))) + (1 - keep) * F.sum(F.col("v") * weight)).alias("average"))
 
 
 def latency(requests: DataFrame, receipts: DataFrame, keys: tuple[str, ...] = ("tf_id", "sender")) -> DataFrame:

@@ -1,7 +1,7 @@
 """Running values over a whole table's order, without putting the table into one task.
 
 Rows are cut into ranges of an ordering number; each range is summed up, the sums are accumulated over the ranges (a table
-smaller by the width of a range), and windows run inside ranges only.
+smaller by the rows of a range), and windows run inside ranges only. The input is computed once, so calls can be nested.
 """
 
 from __future__ import annotations
@@ -11,17 +11,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH = 100_000
+from framewright.operators.tables import kept
+
+#: Rows of a range, if numbers are spread evenly.
+RANGE_ROWS = 100_000
 _HOW = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 
 
-def running(df: DataFrame, name: str, how: str, value: Column, order: str, keys: Sequence[str] = (), ties: Sequence[str] = (), before: bool = False, down: bool = False, width: int = WIDTH) -> DataFrame:
+def running(df: DataFrame, name: str, how: str, value: Column, order: str, keys: Sequence[str] = (), ties: Sequence[str] = (), before: bool = False, down: bool = False, width: int | None = None) -> DataFrame:
     """df with a running sum, max, min, count or last value, by keys, in the order of a whole number and `ties`.
 
-    before: without the row itself. down: from the highest number to the lowest.
+    before: without the row itself. down: from the highest number to the lowest. width: of a range of numbers; by default such that
+    a range has about RANGE_ROWS rows, however far the numbers lie apart. A null number comes first (down: last).
     """
     sign = -1 if down else 1
-    x = df.withColumns({"_v": value, "_o": F.col(order) * sign, "_b": F.floor(F.col(order) * sign / width)})
+    x = kept(df.withColumns({"_v": value, "_o": F.col(order).cast("long") * sign}))
+    if width is None:
+        lo, hi, n = x.agg(F.min("_o"), F.max("_o"), F.count(F.lit(1))).first()
+        width = max(1, -(-((hi or 0) - (lo or 0) + 1) // max(1, -(-n // RANGE_ROWS))))
+    lowest = F.lit(-(1 << 62)) if sign > 0 else F.lit(1 << 62)
+    x = x.withColumn("_b", F.coalesce(F.expr(f"_o div {width} - if(_o % {width} < 0, 1, 0)"), lowest))
     inside = Window.partitionBy(*keys, "_b").orderBy("_o", *ties).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     if how == "last":
@@ -45,6 +54,6 @@ def _join(x: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return x.join(parts, on).drop(parts["_b"], *[parts[k] for k in keys])
 
 
-def ranked(df: DataFrame, name: str, order: str, ties: Sequence[str] = (), keys: Sequence[str] = (), width: int = WIDTH) -> DataFrame:
+def ranked(df: DataFrame, name: str, order: str, ties: Sequence[str] = (), keys: Sequence[str] = (), width: int | None = None) -> DataFrame:
     """df with each row's place from 0."""
     return running(df, name, "count", F.lit(1), order, keys, ties, before=True, width=width)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections import OrderedDict, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,43 +13,49 @@ from framewright.functions.scalar import id_list, json_map
 from framewright.operators.ordered import ranked
 
 
-def first_fit(requests: DataFrame, workers: dict[int, int], most_in_building: int = 5, built_after: int = 4, run: str = "run") -> DataFrame:
+def first_fit(requests: DataFrame, workers: dict[int, int], most_in_building: int = 5, built_after: int = 4, forwarded_after: int = 0, run: str = "run") -> DataFrame:
     """(tf_id, worker, reason): frames in order, each to the first ready worker that has room for a fifth more than its size.
 
     A worker that is chosen goes to the end of the row. One is passed over if it builds most_in_building frames, has too little
-    free memory, or has over 8 frames buffered and not four times the room. Here a frame is built built_after requests after it was
-    assigned, and its memory is free again. Reasons, in this order: no worker, too many frames, no memory. Each run is
-    folded on its own, in the order of seq; only the workers' state is held.
+    free memory, or has over 8 frames buffered and not four times the room. Reasons: no_worker if there is none; too_many_frames if any
+    was passed over for that; else no_memory. Here a frame is built built_after requests after it was assigned, is buffered from then on, and
+    forwarded_after requests later its memory is free again. Each run is folded on its own, in the order of seq; only the workers' state is held.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: OrderedDict = OrderedDict()
-        due: list = []
+        building: deque = deque()
+        buffered: deque = deque()
         now = None
         for b in batches:
             out = []
             for r, seq, tf, size in zip(b[run], b["seq"], b["tf_id"], b["tf_size"], strict=True):
                 if r != now:
-                    now, due, state = r, [], OrderedDict((w, [free, 0]) for w, free in sorted(workers.items()))
-                while due and due[0][0] <= seq:
-                    _, w, need = due.pop(0)
-                    state[w][0] += need
-                    state[w][1] -= 1
-                need, got, reason = size * 120 // 100, None, "no_worker"
-                for w, (free, building) in state.items():
-                    if building >= most_in_building:
-                        reason = "too_many_frames" if reason == "no_worker" else reason
-                    elif free < need or building > 8 and free < 4 * need:
-                        reason = "no_memory"
-                    else:
-                        got = w
+                    now, building, buffered = r, deque(), deque()
+                    state = OrderedDict((w, {"free": free, "building": 0, "buffered": 0}) for w, free in sorted(workers.items()))
+                while building and building[0][0] <= seq:
+                    at, w, need = building.popleft()
+                    state[w]["building"] -= 1
+                    state[w]["buffered"] += 1
+                    buffered.append((at + forwarded_after, w, need))
+                while buffered and buffered[0][0] <= seq:
+                    _, w, need = buffered.popleft()
+                    state[w]["buffered"] -= 1
+                    state[w]["free"] += need
+                need = size * 120 // 100
+                too_many = False
+                for w, x in state.items():
+                    if x["building"] >= most_in_building:
+                        too_many = True
+                    elif x["free"] >= need and (x["buffered"] <= 8 or x["free"] >= 4 * need):
+                        x["free"] -= need
+                        x["building"] += 1
+                        state.move_to_end(w)
+                        building.append((seq + built_after, w, need))
+                        out.append((r, tf, w, "ok"))
                         break
-                if got is not None:
-                    state[got][0] -= need
-                    state[got][1] += 1
-                    state.move_to_end(got)
-                    due.append((seq + built_after, got, need))
-                out.append((r, tf, got, "ok" if got is not None else reason))
+                else:
+                    out.append((r, tf, None, "no_worker" if not state else "too_many_frames" if too_many else "no_memory"))
             yield pd.DataFrame(out, columns=[run, "tf_id", "worker", "reason"]).astype({"worker": "Int64"})
 
     x = requests.select(run, "seq", "tf_id", "tf_size").repartition(run).sortWithinPartitions(run, "seq")
@@ -82,34 +88,76 @@ def partition_state(senders: DataFrame, n_senders: int, order: str = "seq") -> D
     return x.withColumn("state", state).drop("failed", "ending")
 
 
-def tokens(requests: DataFrame, n_senders: int, per_sender: int = 2) -> DataFrame:
-    """(tick, worker, wanted, token): at each tick workers get in turn the lowest free token among the senders they want, extra ones after all.
+class Tokens:
+    """Transfer tokens of the senders, numbered from 1: a base token of each, and extra ones while some of its `per_sender` are left.
 
-    A deterministic simulation: ticks are independent, and tokens are given back at their end.
+    A request names the senders that are wanted. It gets the base token of one of them, else an extra one, else none (0). Which of
+    several is a matter of `draw`. Base tokens come back when all of a sender's are returned; a reset gives everything back.
     """
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, free = None, {}
-        for b in batches:
-            out = []
-            for tick, worker, wanted in zip(b["tick"], b["worker"], b["wanted"], strict=True):
-                if tick != now:
-                    now, free = tick, dict.fromkeys(range(1, n_senders + 1), per_sender)
-                allowed = [s for s in wanted if free.get(s, 0) > 0]
-                got = max(allowed, key=lambda s: (free[s], -s)) if allowed else 0
-                if got:
-                    free[got] -= 1
-                out.append((tick, worker, len(wanted), got))
-            yield pd.DataFrame(out, columns=["tick", "worker", "wanted", "token"])
-
-    return requests.repartition("tick").sortWithinPartitions("tick", "worker").mapInPandas(fold, "tick long, worker long, wanted long, token long")
+    def __init__(self, n_senders: int, per_sender: int = 2):
+        self.n, self.per_sender = n_senders, max(1, per_sender)
+        self.reset()
+
+    def reset(self) -> None:
+        every = range(1, self.n + 1)
+        self.left = dict.fromkeys(every, self.per_sender)
+        self.base, self.extra = set(every), set(every) if self.per_sender > 1 else set()
+
+    def request(self, wanted: set[int], draw: int) -> tuple[int, str]:
+        for kind, free in (("base", self.base), ("extra", self.extra if self.per_sender > 1 else set())):
+            found = sorted(wanted & free)
+            if found:
+                got = found[draw % len(found)]
+                self.left[got] -= 1
+                self.base.discard(got)
+                if not self.left[got]:
+                    self.extra.discard(got)
+                return got, kind
+        return 0, "none"
+
+    def release(self, token: int) -> None:
+        self.left[token] = min(self.per_sender, self.left[token] + 1)
+        self.extra.add(token)
+        if self.left[token] == self.per_sender:
+            self.base.add(token)
+
+
+def tokens(requests: DataFrame, n_senders: int, per_sender: int = 2, hold: int = 3, lease: int = 1000, run: str = "run") -> DataFrame:
+    """(run, tick, worker, wanted, token, kind): workers fetch from the senders they want, one request at each tick, in turn.
+
+    requests: (run, worker, wanted array<int>). A worker that gets a token fetches from its sender and wants it no more; it
+    gives the token back `hold` ticks later. One that gets none asks again at the next tick. After `lease` ticks all tokens are back, so those
+    of failed workers aren't lost. The draw is an arithmetic hash of tick and worker. A run's tokens are one state, folded in order.
+    """
+    columns = [run, "tick", "worker", "wanted", "token", "kind"]
+
+    def fold(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left = {int(w): {int(x) for x in s if 1 <= x <= n_senders} for w, s in sorted(zip(rows["worker"], rows["wanted"], strict=True), key=lambda r: r[0])}
+        state, due, out, tick = Tokens(n_senders, per_sender), deque(), [], 0
+        while any(left.values()):
+            if tick and tick % lease == 0:
+                state.reset()
+                due.clear()
+            while due and due[0][0] <= tick:
+                state.release(due.popleft()[1])
+            for w, wanted in left.items():
+                if wanted:
+                    got, kind = state.request(wanted, (tick * 31 + w) * 7919 % 10007)
+                    out.append((keys[0], tick, w, len(wanted), got, kind))
+                    if got:
+                        wanted.discard(got)
+                        due.append((tick + hold, got))
+            tick += 1
+        return pd.DataFrame(out, columns=columns)
+
+    return requests.groupBy(run).applyInPandas(fold, f"{run} long, tick long, worker long, wanted long, token long, kind string")
 
 
 def keep_within(stfs: DataFrame, room: int, target_percent: int = 95) -> DataFrame:
-    """What stays in each sender's buffer when it is over `room`: the lowest ids up to the target, the highest are given up first."""
+    """What stays in each sender's buffer: the highest ids are given up until no more than the target, a share of `room`, is held."""
     w = Window.partitionBy("sender").orderBy("tf_id").rowsBetween(Window.unboundedPreceding, 0)
-    x = stfs.withColumns({"held": F.sum("stf_size").over(w), "total": F.sum("stf_size").over(Window.partitionBy("sender"))})
-    return x.withColumn("kept", (F.col("total") <= room) | (F.col("held") * 100 <= room * target_percent)).drop("total")
+    return stfs.withColumn("held", F.sum("stf_size").over(w)).withColumn("kept", F.col("held") <= room * target_percent // 100)
 
 
 def next_request(requests: DataFrame) -> DataFrame:
@@ -123,10 +171,19 @@ def next_request(requests: DataFrame) -> DataFrame:
 
 
 def worker_updates(updates: DataFrame) -> DataFrame:
-    """What is known of each worker after its updates: refreshed when it has built all it was given, else the least of what is reported and estimated; gone if its last state is leaving."""
-    last = updates.groupBy("worker").agg(F.max_by(F.struct("state", "last_built", "last_scheduled", "free_memory", "estimated"), "seq").alias("u"))
-    free = F.when(F.col("u.last_built") == F.col("u.last_scheduled"), F.col("u.free_memory")).otherwise(F.least("u.free_memory", "u.estimated"))
-    return last.select("worker", (F.col("u.state") == "running").alias("ready"), free.alias("free"))
+    """(worker, ready, free): what is known of each worker after its updates (worker, seq, state, last_built, last_scheduled, free_memory).
+
+    A worker joins with its first update, also after it has left, and its reported memory is taken. Later, the report is taken if it has built
+    the last frame that it was given; if it has not yet, the least of report and estimate; if it is ahead of the record, the estimate stays. A worker
+    whose last update isn't 'running' is gone. Sums by worker only: no update is kept.
+    """
+    x = updates.groupBy("worker").agg(F.max(F.when(F.col("state") != "running", F.col("seq"))).alias("left"), F.max("seq").alias("last"))
+    here = updates.join(x, "worker").where(F.col("left").isNull() | (F.col("seq") > F.col("left")))
+    y = here.groupBy("worker").agg(F.min("seq").alias("joined"), F.max(F.when(F.col("last_built") == F.col("last_scheduled"), F.col("seq"))).alias("built"))
+    y = y.select("worker", F.greatest("joined", "built").alias("since"))
+    z = updates.join(y, "worker").where((F.col("seq") == F.col("since")) | ((F.col("seq") > F.col("since")) & (F.col("last_built") < F.col("last_scheduled"))))
+    free = z.groupBy("worker").agg(F.min("free_memory").alias("free"))
+    return x.join(free, "worker", "left").select("worker", F.col("free").isNotNull().alias("ready"), "free")
 
 
 def partition_requests(requests: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def located(parts: DataFrame, keys: tuple[str, ...] = ("tf_id", "sender")) -> Da
     return x.join(groups(parts, keys).select(*keys, "txg", "start"), [*keys, "txg"]).withColumn("offset", F.col("addr") - F.col("start"))
 
 
-def in_region(points: DataFrame, regions: DataFrame, cell: int = 1 << 20) -> DataFrame:
+def in_region(points: DataFrame, regions: DataFrame, cell: int = 1 << 18) -> DataFrame:
     """Points with the region that holds them, the largest if several do: a range join by cells of addresses, not by all pairs."""
     r = regions.select("region", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((F.col("start") + F.col("size") - 1) / cell))).alias("_c"))
     x = points.withColumn("_c", F.floor(F.col("addr") / cell)).join(r, "_c").where("addr >= start and addr + len <= start + size")

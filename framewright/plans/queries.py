@@ -218,16 +218,9 @@ def single_equipment(s, d):
     return v.stf_info(s, d).where("n_equip = 1").select("seq", "tf_id", "sender")
 
 
-@query(", w as (select s_suppkey worker, abs(s_acctbal)::bigint * 100 free from supplier), t as (select tf_id, sum(stf_size)::bigint tf_size from stf_info group by tf_id) select worker, count(tf_id) n_fit from w left join t on t.tf_size <= w.free and t.tf_id % 50 = w.worker % 50 group by worker")
-def worker_admission(s, d):
-    w = v.table(s, d, "supplier").select(F.col("s_suppkey").alias("worker"), (F.round(F.abs("s_acctbal")).cast("bigint") * 100).alias("free"), (F.col("s_suppkey") % 50).alias("k"))
-    t = complete.status(v.stf_info(s, d), N).select("tf_id", "tf_size", (F.col("tf_id") % 50).alias("k"))
-    return w.join(t, (w.k == t.k) & (t.tf_size <= w.free), "left").groupBy("worker").agg(F.count("tf_id").alias("n_fit"))
-
-
 @query(", w as (select s_suppkey worker, abs(s_acctbal)::bigint * 100 free from supplier), t as (select tf_id, sum(stf_size)::bigint tf_size from stf_info group by tf_id) select worker, count(tf_id) n_fit from w left join t on t.tf_size <= w.free group by worker")
-def worker_admission_all(s, d):
-    """The same against every frame: frames counted in the order of sizes, up to each worker's free memory."""
+def worker_admission(s, d):
+    """How many frames fit each worker: frames counted in the order of sizes, up to each worker's free memory."""
     w = v.table(s, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("worker"), (F.bround(F.abs("s_acctbal")).cast("bigint") * 200 + 1).alias("o"), F.lit(None).cast("bigint").alias("tf_id"))
     t = complete.status(v.stf_info(s, d), N).select(F.lit(None).cast("bigint").alias("worker"), (F.col("tf_size") * 2).cast("bigint").alias("o"), F.col("tf_id").cast("bigint").alias("tf_id"))
     return ordered.running(w.unionByName(t), "n_fit", "count", F.col("tf_id"), "o").where("worker is not null").select("worker", "n_fit")
@@ -298,11 +291,14 @@ def buffer_util(s, d):
 
 
 @query(f"""
-, b as (select sender from stf_info group by sender having arg_max(buffer_used, seq) * 100 > 40 * arg_max(buffer_size, seq)), t as (select tf_id, sum(stf_size)::bigint tf_size, count(*) = {N} complete from stf_info group by tf_id),
-x as (select t.*, sum(tf_size) over (order by tf_id) total from t where not complete and tf_id in (select tf_id from stf_info where sender in (select sender from b))) select tf_id, tf_size, total::bigint total from x where total <= 20000000""")
+, u as (select sender, arg_max(buffer_used, seq) / arg_max(buffer_size, seq) used from stf_info group by sender), f as (select arg_max(sender, struct_pack(a := used, b := -sender)) sender from u having max(used) > 0.4),
+t as (select tf_id, count(*) = {N} complete, min(seq) began from stf_info group by tf_id), c as (select max(tf_id) done from t where complete), y as (select min(tf_id) young from t, (select max(seq) now from stf_info) n where not complete and now - began < 50),
+o as (select t.tf_id from t, c, y where not complete and tf_id <= done and (young is null or tf_id < young)),
+x as (select i.tf_id, i.sender, i.stf_size, sum(stf_size) over (order by i.tf_id)::bigint total from stf_info i join f using (sender) join o on o.tf_id = i.tf_id)
+select tf_id, sender, stf_size, total from x where total - stf_size <= 200000""")
 def high_watermark(s, d):
     info = v.stf_info(s, d)
-    return complete.over_watermark(info, complete.status(info, N).select("tf_id", "tf_size", "complete"), 40, 20_000_000).select("tf_id", "tf_size", "total")
+    return complete.over_watermark(info, complete.status(info, N).select("tf_id", "complete"), 40, 200_000, 50)
 
 
 @query(", x as (select tf_id, sender, max(tf_id) over (partition by sender order by seq) sender_max, max(tf_id) over (order by seq) global_max, seq from stf_info) select * from x")
@@ -313,24 +309,21 @@ def running_ids(s, d):
 
 # sets and joins
 
-EQ = ", e as (select distinct sender, subspec from hbf), a as (select subspec from e where sender = 0), b as (select subspec from e where sender = 2)"
+EQ = ", e as (select distinct sender, subspec from hbf)"
 
 
-def _sets(s, d):
-    e = v.hbf(s, d).select("sender", "subspec").distinct()
-    return e.where("sender = 0").select("subspec"), e.where("sender = 2").select("subspec"), e.select("subspec").distinct()
-
-
-@query(EQ + " select subspec from a union select subspec from b")
+@query(EQ + " select subspec, count(*) n_senders from e group by subspec")
 def equipment_union(s, d):
-    a, b, _ = _sets(s, d)
-    return a.union(b).distinct()
+    """Equipments of all senders together, and how many have each."""
+    return v.hbf(s, d).select("sender", "subspec").distinct().groupBy("subspec").agg(F.count(F.lit(1)).alias("n_senders"))
 
 
-@query(EQ + " select distinct subspec from e except select subspec from a")
+@query(EQ + f" select r.sender, u.subspec from (select distinct subspec from e) u, range({N}) r(sender) except select sender, subspec from e")
 def equipment_missing(s, d):
-    a, _, e = _sets(s, d)
-    return e.exceptAll(a)
+    """Equipments of the union that a sender doesn't have; the senders are a fixed list."""
+    e = v.hbf(s, d).select("sender", "subspec").distinct()
+    every = e.select("subspec").distinct().select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(N - 1).cast("bigint"))).alias("sender"), "subspec")
+    return every.exceptAll(e)
 
 
 @query(", x as (select tf_id, array_agg(distinct sender) l from stf_info group by tf_id) select tf_id, len(list_intersect(l, [0, 2, 4, 6])) n_allowed, coalesce(list_min(list_intersect(l, [0, 2, 4, 6])), -1) first_allowed from x")
@@ -381,25 +374,17 @@ def zip_sockets(s, d):
     return x.join(sockets, "n").select("sender", "n", "socket")
 
 
-@query(", p as (select seq, sender, tf_id from stf_info where seq % 10 = 0), q as (select p.seq, p.sender, max(i.seq) known from p left join stf_info i on i.sender = (p.sender + 1) % 8 and i.seq <= p.seq group by all) select q.seq, q.sender, i.buffer_used from q left join stf_info i on i.seq = q.known")
+@query(" select p.seq, p.sender, i.buffer_used from stf_info p asof left join stf_info i on i.sender = (p.sender + 1) % 8 and p.seq >= i.seq")
 def as_of_status(s, d):
-    return _as_of(v.stf_info(s, d), F.col("seq") % 10 == 0)
-
-
-def _as_of(info, asking):
-    ask = info.where(asking).select("seq", "sender", ((F.col("sender") + 1) % N).alias("of"), F.lit(1).alias("asks"), F.lit(None).cast("bigint").alias("used"))
+    """At every announcement, what was last announced by the next sender."""
+    info = v.stf_info(s, d)
+    ask = info.select("seq", "sender", ((F.col("sender") + 1) % N).alias("of"), F.lit(1).alias("asks"), F.lit(None).cast("bigint").alias("used"))
     know = info.select("seq", "sender", F.col("sender").alias("of"), F.lit(0).alias("asks"), F.col("buffer_used").alias("used"))
     x = ordered.running(ask.unionByName(know).withColumn("o", F.col("seq") * 2 + F.col("asks")), "n", "count", F.col("used"), "o", ["of"])
     x = x.withColumn("buffer_used", F.max("used").over(Window.partitionBy("of", "n")))
     return x.where("asks = 1").select("seq", "sender", "buffer_used")
 
 
-@query(" select p.seq, p.sender, i.buffer_used from stf_info p asof left join stf_info i on i.sender = (p.sender + 1) % 8 and p.seq >= i.seq")
-def as_of_status_all(s, d):
-    """The same for every announcement."""
-    return _as_of(v.stf_info(s, d), F.lit(True))
-
-
 @query(" select tf_id, sender, row_number() over (partition by tf_id order by stf_size, sender) - 1 place from stf_info")
 def requests_by_size(s, d):
     return schedule.by_size(v.stf_info(s, d)).select("tf_id", "sender", "place")
@@ -476,7 +461,7 @@ def payload_room(s, d):
 
 
 @query(""", n as (select o_orderkey, case o_orderkey % 4 when 0 then 'dir' || lpad(o_orderkey::varchar, 8, '0') when 1 then o_orderkey || '.data' when 2 then 'run-' || o_custkey || '-x' else 'plain' end name from orders)
-select o_orderkey, case o_orderkey % 4 when 3 then null else regexp_extract(name, '^(.*?)[0-9]+[^0-9]*$', 1) || lpad((regexp_extract(name, '([0-9]+)[^0-9]*$', 1)::bigint + 1)::varchar, greatest(len(regexp_extract(name, '([0-9]+)[^0-9]*$', 1)), len((regexp_extract(name, '([0-9]+)[^0-9]*$', 1)::bigint + 1)::varchar))::int, '0') || regexp_extract(name, '([^0-9]*)$', 1) end next_name from n""")
+select o_orderkey, case o_orderkey % 4 when 3 then '0' else regexp_extract(name, '^(.*?)[0-9]+[^0-9]*$', 1) || lpad((regexp_extract(name, '([0-9]+)[^0-9]*$', 1)::bigint + 1)::varchar, greatest(len(regexp_extract(name, '([0-9]+)[^0-9]*$', 1)), len((regexp_extract(name, '([0-9]+)[^0-9]*$', 1)::bigint + 1)::varchar))::int, '0') || regexp_extract(name, '([^0-9]*)$', 1) end next_name from n""")
 def seq_name(s, d):
     k = F.col("o_orderkey")
     name = F.when(k % 4 == 0, F.concat(F.lit("dir"), F.lpad(k.cast("string"), 8, "0"))).when(k % 4 == 1, F.concat(k.cast("string"), F.lit(".data"))).when(k % 4 == 2, F.concat(F.lit("run-"), F.col("o_custkey").cast("string"), F.lit("-x"))).otherwise("plain")
@@ -586,9 +571,9 @@ def metric_value(s, d):
     return metrics.values(v.hbf(s, d).withColumn("value", F.col("size")), F.floor(F.col("tf_id") / 6), ("sender", "origin"))
 
 
-@query(", m as (select sender, tf_id // 6 i, count(*) n, sum(size) t, min(size) a, max(size) b from hbf group by all) select r.sender, r.i \"interval\", coalesce(t / n, 0) mean, coalesce(a, 0) least, coalesce(b, 0) most, coalesce(n, 0) / 21600 rate, coalesce(t, 0) / 21600 throughput from (select s.sender, i.i from (select distinct sender from hbf) s, range(0, 121) i(i)) r left join m on m.sender = r.sender and m.i = r.i")
+@query(", m as (select sender, tf_id // 6 i, count(*) n, sum(size) t, min(size) a, max(size) b from hbf group by all), e as (select unnest(range(min(i), max(i) + 1)) i from m) select s.sender, e.i \"interval\", coalesce(t / n, 0) mean, coalesce(a, 0) least, coalesce(b, 0) most, coalesce(n, 0) / 21600 rate, coalesce(t, 0) / 21600 throughput from (select distinct sender from m) s cross join e left join m on m.sender = s.sender and m.i = e.i")
 def metric_rate(s, d):
-    return metrics.rates(v.hbf(s, d), F.floor(F.col("tf_id") / 6), 21_600, 0, 120)
+    return metrics.rates(v.hbf(s, d), F.floor(F.col("tf_id") / 6), 21_600)
 
 
 @query(", x as (select sender, seq, size, size - lag(size) over (partition by sender order by seq) step from hbf) select sender, seq, sum(size) over w::bigint sum_n, avg(size) over w mean_n, min(size) over w least_n, max(size) over w most_n, avg(case when step > 0 then step end) over w mean_step from x window w as (partition by sender order by seq rows between 63 preceding and current row)")
@@ -636,7 +621,7 @@ def output_count(s, d):
 @query()
 def worker_first_fit(s, d):
     x = complete.status(v.stf_info(s, d), N).select(F.floor(F.col("tf_id") / 240).alias("run"), F.col("tf_id").alias("seq"), "tf_id", "tf_size")
-    return schedule.first_fit(x, {w: 150_000 for w in range(3)}, most_in_building=2)
+    return schedule.first_fit(x, {w: 150_000 * (1 + w) for w in range(3)}, most_in_building=2, forwarded_after=10)
 
 
 @query(", e as (select tf_id % 16 worker, tf_id, seq, case when seq % 3 = 2 then 'forwarded' else 'built' end kind, stf_size size from stf_info) select worker, seq, sum(case when kind = 'built' then -size else size end) over w::bigint balance, max(case when kind = 'built' then tf_id end) over w last_built from e window w as (partition by worker order by seq)")
@@ -652,7 +637,8 @@ def topo_assign(s, d):
 
 @query()
 def tokens(s, d):
-    x = v.stf_info(s, d).groupBy(F.col("tf_id").alias("tick"), (F.col("sender") % 3).alias("worker")).agg(F.sort_array(F.collect_set(F.col("sender") + 1)).alias("wanted"))
+    """Each frame's workers, three of them, fetch from the senders whose parts they build."""
+    x = v.stf_info(s, d).groupBy(F.col("tf_id").alias("run"), (F.col("sender") % 3).alias("worker")).agg(F.sort_array(F.collect_set((F.col("tf_id") + F.col("sender")) % N + 1)).alias("wanted"))
     return schedule.tokens(x, N)
 
 
@@ -687,21 +673,9 @@ def stream_complete(s, d):
     return out.where("outcome = 'built'").select("tf_id", "n_senders", "tf_size", "emit_seq", "complete")
 
 
-@query(", q as (select *, (row_number() over (partition by subspec order by seq) - 1) // 16 w from hbf) select subspec, w \"window\", count(*) n_pages, sum(size)::bigint size, min(seq) first_seq, max(seq) last_seq from q group by subspec, w having count(*) = 16")
-def stream_topology(s, d):
-    pages = v.hbf(s, d).select("subspec", "seq", "size")
-    return replay.replayed(pages, "seq", lambda x: builders.topology_frames(x, 16, 3_600_000))
-
-
-@query(", l as (select tf_id, sender, count(*) n_parts, sum(size)::bigint size from hbf group by all), m as (select sender, max(tf_id) t from hbf group by sender) select sender, tf_id, n_parts, size, 'next' closed_by from l join m using (sender) where tf_id < t")
-def stream_build(s, d):
-    pages = v.hbf(s, d).select("sender", "seq", "tf_id", "size", F.lit(False).alias("last_tf"))
-    return replay.replayed(pages, "seq", lambda x: builders.sub_time_frames(x, 3_600_000))
-
-
 @query(", q as (select *, (row_number() over (partition by subspec order by seq) - 1) // 16 w from hbf) select subspec, w \"window\", count(*) n_pages, sum(size)::bigint size, min(seq) first_seq, max(seq) last_seq from q group by subspec, w")
-def stream_topology_all(s, d):
-    """The same with each source's last page marked, so what is open at the end of the input comes too."""
+def stream_topology(s, d):
+    """Each source's last page is marked, so what is open at the end of the input comes too."""
     pages = v.hbf(s, d).select("subspec", "seq", "size")
     ends = pages.groupBy("subspec").agg(F.max("seq").alias("end"))
     pages = pages.join(ends, "subspec").select("subspec", "seq", "size", (F.col("seq") == F.col("end")).alias("last"))
@@ -709,26 +683,16 @@ def stream_topology_all(s, d):
 
 
 @query(", l as (select tf_id, sender, count(*) n_parts, sum(size)::bigint size from hbf group by all), m as (select sender, max(tf_id) t from hbf group by sender) select sender, tf_id, n_parts, size, case when tf_id < t then 'next' else 'flag' end closed_by from l join m using (sender)")
-def stream_build_all(s, d):
-    """The same with each sender's last page marked by last_tf."""
+def stream_build(s, d):
+    """Each sender's last page is marked by last_tf."""
     pages = v.hbf(s, d).select("sender", "seq", "tf_id", "size")
     ends = pages.groupBy("sender").agg(F.max("seq").alias("end"))
     pages = pages.join(ends, "sender").select("sender", "seq", "tf_id", "size", (F.col("seq") == F.col("end")).alias("last_tf"))
     return replay.replayed(pages, "seq", lambda x: builders.sub_time_frames(x, 3_600_000))
 
 
-@query(", x as (select distinct tf_id, sender, equipment, line, size, subspec from tf_part where tf_id % 50 = 1) select tf_id, equipment, count(*) n_parts, sum(size % 64)::bigint bytes from x group by all")
-def tf_roundtrip(s, d):
-    x = v.tf_part(s, d).where("tf_id % 50 = 1").distinct()
-    order = Window.partitionBy("tf_id", "equipment").orderBy("sender", "line", "subspec", "size")
-    x = x.select("tf_id", F.lit(1).cast("bigint").alias("run"), (F.col("tf_id") * 256).alias("first_orbit"), F.col("equipment").alias("description"), F.lit("TST").alias("origin"), F.lit(0).cast("bigint").alias("subspec"), F.row_number().over(order).cast("bigint").alias("message"), F.lit(0).alias("split_index"), F.expr("cast(repeat('x', cast(size % 64 as int)) as binary)").alias("payload"))
-    at = replay.folder(s).removeprefix("file:").replace("///", "/")
-    tf_files.write_tf(x, at, max_frames=20)
-    return tf_files.read_tf(s, at).groupBy("tf_id", F.col("description").alias("equipment")).agg(F.count(F.lit(1)).alias("n_parts"), F.sum(F.octet_length("payload")).alias("bytes"))
-
-
 @query(", x as (select distinct tf_id, sender, equipment, line, size, subspec from tf_part), p as (select tf_id, equipment, size, md5(left(repeat(md5(concat_ws('/', tf_id, sender, line, subspec, size)), (size // 32 + 1)::bigint), size)) digest from x) select tf_id, equipment, count(*) n_parts, sum(size)::bigint bytes, md5(string_agg(digest, '' order by digest)) digest from p group by all")
-def tf_roundtrip_whole(s, d):
+def tf_roundtrip(s, d):
     """Every part of every frame with a payload of its whole size, written, read again and compared by digest."""
     x = v.tf_part(s, d).distinct()
     order = Window.partitionBy("tf_id", "equipment").orderBy("sender", "line", "subspec", "size")
@@ -765,7 +729,7 @@ def replayed_frames(s, d):
 # more decisions
 
 
-@query(", x as (select sender, tf_id, sum(stf_size) over (partition by sender order by tf_id)::bigint held, sum(stf_size) over (partition by sender) total from stf_info) select sender, tf_id, held, total <= 1000000 or held * 100 <= 1000000 * 95 kept from x")
+@query(" select sender, tf_id, sum(stf_size) over (partition by sender order by tf_id)::bigint held, sum(stf_size) over (partition by sender order by tf_id) <= 1000000 * 95 // 100 kept from stf_info")
 def keep_buffer(s, d):
     return schedule.keep_within(v.stf_info(s, d), 1_000_000).select("sender", "tf_id", "held", "kept")
 
@@ -775,10 +739,14 @@ def next_requests(s, d):
     return schedule.next_request(v.stf_info(s, d))
 
 
-@query(", x as (select tf_id % 20 worker, seq, case when seq % 50 = 49 then 'leaving' else 'running' end state, seq % 3 last_built, seq % 2 last_scheduled, buffer_used free_memory, stf_size estimated from stf_info), l as (select worker, arg_max(state, seq) s, arg_max(last_built, seq) b, arg_max(last_scheduled, seq) c, arg_max(free_memory, seq) f, arg_max(estimated, seq) e from x group by worker) select worker, s = 'running' ready, case when b = c then f else least(f, e) end free from l")
+@query(""", x as (select tf_id % 20 worker, seq, case when seq % 50 = 49 then 'leaving' else 'running' end state, seq % 3 last_built, seq % 2 last_scheduled, buffer_used free_memory from stf_info),
+g as (select *, count(*) filter (state <> 'running') over w gone from x window w as (partition by worker order by seq)), h as (select *, state = 'running' and (row_number() over (partition by worker, gone, state = 'running' order by seq) = 1 or last_built = last_scheduled) fresh from g),
+e as (select *, count(*) filter (fresh) over (partition by worker order by seq) era, max(gone) over (partition by worker) gone_last from h),
+k as (select worker, min(free_memory) free from e where gone = gone_last and state = 'running' and (fresh or last_built < last_scheduled) and era = (select max(era) from e f where f.worker = e.worker) group by worker)
+select w.worker, k.free is not null ready, k.free from (select distinct worker from x) w left join k using (worker)""")
 def worker_updates(s, d):
     q = F.col("seq")
-    x = v.stf_info(s, d).select((F.col("tf_id") % 20).alias("worker"), "seq", F.when(q % 50 == 49, "leaving").otherwise("running").alias("state"), (q % 3).alias("last_built"), (q % 2).alias("last_scheduled"), F.col("buffer_used").alias("free_memory"), F.col("stf_size").alias("estimated"))
+    x = v.stf_info(s, d).select((F.col("tf_id") % 20).alias("worker"), "seq", F.when(q % 50 == 49, "leaving").otherwise("running").alias("state"), (q % 3).alias("last_built"), (q % 2).alias("last_scheduled"), F.col("buffer_used").alias("free_memory"))
     return schedule.worker_updates(x)
 
 

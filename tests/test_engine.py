@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright import catalog
-from framewright.operators import build, complete, ordered, transfer
+from framewright.operators import build, complete, ordered, schedule, transfer
 from framewright.plans import views as v
 from framewright.sources import sidecar, tf_files, tf_format
 from framewright.streaming import builders, replay
@@ -66,6 +66,112 @@ def test_running_over_ranges(spark):
     assert {r.o: r.n for r in ordered.ranked(df, "n", "o", width=11).collect()} == {o: o for o, _, _ in data}
 
 
+def test_running_over_sparse_numbers(spark):
+    rng = random.Random(5)
+    data = sorted(rng.sample(range(-(10**15), 10**15), 300)) + [None]
+    df = spark.createDataFrame([(x, 1) for x in data], "o long, v long")
+    got = {r.o: r.y for r in ordered.running(df, "y", "sum", F.col("v"), "o", width=10**13).collect()}
+    assert got == {x: i + 2 for i, x in enumerate(data[:-1])} | {None: 1}
+    assert {r.o: r.n for r in ordered.ranked(df, "n", "o").collect()} == {x: i + 1 for i, x in enumerate(data[:-1])} | {None: 0}
+
+
+def test_nested_running_values_read_their_input_once(spark, sf):
+    plan = catalog.QUERIES["late_stf"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 0 and plan.count("Scan ExistingRDD") <= 4
+
+
+def assign(sizes, workers, most, built_after, forwarded_after):
+    """First fit, frame by frame: every worker's frames are looked at anew."""
+    row, taken, out = sorted(workers), [], []
+    for seq, size in enumerate(sizes):
+        need, reasons, got = size * 120 // 100, [], None
+        for w in row:
+            own = [(at, n) for at, n, x in taken if x == w and seq < at + built_after + forwarded_after]
+            building = sum(seq < at + built_after for at, _ in own)
+            free = workers[w] - sum(n for _, n in own)
+            if building >= most:
+                reasons.append("too_many_frames")
+            elif free < need or len(own) - building > 8 and free < 4 * need:
+                reasons.append("no_memory")
+            else:
+                got = w
+                break
+        if got is not None:
+            row.remove(got)
+            row.append(got)
+            taken.append((seq, need, got))
+        out.append((got, "ok" if got is not None else "no_worker" if not row else "too_many_frames" if "too_many_frames" in reasons else "no_memory"))
+    return out
+
+
+@pytest.mark.parametrize(("workers", "most", "built", "forwarded"), [({0: 10, 1: 1000}, 1, 4, 0), ({}, 5, 4, 0), ({0: 300, 1: 200, 2: 900}, 2, 3, 5), ({0: 3000}, 5, 1, 30), ({0: 3000, 1: 700}, 3, 2, 15)])
+def test_first_fit_step_by_step(spark, workers, most, built, forwarded):
+    rng = random.Random(4)
+    sizes = [100, 100] + [rng.randint(1, 200) for _ in range(120)]
+    df = spark.createDataFrame([(1, i, i + 1000, z) for i, z in enumerate(sizes)], "run long, seq long, tf_id long, tf_size long")
+    got = {r.tf_id: (r.worker, r.reason) for r in schedule.first_fit(df, workers, most, built, forwarded).collect()}
+    assert [got[i + 1000] for i in range(len(sizes))] == assign(sizes, workers, most, built, forwarded)
+
+
+def test_reasons_of_first_fit(spark):
+    df = spark.createDataFrame([(1, i, i, 100) for i in range(2)], "run long, seq long, tf_id long, tf_size long")
+    reasons = lambda *x: [r.reason for r in sorted(schedule.first_fit(df, *x).collect(), key=lambda r: r.tf_id)]
+    assert reasons({0: 10, 1: 1000}, 1) == ["ok", "too_many_frames"] and reasons({0: 10}, 1) == ["no_memory"] * 2 and reasons({}, 1) == ["no_worker"] * 2
+    df = spark.createDataFrame([(1, i, i, 10) for i in range(12)], "run long, seq long, tf_id long, tf_size long")
+    assert reasons({0: 150}, 50, 1, 100)[8:] == ["ok", "no_memory", "no_memory", "no_memory"]  # nine are buffered, and less than 48 bytes are free
+
+
+def test_tokens_of_senders():
+    t = schedule.Tokens(3, 2)
+    assert t.request({1, 2}, 0) == (1, "base") and t.request({1}, 0) == (1, "extra") and t.request({1}, 0) == (0, "none")
+    assert t.request({1, 2, 3}, 1) == (3, "base") and t.request({1, 3}, 0) == (3, "extra")
+    t.release(1)
+    assert t.request({1}, 0) == (1, "extra")  # the base token comes back only with the last
+    t.release(1)
+    t.release(1)
+    t.release(1)
+    assert t.left[1] == 2 and t.request({1}, 5) == (1, "base")
+    t.reset()
+    assert t.base == {1, 2, 3} == t.extra
+    one = schedule.Tokens(2, 1)
+    assert one.request({1}, 0) == (1, "base") and one.request({1}, 0) == (0, "none")
+
+
+def test_workers_fetch_from_all_they_want(spark):
+    wanted = {0: [1, 2, 3], 1: [1, 2], 2: [1, 9], 3: []}
+    df = spark.createDataFrame([(5, w, x) for w, x in wanted.items()], "run long, worker long, wanted array<int>")
+    got = sorted(schedule.tokens(df, 3, per_sender=1, hold=4, lease=7).collect(), key=lambda r: (r.tick, r.worker))
+    fetched = {w: sorted(r.token for r in got if r.worker == w and r.token) for w in wanted}
+    assert fetched == {0: [1, 2, 3], 1: [1, 2], 2: [1], 3: []}
+    held = [(r.tick, r.token) for r in got if r.token]
+    for i, (a, x) in enumerate(held):  # a sender's only token is out for four ticks, or until the lease of all ends
+        assert all(b - a >= 4 or b // 7 > a // 7 for b, y in held[i + 1 :] if x == y)
+    assert {r.kind for r in got} == {"base", "none"}
+
+
+def test_updates_of_workers(spark):
+    rows = [(1, 0, "running", 0, 0, 50), (1, 1, "running", 1, 2, 40), (1, 2, "running", 1, 2, 45), (2, 0, "running", 5, 5, 9), (2, 1, "leaving", 5, 5, 9), (3, 0, "running", 0, 9, 7), (3, 1, "running", 9, 9, 70), (3, 2, "running", 10, 9, 3),
+            (4, 0, "running", 0, 0, 5), (4, 1, "leaving", 0, 0, 5), (4, 2, "running", 3, 8, 60), (4, 3, "running", 3, 8, 80), (4, 4, "running", 3, 8, 55)]
+    got = {r.worker: (r.ready, r.free) for r in schedule.worker_updates(spark.createDataFrame(rows, "worker long, seq long, state string, last_built long, last_scheduled long, free_memory long")).collect()}
+    assert got == {1: (True, 40), 2: (False, None), 3: (True, 70), 4: (True, 55)}
+
+
+def test_high_watermark_frees_the_fullest_sender(spark):
+    rows = [(1, 0, 10), (1, 1, 90), (2, 1, 30), (3, 0, 10), (4, 1, 25), (5, 0, 5), (5, 1, 5), (5, 2, 5), (6, 1, 99), (9, 1, 10)]
+    info = spark.createDataFrame([(i, t, s, z, 95 if s == 1 else 50, 100) for i, (t, s, z) in enumerate(rows)], "seq long, tf_id long, sender long, stf_size long, buffer_used long, buffer_size long")
+    frames = complete.status(info, 3).select("tf_id", "complete")
+    free = lambda *x: [(r.tf_id, r.sender, r.total) for r in sorted(complete.over_watermark(info, frames, *x).collect(), key=lambda r: r.tf_id)]
+    assert free(90, 1000) == [(1, 1, 90), (2, 1, 120), (4, 1, 145)]  # 3 doesn't help, 6 and 9 are above the complete frame
+    assert free(90, 90) == [(1, 1, 90), (2, 1, 120)] and free(90, 89) == [(1, 1, 90)] and free(95, 1000) == []
+    assert free(90, 1000, 7) == [(1, 1, 90), (2, 1, 120)]  # 3 is the first that is too young
+
+
+def test_buffer_is_kept_below_the_target(spark):
+    df = spark.createDataFrame([(0, i, 10) for i in range(10)], "sender long, tf_id long, stf_size long")
+    assert sorted(r.tf_id for r in schedule.keep_within(df, 100).where("kept").collect()) == list(range(9))
+    assert schedule.keep_within(df, 106).where("kept").count() == 10
+
+
 def test_windows_by_orbit(spark):
     rows = [(1, i, 10, i // 3) for i in range(20)] + [(2, i, 1, 0) for i in range(7)]
     df = spark.createDataFrame(rows, "subspec long, seq long, size long, orbit long")
@@ -114,16 +220,16 @@ def test_files_there_and_back(spark, tmp_path):
 def test_roundtrip_of_every_part(spark, sf):
     parts = v.tf_part(spark, sf).distinct()
     want = parts.groupBy("tf_id", "equipment").agg(F.count(F.lit(1)).alias("n_parts"), F.sum("size").alias("bytes"))
-    got = catalog.QUERIES["tf_roundtrip_whole"](spark, sf)
+    got = catalog.QUERIES["tf_roundtrip"](spark, sf)
     assert sorted(map(tuple, got.drop("digest").collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_every_announcement_and_frame_is_asked(spark, sf):
-    status = catalog.QUERIES["as_of_status_all"](spark, sf)
+    status = catalog.QUERIES["as_of_status"](spark, sf)
     assert status.count() == v.stf_info(spark, sf).count()
     sizes = [r.tf_size for r in complete.status(v.stf_info(spark, sf), v.N_SENDERS).collect()]
     free = {r.s_suppkey: round(abs(r.s_acctbal)) * 100 for r in v.table(spark, sf, "supplier").collect()}
-    got = {r.worker: r.n_fit for r in catalog.QUERIES["worker_admission_all"](spark, sf).collect()}
+    got = {r.worker: r.n_fit for r in catalog.QUERIES["worker_admission"](spark, sf).collect()}
     assert got == {w: sum(x <= most for x in sizes) for w, most in free.items()}
 
 
@@ -135,7 +241,7 @@ def test_sidecar(spark):
 
 def test_streams_give_every_page(spark, sf):
     n, size = v.hbf(spark, sf).agg(F.count(F.lit(1)), F.sum("size")).first()
-    for name, pages in (("stream_topology_all", "n_pages"), ("stream_build_all", "n_parts")):
+    for name, pages in (("stream_topology", "n_pages"), ("stream_build", "n_parts")):
         assert tuple(catalog.QUERIES[name](spark, sf).agg(F.sum(pages), F.sum("size")).first()) == (n, size)
 
 

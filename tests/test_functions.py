@@ -14,7 +14,7 @@ def one(spark, values, f, kind="string"):
 
 def test_next_in_sequence(spark):
     names = ["dir", "dir0", "dir9", "dir09", "dir0009", "dir0012.data", "0013.data", "-000014.data", "000015", "-", "00005"]
-    assert one(spark, names, scalar.next_in_sequence) == [None, "dir1", "dir10", "dir10", "dir0010", "dir0013.data", "0014.data", "-000015.data", "000016", None, "00006"]
+    assert one(spark, names, scalar.next_in_sequence) == ["0", "dir1", "dir10", "dir10", "dir0010", "dir0013.data", "0014.data", "-000015.data", "000016", "0", "00006"]
 
 
 def test_sequence_of_a_folder(spark):
