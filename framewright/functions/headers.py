@@ -27,22 +27,34 @@ LAYOUT = {
     "page_counter": (36, 2, 0, 0xFFFF),
     "stop_bit": (38, 1, 0, 0xFF),
 }
-VERSIONS = (3, 4, 5, 6, 7)
+#: Versions 3 and 4 have two orbits and crossings, of the trigger and of the heartbeat; the latter count, and stand elsewhere.
+LAYOUT_OLD = LAYOUT | {"orbit": (24, 4, 0, 0xFFFFFFFF), "bc": (28, 2, 0, 0xFFF), "trigger_orbit": (20, 4, 0, 0xFFFFFFFF), "trigger_bc": (16, 2, 0, 0xFFF)}
+OLD, NEW = (3, 4), (5, 6, 7)
 
 
-def field(block: Column, name: str, at: int = 0) -> Column:
+def layout(version: int) -> dict[str, tuple[int, int, int, int]]:
+    return LAYOUT_OLD if version in OLD else LAYOUT
+
+
+def any_field(block: Column, name: str, at: int = 0) -> Column:
+    """A header field by the layout of the header's own version; null for versions that aren't known."""
+    version = field(block, "version", at)
+    return F.when(version.isin(*OLD), field(block, name, at, OLD[0])).when(version.isin(*NEW), field(block, name, at))
+
+
+def field(block: Column, name: str, at: int = 0, version: int = 7) -> Column:
     """A header field of a binary column, without leaving the JVM."""
-    offset, width, shift, mask = LAYOUT[name]
+    offset, width, shift, mask = layout(version)[name]
     text = F.hex(F.substring(block, at + offset + 1, width))
     value = F.conv(F.concat(*[F.substring(text, 2 * i + 1, 2) for i in reversed(range(width))]), 16, 10).cast("bigint")
     return F.shiftright(value, shift).bitwiseAND(F.lit(mask))
 
 
-def header(fields: dict[str, Column]) -> Column:
+def header(fields: dict[str, Column], version: int = 7) -> Column:
     """A binary header of HEADER_SIZE bytes from columns: the inverse of field()."""
     at: dict[int, tuple[int, list[Column]]] = {}
     for name, value in fields.items():
-        offset, width, shift, mask = LAYOUT[name]
+        offset, width, shift, mask = layout(version)[name]
         at.setdefault(offset, (width, []))[1].append(F.shiftleft(value.cast("bigint").bitwiseAND(F.lit(mask)), shift))
     parts, done = [], 0
     for offset in sorted(at):
@@ -71,7 +83,8 @@ def walk(block: bytes | None) -> list[dict]:
     out, at = [], 0
     while block is not None and len(block) - at >= HEADER_SIZE:
         step, memory = struct.unpack_from("<HH", block, at + 8)
-        (orbit,), (page,), stop = struct.unpack_from("<I", block, at + 20), struct.unpack_from("<H", block, at + 36), block[at + 38] != 0
+        orbit_at = layout(block[at])["orbit"][0]
+        (orbit,), (page,), stop = struct.unpack_from("<I", block, at + orbit_at), struct.unpack_from("<H", block, at + 36), block[at + 38] != 0
         out.append({"memory_size": memory, "offset_to_next": step, "stop_bit": stop, "orbit": orbit, "page_counter": page, "at": at})
         if stop or not LEAST_STEP <= step <= MOST_STEP:
             break

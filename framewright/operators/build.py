@@ -102,3 +102,38 @@ def consistency(frames: DataFrame, keys: tuple[str, ...], checked: tuple[str, ..
     for c in checked:
         bad |= F.col(f"n_{c}") > 1
     return x.where(bad)
+
+
+def decoded_channel(messages: DataFrame, keys: tuple[str, ...] = ("tf_id",)) -> DataFrame:
+    """(keys, place, at, kind, n_payloads, error): the data items of each frame's list of messages (keys, at, split_index, split_parts, stf_header).
+
+    At an item's first message, up to one split part means a header and its payload; an index of 0 full headers, one before each of
+    the parts; an index as large as the number of parts one header before all of them. Anything else, or a list too short, is an error, at
+    which decoding of the frame ends. A frame's header is an item of kind stf_header; one without it gets a last row with the error no_header.
+    A frame's messages are one array and are walked in order, which no window can do.
+    """
+    walk = "aggregate(m, named_struct('next', 0L, 'out', cast(array() as array<struct<at:bigint,kind:string,n_payloads:bigint,error:string>>)), (a, x) -> if(x.at <> a.next, a, named_struct('next', case {next} end, 'out', array_append(a.out, named_struct('at', x.at, 'kind', case {kind} end, 'n_payloads', case {n} end, 'error', case {error} end)))))"
+    parts, first = "x.split_parts", "x.split_index"
+    short = f"n - x.at < case when {parts} <= 1 then 2 when {first} = 0 then 2 * {parts} else 1 + {parts} end"
+    bad = f"{parts} > 1 and {first} not in (0, {parts})"
+    step = f"when {bad} or {short} then -1L when {parts} <= 1 then x.at + 2 when {first} = 0 then x.at + 2 * {parts} else x.at + 1 + {parts}"
+    kind = f"when {parts} > 1 and {first} = 0 then 'full_split' when {parts} > 1 then 'reduced_split' when x.stf_header then 'stf_header' else 'single'"
+    walk = walk.format(next=step, kind=kind, n=f"when {parts} <= 1 then 1L else {parts}", error=f"when {bad} then 'split_index' when {short} then 'too_short'")
+    x = messages.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ("at", "split_index", "split_parts")], "stf_header"))).alias("m"))
+    x = x.withColumn("n", F.size("m").cast("long")).withColumn("out", F.expr(f"({walk}).out"))
+    none = F.struct(F.col("n").alias("at"), F.lit("none").alias("kind"), F.lit(0).cast("long").alias("n_payloads"), F.lit("no_header").alias("error"))
+    x = x.withColumn("out", F.when(F.exists("out", lambda o: o["kind"] == "stf_header"), F.col("out")).otherwise(F.array_append("out", none)))
+    x = x.select(*keys, F.posexplode("out").alias("place", "o"))
+    return x.select(*keys, F.col("place").cast("long").alias("place"), "o.*")
+
+
+def inspected(headers: DataFrame, keys: tuple[str, ...] = ("tf_id",)) -> DataFrame:
+    """(keys, orbit, counter, run, start, split): which checks a frame's headers fail (first_orbit, tf_counter, run, start_time, split_index, split_parts).
+
+    All known first orbits (0: unknown), frame counters, runs and start times should be one; the first of split messages has
+    index 0 or as many as there are parts, and 0 parts are none. Null fields are ignored. Sums by frame only.
+    """
+    differ = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False))
+    parts, first = F.col("split_parts"), F.col("split_index")
+    bad = (parts == 0) | ((parts > 1) & (first != 0) & (first != parts))
+    return headers.groupBy(*keys).agg(differ(F.nullif(F.col("first_orbit"), F.lit(0))).alias("orbit"), differ(F.col("tf_counter")).alias("counter"), differ(F.col("run")).alias("run"), differ(F.col("start_time")).alias("start"), F.coalesce(F.bool_or(bad), F.lit(False)).alias("split"))

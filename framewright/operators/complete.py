@@ -79,3 +79,13 @@ def over_watermark(info: DataFrame, frames: DataFrame, percent: int = 90, most_b
     old = began.where((F.col("tf_id") <= done) & (young.isNull() | (F.col("tf_id") < young))).select("tf_id")
     x = first_arrivals(info).join(F.broadcast(fullest), "sender", "left_semi").join(old, "tf_id", "left_semi").select("tf_id", "sender", "stf_size")
     return running(x, "total", "sum", F.col("stf_size"), "tf_id").where(F.col("total") - F.col("stf_size") <= most_bytes)
+
+
+def stale_in_senders(stfs: DataFrame, timeout: int, at: str = "seq") -> DataFrame:
+    """(sender, tf_id): what senders give up of their scheduled sub time frames (sender, tf_id, at): from the oldest id on, until one is no older than the timeout.
+
+    Ages are counted up to the last row of all; what a worker has asked for isn't among them any more.
+    """
+    now = stfs.agg(F.max(at)).scalar()
+    young = stfs.where(now - F.col(at) <= timeout).groupBy("sender").agg(F.min("tf_id").alias("young"))
+    return stfs.join(young, "sender", "left").where(F.col("young").isNull() | (F.col("tf_id") < F.col("young"))).select("sender", "tf_id")

@@ -56,3 +56,11 @@ def smoothed(samples: DataFrame, keys: tuple[str, ...], order: str, value: str,
 def latency(requests: DataFrame, receipts: DataFrame, keys: tuple[str, ...] = ("tf_id", "sender")) -> DataFrame:
     """Time from request to receipt."""
     return requests.join(receipts, list(keys)).withColumn("latency", F.col("received") - F.col("requested"))
+
+
+def lines(metrics: DataFrame, keys: tuple[str, ...], values: tuple[str, ...], at: str, prefix: str = "") -> DataFrame:
+    """(line): a line of text for each value that isn't null: name, keys and value, and the time in milliseconds, to be written to any store."""
+    one = [F.struct(F.lit(prefix + v).alias("name"), F.col(v).cast("double").alias("value")) for v in values]
+    x = metrics.select(*keys, at, F.inline(F.array(*one))).where("value is not null")
+    tags = [F.concat(F.lit(f",{k}="), F.coalesce(F.col(k).cast("string"), F.lit(""))) for k in keys]
+    return x.select(F.concat(F.col("name"), *tags, F.lit(" value="), F.format_string("%.6f", "value"), F.lit(" "), F.col(at).cast("string")).alias("line"))

@@ -119,12 +119,37 @@ def channel_out(s, d):
     return head.unionByName(x).withColumn("place", F.row_number().over(Window.partitionBy("tf_id").orderBy("origin", "subspec")) - 1)
 
 
+def _channel(s, d):
+    """Each frame as a list of messages: its header, then its pages as single, full-split or reduced-split items."""
+    x = v.hbf(s, d).withColumn("kind", F.col("trigger") % 3)
+    parts = F.when(F.col("kind") == 0, 1).when(F.col("kind") == 1, 2 + F.col("size") % 4).otherwise(2 + F.col("size") % 7).cast("bigint")
+    x = x.select("tf_id", "seq", "kind", parts.alias("parts"))
+    x = x.unionByName(x.select("tf_id").distinct().selectExpr("tf_id", "-1L as seq", "-1L as kind", "1L as parts"))
+    n = F.when(F.col("kind") == 1, 2 * F.col("parts")).otherwise(1 + F.col("parts"))
+    x = x.withColumns({"n": n, "base": F.coalesce(F.sum(n).over(Window.partitionBy("tf_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    x = x.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k"))
+    first = F.when(F.col("kind") == 1, F.floor(F.col("k") / 2)).when(F.col("kind") == 2, F.col("parts")).otherwise(0)
+    return x.select("tf_id", (F.col("base") + F.col("k")).alias("at"), first.cast("bigint").alias("split_index"), F.col("parts").alias("split_parts"), (F.col("kind") == -1).alias("stf_header"), "seq")
+
+
 @query("""
-select seq, case when trigger % 3 = 0 then 'single' when trigger % 3 = 1 then 'full_split' else 'reduced_split' end kind, case when trigger % 3 = 0 then 1 when trigger % 3 = 1 then 2 + size % 4 else 2 + size % 7 end n_messages from hbf""")
+, e as (select tf_id, seq, case trigger % 3 when 0 then 'single' when 1 then 'full_split' else 'reduced_split' end kind, case trigger % 3 when 0 then 1 when 1 then 2 + size % 4 else 2 + size % 7 end n_payloads from hbf
+  union all select distinct tf_id, -1, 'stf_header', 1 from hbf),
+x as (select *, case kind when 'full_split' then 2 * n_payloads else 1 + n_payloads end n from e)
+select tf_id, row_number() over w - 1 place, coalesce(sum(n) over (partition by tf_id order by seq rows between unbounded preceding and 1 preceding), 0)::bigint "at", kind, n_payloads, null::varchar error from x window w as (partition by tf_id order by seq)""")
 def channel_in(s, d):
-    parts, at = F.when(F.col("trigger") % 3 == 0, 1).when(F.col("trigger") % 3 == 1, 2 + F.col("size") % 4).otherwise(2 + F.col("size") % 7), F.col("trigger") % 3
-    kind = F.when(at == 0, "single").when(at == 1, "full_split").otherwise("reduced_split")
-    return v.hbf(s, d).select("seq", kind.alias("kind"), F.size(F.sequence(F.lit(1), parts)).cast("bigint").alias("n_messages"))
+    """Frames as lists of messages, decoded into their items again."""
+    return build.decoded_channel(_channel(s, d))
+
+
+@query("""
+, h as (select tf_id, case when seq % 4 = 0 then 0 else tf_id * 256 + (seq % 501 = 7)::int end first_orbit, tf_id + (seq % 777 = 5)::int tf_counter, 500 + (seq % 333 = 2)::int run, case when seq % 2 = 0 then tf_id + (seq % 444 = 8)::int end start_time, size % 3 split_parts, (size // 3) % 4 split_index from hbf)
+select tf_id, coalesce(count(distinct nullif(first_orbit, 0)) > 1, false) orbit, count(distinct tf_counter) > 1 counter, count(distinct run) > 1 run, count(distinct start_time) > 1 "start", bool_or(split_parts = 0 or split_parts > 1 and split_index not in (0, split_parts)) split from h group by tf_id""")
+def channel_inspection(s, d):
+    q = F.col("seq")
+    on = lambda k, n: (q % k == n).cast("int")
+    x = v.hbf(s, d).select("tf_id", F.when(q % 4 == 0, 0).otherwise(F.col("tf_id") * 256 + on(501, 7)).alias("first_orbit"), (F.col("tf_id") + on(777, 5)).alias("tf_counter"), (500 + on(333, 2)).alias("run"), F.when(q % 2 == 0, F.col("tf_id") + on(444, 8)).alias("start_time"), (F.col("size") % 3).alias("split_parts"), (F.floor(F.col("size") / 3) % 4).alias("split_index"))
+    return build.inspected(x)
 
 
 # filters
@@ -285,6 +310,12 @@ def stale_tf(s, d):
     return complete.stale(v.hbf(s, d), N, "interval 5 days").select("tf_id", "n_senders")
 
 
+@query(", h as (select sender, tf_id, seq from stf_info where seq % 5 >= 3), y as (select sender, min(tf_id) young from h, (select max(seq) now from h) where now - seq <= 400 group by sender) select h.sender, h.tf_id from h left join y using (sender) where young is null or tf_id < young")
+def stale_in_senders(s, d):
+    """Sub time frames that nobody asked for, at the end of the input."""
+    return complete.stale_in_senders(v.stf_info(s, d).where("seq % 5 >= 3").select("sender", "tf_id", "seq"), 400)
+
+
 @query(", b as (select sender, arg_max(buffer_used, seq) / arg_max(buffer_size, seq) used from stf_info group by sender) select round(avg(used), 9) mean_used, max(used) max_used, arg_max(sender, used) fullest from b")
 def buffer_util(s, d):
     return metrics.buffers(v.stf_info(s, d)).withColumn("mean_used", F.round("mean_used", 9))
@@ -420,6 +451,16 @@ def rdh_fields(s, d):
     return x.select("seq", f("cru_id").alias("cru"), f("link_id").alias("link"), f("endpoint_id").alias("ep"), f("orbit").alias("orbit"), f("bc").alias("bc"), (f("stop_bit") == 1).alias("stop"), f("version").alias("version"), f("memory_size").alias("memory_size"), f("fee_id").alias("fee_id"), f("trigger_type").alias("trigger_type"), f("page_counter").alias("page_counter"))
 
 
+@query(" select seq, case when seq % 6 < 5 then 3 + seq % 6 end as version, case when seq % 6 < 5 then tf_id * 256 end orbit, case when seq % 6 < 5 then size % 4096 end bc, case when seq % 6 < 5 then subspec & 65535 end fee_id from hbf")
+def rdh_versions(s, d):
+    """Headers of versions 3 to 7, each read by its own layout, and of one that isn't known."""
+    k = F.col("seq") % 6
+    given = {"version": (3 + k), "orbit": F.col("tf_id") * 256, "bc": F.col("size") % 4096, "fee_id": F.col("subspec").bitwiseAND(F.lit(65535))}
+    block = F.when(k < 2, headers.header(given, 4)).otherwise(headers.header(given, 7))
+    x = v.hbf(s, d).select("seq", block.alias("b"))
+    return x.select("seq", *[headers.any_field(F.col("b"), n).alias(n) for n in given])
+
+
 @query(" select seq, 2::bigint n_headers, (64 + 64 + size % 1000)::bigint memory, trigger % 2 = 0 stop from hbf")
 def rdh_chain(s, d):
     head = lambda mem, stop, page: headers.header({"version": F.lit(6), "offset_to_next": F.lit(64), "memory_size": mem, "orbit": F.col("tf_id"), "page_counter": F.lit(page), "stop_bit": stop})
@@ -615,6 +656,12 @@ def output_count(s, d):
     return ordered.running(x, "built", "count", F.lit(1), "seq")
 
 
+@query(", m as (select sender, tf_id // 6 i, count(*) n, sum(size)::double t from hbf group by all), l as (select sender, i, 'stf.n' name, n::double v from m union all select sender, i, 'stf.t', t from m) select name || ',sender=' || sender || ' value=' || printf('%.6f', v) || ' ' || (i * 21600000) line from l")
+def metric_lines(s, d):
+    x = v.hbf(s, d).groupBy("sender", F.floor(F.col("tf_id") / 6).alias("i")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("t"))
+    return metrics.lines(x.withColumn("ms", F.col("i") * 21_600_000), ("sender",), ("n", "t"), "ms", "stf.")
+
+
 # scheduling
 
 
@@ -699,7 +746,7 @@ def tf_roundtrip(s, d):
     own = F.md5(F.concat_ws("/", *(F.col(c).cast("string") for c in ("tf_id", "sender", "line", "subspec", "size"))))
     size = F.col("size").cast("int")
     x = x.select("tf_id", F.lit(1).cast("bigint").alias("run"), (F.col("tf_id") * 256).alias("first_orbit"), F.col("equipment").alias("description"), F.lit("TST").alias("origin"), F.lit(0).cast("bigint").alias("subspec"), F.row_number().over(order).cast("bigint").alias("message"), F.lit(0).alias("split_index"), F.left(F.repeat(own, F.floor(size / 32).cast("int") + 1), size).cast("binary").alias("payload"))
-    at = replay.folder(s).removeprefix("file:").replace("///", "/")
+    at = replay.folder(s)
     tf_files.write_tf(x, at, max_frames=20)
     read = tf_files.read_tf(s, at).select("tf_id", F.col("description").alias("equipment"), F.octet_length("payload").alias("size"), F.md5("payload").alias("digest"))
     return read.groupBy("tf_id", "equipment").agg(F.count(F.lit(1)).alias("n_parts"), F.sum("size").alias("bytes"), F.md5(F.array_join(F.sort_array(F.collect_list("digest")), "")).alias("digest"))
@@ -720,6 +767,28 @@ def generated_messages(s, d):
     return generator.messages(s, 500).select("version", "timeframe_id", "link_id", "system_id", "orbit_first", "orbit_last", "last_tf")
 
 
+@query("select t timeframe_id, l link_id, 2000000000::bigint * 256 // (8 * 11223) made, 5 n_pages, 2000000000::bigint * 256 // (8 * 11223) - 5 * 1048576 lost from range(500) a(t), range(2) b(l) where (t * 7919 + 13) % 67 <> 0")
+def generated_superpages(s, d):
+    x = generator.superpages(generator.messages(s, 500), 2_000_000_000, free_pages=5)
+    return x.select("timeframe_id", "link_id", "made", "n_pages", "lost")
+
+
+@query(", q as (select tf_id, sender, min(seq) a, max(seq) b from stf_info group by all) select tf_id, sender, a requested_s, b + 3 received_s from q")
+def stream_latency(s, d):
+    """Requests and receipts as one stream, joined within a minute."""
+    x = v.stf_info(s, d).groupBy("tf_id", "sender").agg(F.min("seq").alias("a"), F.max("seq").alias("b"))
+    both = x.select("tf_id", "sender", F.lit("request").alias("kind"), F.col("a").alias("seq")).unionByName(x.select("tf_id", "sender", F.lit("receipt").alias("kind"), (F.col("b") + 3).alias("seq")))
+
+    def joined(stream):
+        at = F.timestamp_seconds(F.col("seq") + 86_400)  # time 0 is already late
+        a = stream.where("kind = 'request'").select("tf_id", "sender", at.alias("requested"))
+        b = stream.where("kind = 'receipt'").select("tf_id", "sender", at.alias("received"))
+        return builders.fetched(a, b)
+
+    out = replay.replayed(both, "seq", joined)
+    return out.select("tf_id", "sender", (F.unix_seconds("requested") - 86_400).alias("requested_s"), (F.unix_seconds("received") - 86_400).alias("received_s"))
+
+
 @query(", t as (select tf_id, sum(size)::bigint size from hbf group by tf_id) select tf_id + r * 1000 tf_id, r round, size from t, range(3) x(r)")
 def replayed_frames(s, d):
     x = v.hbf(s, d).groupBy("tf_id").agg(F.sum("size").alias("size"))

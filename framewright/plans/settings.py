@@ -63,3 +63,8 @@ class Settings:
     def read(cls, table: DataFrame) -> Settings:
         """From a table (key, value) of settings; the keys are few."""
         return cls.of({r.key: r.value for r in table.where(table.key.isin([f.name for f in fields(cls)])).collect()})
+
+    @classmethod
+    def of_environment(cls, environment: dict[str, str], prefix: str = "FRAMEWRIGHT_") -> Settings:
+        """From variables such as FRAMEWRIGHT_STALE_TF_TIMEOUT_MS."""
+        return cls.of({k.removeprefix(prefix).lower(): v for k, v in environment.items() if k.startswith(prefix)})

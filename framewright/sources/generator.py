@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ORBITS_A_FRAME = 256
+# Fixed value: orbits in a second.
+ORBITS_A_SECOND = 11223
 
 
 def messages(spark: SparkSession, n_frames: int, links: int = 2, bytes_a_page: int = 8192, pages: int = 4) -> DataFrame:
@@ -19,6 +21,14 @@ def messages(spark: SparkSession, n_frames: int, links: int = 2, bytes_a_page: i
     )
 
 
+def superpages(messages: DataFrame, bits_per_second: int, page_bytes: int = 1 << 20, free_pages: int = 64) -> DataFrame:
+    """Messages with what their link makes in a frame's time at a bit rate: bytes, pages, and what is lost as no page is free for it."""
+    made = F.lit(bits_per_second * ORBITS_A_FRAME // (8 * ORBITS_A_SECOND)).cast("bigint")
+    pages = F.ceil(made / page_bytes)
+    got = F.least(made, F.lit(page_bytes * free_pages).cast("bigint"))
+    return messages.withColumns({"made": made, "n_pages": F.least(pages, F.lit(free_pages)).cast("bigint"), "lost": made - got})
+
+
 def replayed(frames: DataFrame, times: int, step: int) -> DataFrame:
     """The frames again and again, ids moved on by `step` each time."""
     return frames.select("*", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("round")).withColumn("tf_id", F.col("tf_id") + F.col("round") * step)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,16 +14,11 @@ def _state(state, start):
     return pickle.loads(state.get[0]) if state.exists else start
 
 
-def sub_time_frames(pages: DataFrame, timeout_ms: int = 2000) -> DataFrame:
-    """(sender, tf_id, n_parts, size, closed_by): frames of each sender, closed by a page with last_tf, by a page of another frame, or when idle.
-
-    Input: (sender, seq, tf_id, size, last_tf). Pages of a frame below the one being received are refused.
-    """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
+def building(timeout_ms: int) -> Callable:
+    """What sub_time_frames() does with the state of one sender."""
     columns = ["sender", "tf_id", "n_parts", "size", "closed_by"]
 
-    def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(key: tuple, batches: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         now, out = _state(state, None), []
         if state.hasTimedOut:
             if now and now[1]:
@@ -31,6 +26,9 @@ def sub_time_frames(pages: DataFrame, timeout_ms: int = 2000) -> DataFrame:
                 now = [now[0], 0, 0]
         else:
             for r in pd.concat(list(batches)).sort_values("seq").itertuples():
+                if not getattr(r, "running", True):
+                    now = [now[0], 0, 0] if now else now
+                    continue
                 if now is not None and r.tf_id < now[0]:
                     continue
                 if now is None or r.tf_id > now[0]:
@@ -46,16 +44,25 @@ def sub_time_frames(pages: DataFrame, timeout_ms: int = 2000) -> DataFrame:
             state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=columns)
 
-    return pages.groupBy("sender").applyInPandasWithState(step, "sender long, tf_id long, n_parts long, size long, closed_by string", "s binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return step
 
 
-def topology_frames(pages: DataFrame, n: int = 128, timeout_ms: int = 500) -> DataFrame:
-    """(subspec, window, n_pages, size, first_seq, last_seq): windows of n pages of each source; what is left over comes at a page with `last` (if there is this column) or when idle."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+def sub_time_frames(pages: DataFrame, timeout_ms: int = 2000) -> DataFrame:
+    """(sender, tf_id, n_parts, size, closed_by): frames of each sender, closed by a page with last_tf, by a page of another frame, or when idle.
+
+    Input: (sender, seq, tf_id, size, last_tf), and running if there is this column: after a stop, pages and the open frame are discarded.
+    Pages of a frame below the one being received are refused.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    return pages.groupBy("sender").applyInPandasWithState(building(timeout_ms), "sender long, tf_id long, n_parts long, size long, closed_by string", "s binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
+
+def windowing(n: int, timeout_ms: int) -> Callable:
+    """What topology_frames() does with the state of one source."""
     columns = ["subspec", "window", "n_pages", "size", "first_seq", "last_seq"]
 
-    def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(key: tuple, batches: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         (window, held), out = _state(state, (0, None)), []
         if state.hasTimedOut:
             if held:
@@ -72,14 +79,20 @@ def topology_frames(pages: DataFrame, n: int = 128, timeout_ms: int = 500) -> Da
             state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=columns)
 
-    return pages.groupBy("subspec").applyInPandasWithState(step, "subspec long, window long, n_pages long, size long, first_seq long, last_seq long", "s binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return step
 
 
-def heartbeats(updates: DataFrame, timeout_ms: int = 5000) -> DataFrame:
-    """(worker, event): joined at the first update, left at one with state 'leave', expired when none comes in time."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+def topology_frames(pages: DataFrame, n: int = 128, timeout_ms: int = 500) -> DataFrame:
+    """(subspec, window, n_pages, size, first_seq, last_seq): windows of n pages of each source; what is left over comes at a page with `last` (if there is this column) or when idle."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    return pages.groupBy("subspec").applyInPandasWithState(windowing(n, timeout_ms), "subspec long, window long, n_pages long, size long, first_seq long, last_seq long", "s binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
 
-    def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def watching(timeout_ms: int) -> Callable:
+    """What heartbeats() does with the state of one worker."""
+
+    def step(key: tuple, batches: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         events = []
         if state.hasTimedOut:
             events.append("expired")
@@ -100,7 +113,14 @@ def heartbeats(updates: DataFrame, timeout_ms: int = 5000) -> DataFrame:
                 state.remove()
         yield pd.DataFrame([(key[0], e) for e in events], columns=["worker", "event"])
 
-    return updates.groupBy("worker").applyInPandasWithState(step, "worker long, event string", "here boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return step
+
+
+def heartbeats(updates: DataFrame, timeout_ms: int = 5000) -> DataFrame:
+    """(worker, event): joined at the first update, left at one with state 'leave', expired when none comes in time."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    return updates.groupBy("worker").applyInPandasWithState(watching(timeout_ms), "worker long, event string", "here boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def once(requests: DataFrame, at: str, keys: list[str], delay: str = "1 minute") -> DataFrame:

@@ -7,7 +7,7 @@ grow with the run, since frames leave it when they are given out, dropped or sta
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,13 +21,22 @@ class Completer:
 
     A sender that goes on to a later frame leaves a blank in those before, which fills its place: a later real announcement for it
     is ignored. When a frame fills up, all open frames up to it are given out, in order. Announcements of frames at or below the highest given
-    out are late. The first announcement of a sender counts.
+    out are late. The first announcement of a sender counts. Of frames not seen yet, a share of `percent` is taken and others are throttled, all
+    senders' alike. An announcement of a higher run starts everything afresh, one of a lower run is refused.
     """
 
-    def __init__(self, senders: int):
-        self.senders, self.last, self.open, self.since, self.done = senders, {}, {}, {}, -1
-
-    def announce(self, tf: int, sender: int, size: int, seq: int, now: float = 0.0) -> Iterator[tuple]:
+    def __init__(self, senders: int, percent: float = 100, run: int | None = None):
+        self.senders, self.percent, self.run, self.last, self.open, self.since, self.done = senders, percent, run, {}, {}, {}, -1
+
+    def announce(self, tf: int, sender: int, size: int, seq: int, now: float = 0.0, run: int | None = None) -> Iterator[tuple]:
+        if run is not None and run != self.run:
+            if self.run is not None and run < self.run:
+                yield tf, seq, 1, size, False, "old_run"
+                return
+            self.restart(run)
+        if (tf * 7919 + 104729) % 10007 >= self.percent * 10007 / 100:
+            yield tf, seq, 1, size, False, "throttled"
+            return
         self.last[sender] = max(self.last.get(sender, -1), tf)
         if tf <= self.done:
             yield tf, seq, 1, size, False, "late"
@@ -72,28 +81,37 @@ class Completer:
             self.done = max(self.done, t)
             yield t, None, len(real), sum(real), len(real) == self.senders, "stale"
 
-    def restart(self) -> None:
-        self.__init__(self.senders)
+    def restart(self, run: int | None = None) -> None:
+        self.__init__(self.senders, self.percent, run)
 
 
-def completed(info: DataFrame, senders: int, timeout_ms: int = 60_000) -> DataFrame:
-    """Outcomes for a stream of (run, seq, tf_id, sender, stf_size): built, stale, late or repeated. Rows of one batch are taken by seq."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+def completing(senders: int, timeout_ms: int, percent: float = 100) -> Callable:
+    """What completed() does with the state of one key."""
 
-    def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        c = Completer(senders)
+    def step(key: tuple, batches: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        c = Completer(senders, percent)
         vars(c).update(pickle.loads(state.get[0]) if state.exists else {})
         out: list = []
         now = state.getCurrentProcessingTimeMs()
         if not state.hasTimedOut:
             rows = pd.concat(list(batches)).sort_values("seq")
             for r in rows.itertuples():
-                out += c.announce(int(r.tf_id), int(r.sender), int(r.stf_size), int(r.seq), now)
-        out += c.stale(now, timeout_ms)
+                out += [(int(r.run), *x) for x in c.announce(int(r.tf_id), int(r.sender), int(r.stf_size), int(r.seq), now, int(r.run))]
+        out += [(c.run, *x) for x in c.stale(now, timeout_ms)]
         state.update((pickle.dumps(vars(c)),))
         if c.open:
             state.setTimeoutDuration(timeout_ms)
         if out:
-            yield pd.DataFrame([(key[0], *x) for x in out], columns=COLUMNS).astype({"emit_seq": "Int64"})
+            yield pd.DataFrame(out, columns=COLUMNS).astype({"emit_seq": "Int64"})
+
+    return step
+
+
+def completed(info: DataFrame, senders: int, timeout_ms: int = 60_000, percent: float = 100, key: str = "run") -> DataFrame:
+    """Outcomes for a stream of (run, seq, tf_id, sender, stf_size): built, stale, late, repeated, throttled or old_run. Rows of one batch are taken by seq.
+
+    key: by what there is a state; where it is a partition of the detector, a higher run in it starts the state afresh.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return info.groupBy("run").applyInPandasWithState(step, OUT, "c binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return info.groupBy(key).applyInPandasWithState(completing(senders, timeout_ms, percent), OUT, "c binary", "append", GroupStateTimeout.ProcessingTimeTimeout)

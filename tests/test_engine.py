@@ -1,16 +1,21 @@
 """Operators with state or files: against step-by-step versions, and round trips."""
 
 import random
+import struct
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from framewright import catalog
 from framewright.operators import build, complete, ordered, schedule, transfer
 from framewright.plans import views as v
+from framewright.functions import headers
 from framewright.sources import sidecar, tf_files, tf_format
 from framewright.streaming import builders, replay
-from framewright.streaming.completer import Completer
+from framewright.streaming.completer import Completer, completing
+from framewright.streaming.listener import BatchMetrics
 
 
 def histories(seed, n, senders):
@@ -254,3 +259,148 @@ def test_streams(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(1, "joined"), (1, "joined"), (1, "left"), (2, "joined")]
     asked = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 1, 2)], "tf_id long, sender long, s long").withColumn("at", F.timestamp_seconds("s"))
     assert replay.replayed(asked, "s", lambda x: builders.once(x, "at", ["tf_id", "sender"]), 1).count() == 2
+
+
+def test_channel_errors(spark):
+    rows = [(1, 0, 0, 1, True), (1, 1, 0, 1, True), (1, 2, 1, 3, False), (1, 3, 0, 1, False), (2, 0, 0, 1, False), (2, 1, 0, 1, False), (3, 0, 0, 1, True), (3, 1, 0, 1, True), (3, 2, 0, 5, False), (3, 3, 0, 5, False)]
+    got = build.decoded_channel(spark.createDataFrame(rows, "tf_id long, at long, split_index long, split_parts long, stf_header boolean")).orderBy("tf_id", "place").collect()
+    assert [(r.tf_id, r.place, r.kind, r.error) for r in got] == [(1, 0, "stf_header", None), (1, 1, "reduced_split", "split_index"), (2, 0, "single", None), (2, 1, "none", "no_header"), (3, 0, "stf_header", None), (3, 1, "full_split", "too_short")]
+
+
+class State:
+    """State of one key, with a clock that the test moves on."""
+
+    def __init__(self):
+        self.value, self.at, self.hasTimedOut, self.now = None, None, False, 0
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.at = self.now + ms
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def run(self, step, rows=(), names=()):
+        self.hasTimedOut = not rows
+        out = [tuple(r) for b in step((1,), [pd.DataFrame(rows, columns=names)] if rows else [], self) for r in b.itertuples(index=False)]
+        return [tuple(None if x is pd.NA else x for x in r) for r in out]
+
+
+def test_frames_close_when_idle():
+    s, step, names = State(), builders.building(2000), ["seq", "tf_id", "size", "last_tf"]
+    assert s.run(step, [(0, 7, 10, False), (1, 7, 5, False)], names) == [] and s.at == 2000
+    assert s.run(step) == [(1, 7, 2, 15, "idle")] and s.run(step) == []
+    assert s.run(step, [(2, 7, 1, True), (3, 6, 1, True)], names) == [(1, 7, 1, 1, "flag")]
+
+
+def test_pages_after_a_stop_are_discarded():
+    s, step, names = State(), builders.building(2000), ["seq", "tf_id", "size", "last_tf", "running"]
+    assert s.run(step, [(0, 7, 10, False, True), (1, 7, 5, True, False), (2, 8, 3, True, True)], names) == [(1, 8, 1, 3, "flag")]
+
+
+def test_windows_close_when_idle():
+    s, step, names = State(), builders.windowing(3, 500), ["seq", "size"]
+    assert s.run(step, [(i, 1) for i in range(4)], names) == [(1, 0, 3, 3, 0, 2)] and s.at == 500
+    assert s.run(step) == [(1, 1, 1, 1, 3, 3)] and s.run(step) == []
+
+
+def test_workers_expire():
+    s, step, names = State(), builders.watching(5000), ["seq", "state"]
+    assert s.run(step, [(0, "run")], names) == [(1, "joined")]
+    s.now = 3000
+    assert s.run(step, [(1, "run")], names) == [] and s.at == 8000
+    assert s.run(step) == [(1, "expired")] and not s.exists
+    assert s.run(step, [(2, "run"), (3, "leave")], names) == [(1, "joined"), (1, "left")]
+
+
+def test_frames_get_stale_and_runs_start_afresh():
+    s, step, names = State(), completing(2, 750), ["run", "seq", "tf_id", "sender", "stf_size"]
+    assert s.run(step, [(1, 0, 5, 0, 10)], names) == [] and s.at == 750
+    s.now = 700
+    assert s.run(step, [(1, 1, 6, 0, 10)], names) == []
+    s.now = 751
+    assert s.run(step) == [(1, 5, None, 1, 10, False, "stale")]
+    assert [r[-1] for r in s.run(step, [(1, 2, 5, 1, 1)], names)] == ["late"]
+    assert s.run(step, [(2, 3, 5, 0, 1), (1, 4, 9, 1, 1), (2, 5, 5, 1, 1)], names) == [(1, 9, 4, 1, 1, False, "old_run"), (2, 5, 5, 2, 2, True, "built")]
+    half, step = State(), completing(1, 750, 50)
+    got = half.run(step, [(1, i, i, 0, 1) for i in range(400)], names)
+    assert {r[-1] for r in got} == {"built", "throttled"} and 150 < sum(r[-1] == "built" for r in got) < 250
+
+
+def test_header_stacks():
+    one = lambda more, n=0: tf_format.pack_header(n, "RAWDATA", "TPC", 7, more=more)
+    assert tf_format.unpack_stack(one(True, 3) + one(True) + one(False) + b"abc", 0) | {"x": 0} == tf_format.unpack_header(one(True, 3), 0) | {"size": 3 * 96, "n_headers": 3, "x": 0}
+    assert tf_format.unpack_stack(one(True) * 15 + one(False), 0)["n_headers"] == 16
+    with pytest.raises(ValueError):
+        tf_format.unpack_stack(one(True) * 16 + one(False), 0)
+    data = bytearray(tf_format.encode(3, 500, 768, PARTS[:1]))
+    at = len(data) - 96 - 3
+    both = bytes(data[:at]) + one(True, 3) + one(False) + b"abc"
+    whole = struct.pack("<QQQ", 1, len(both), 0)
+    both = both[:96] + whole + both[96 + 24 :]
+    assert [(r["payload"], r["origin"]) for r in tf_format.decode(both)] == [(b"abc", "TPC")]
+    old = bytearray(one(False, 5))
+    old[8:12] = struct.pack("<I", 1)
+    assert tf_format.unpack_header(bytes(old), 0)["tf_id"] == 0
+
+
+def test_old_headers_have_their_own_layout(spark):
+    df = spark.range(1).select(headers.header({"version": F.lit(4), "orbit": F.lit(77), "trigger_orbit": F.lit(5), "stop_bit": F.lit(1), "memory_size": F.lit(64)}, 4).alias("b"))
+    got = df.select(headers.any_field(F.col("b"), "orbit").alias("o"), headers.field(F.col("b"), "trigger_orbit", 0, 4).alias("t"), headers.field(F.col("b"), "orbit").alias("wrong")).first()
+    assert tuple(got) == (77, 5, 5) and headers.walk(bytes(df.first().b))[0]["orbit"] == 77
+
+
+def test_run_folders(tmp_path):
+    now = time.struct_time((2024, 5, 6, 7, 8, 9, 0, 127, 0))
+    names = [tf_files.run_folder(str(tmp_path), "500", now) for _ in range(3)]
+    assert [n.split("/")[-1] for n in names] == ["run0500_2024-05-06__07_08_09", "run0500_2024-05-06__07_08_09_1", "run0500_2024-05-06__07_08_09_2"]
+    assert all((tmp_path / n.split("/")[-1]).is_dir() for n in names)
+    with pytest.raises(ValueError):
+        tf_files.run_folder(str(tmp_path / "no"), "1")
+
+
+def test_listed_files_are_fetched(spark, tmp_path):
+    paths = []
+    for i in range(6):
+        paths.append(tmp_path / f"a{i}.tf")
+        if i not in (1, 3):
+            paths[-1].write_bytes(tf_format.encode(i, 1, 0, PARTS[:1]))
+    files = spark.createDataFrame([(i, str(p)) for i, p in enumerate(paths)], "number long, path string")
+    got = {r.number: (r.ok, r.used) for r in tf_files.copied(files, "cp ?src ?dst").collect()}
+    assert got == {i: (i not in (1, 3),) * 2 for i in range(6)}
+    assert sorted(r.tf_id for r in tf_files.read_copied(files, "cp ?src ?dst").collect()) == [0, 2, 4, 5]
+    assert sorted(r.tf_id for r in tf_files.read_copied(files, "cp ?src ?dst", 2).collect()) == [0, 2]
+
+
+def test_metrics_of_batches(spark):
+    seen = BatchMetrics()
+    spark.streams.addListener(seen)
+    try:
+        pages = spark.createDataFrame([(1, i, i, 5, True) for i in range(8)], "sender long, seq long, tf_id long, size long, last_tf boolean")
+        replay.replayed(pages, "seq", lambda x: builders.sub_time_frames(x, 3_600_000), 2).count()
+        for _ in range(50):
+            if len(seen.rows) >= 2:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(seen)
+    assert sum(r.n_rows for r in seen.table(spark).collect()) == 8
+
+
+def test_rotation_by_size(spark, tmp_path):
+    rows = [(t, 1, 0, "RAWDATA", "TPC", 7, 0, 0, b"x" * 1000) for t in range(6)]
+    schema = "tf_id long, run long, first_orbit long, description string, origin string, subspec long, message long, split_index int, payload binary"
+    df = spark.createDataFrame(rows, schema).coalesce(1)
+    tf_files.write_tf(df, str(tmp_path), max_bytes=2000, sample=100)
+    sizes = [p.stat().st_size for p in tmp_path.glob("*.tf")]
+    assert sum(sizes) > 6000 and all(n < 4000 for n in sizes) and len(tf_files.read_tf(spark, str(tmp_path)).collect()) == 6
+    names = [r.name for r in tf_files.listed(spark.createDataFrame([("/x/b2.tf",), ("/y/a10.tf",), ("/z/a9.tf",)], "path string")).collect()]
+    assert names == sorted(names)

@@ -62,3 +62,8 @@ def test_headers_there_and_back(spark):
 @pytest.mark.parametrize(("given", "key", "value"), [({}, "stale_tf_timeout_ms", 750), ({"stale_tf_timeout_ms": "5"}, "stale_tf_timeout_ms", 25), ({"stale_tf_timeout_ms": "-5"}, "stale_tf_timeout_ms", 750), ({"build_incomplete_tfs": "no"}, "build_incomplete_tfs", False), ({"sender_selection": "linear"}, "sender_selection", "linear")])
 def test_settings(given, key, value):
     assert getattr(Settings.of(given), key) == value
+
+
+def test_settings_of_the_environment():
+    got = Settings.of_environment({"FRAMEWRIGHT_STALE_TF_TIMEOUT_MS": "900", "HOME": "/", "FRAMEWRIGHT_NO_SUCH": "1"})
+    assert got.stale_tf_timeout_ms == 900 and got.rdma_gap_b == 8192
