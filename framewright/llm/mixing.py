@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.native import SPACE, numbered, words_of
+from framewright.llm.native import SPACE, numbered, tagged, words_of
 from framewright.llm.store import written
 
 #: Weights of the sources in code point order, again and again.
@@ -64,19 +64,21 @@ def ranked(slots: DataFrame) -> DataFrame:
     return x.select("slot", "key", (F.col("base") + F.row_number().over(Window.partitionBy("key", "range").orderBy("slot")) - 1).alias("rank"))
 
 
-def _placed(docs: DataFrame, seed: str, id_col: str, source: str, text: str, carry: bool):
+def _placed(docs: DataFrame, seed: str, id_col: str, source: str, text: str, rid: str | None = None):
     """Rows with key, size and their first word's place in the shuffled source; the blocks that each slot of the schedule takes.
 
-    Each text is split into words once: sizes and places are written to the shared folder, with the rows if carry.
+    Each text is split into words once: ids, sizes and sources (and numbers of rows, rid) are written to the shared folder, texts are not.
     """
     spark = docs.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*([F.struct("*").alias("row")] if carry else []), F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("~")).alias("key"), F.crc32(t).alias("crc"), F.octet_length(t).alias("bytes"), t.alias("t"))
+    own = [F.col(rid)] if rid else []
+    rows = docs.select(*own, F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("~")).alias("key"), F.crc32(t).alias("crc"), F.octet_length(t).alias("bytes"), F.size(words_of(t)).cast("long").alias("size"))
+    rows = written(rows)
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, rows.count() // ROWS_A_BUCKET))
     rows = numbered(rows, ("doc_id", "key", "crc", "bytes"))
     plain = F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string")))
     again = F.md5(F.concat_ws("/", F.lit(seed), F.col("doc_id").cast("string"), "crc", "bytes", "copy"))
-    rows = rows.withColumns({"h": F.when(F.col("doc_id").isNotNull() & (F.col("copy") == 0), plain).otherwise(again), "size": F.size(words_of(F.col("t"))).cast("long")}).drop("t")
-    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, docs.count() // ROWS_A_BUCKET))
+    rows = rows.withColumn("h", F.when(F.col("doc_id").isNotNull() & (F.col("copy") == 0), plain).otherwise(again))
     rows = rows.withColumn("bucket", F.expr(f"cast(conv(substr(h, 1, 4), 16, 10) as int) * {buckets} div 65536"))
     order = Window.partitionBy("key", "bucket").orderBy("h", "doc_id", "size", "crc", "copy")
     inside = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -116,12 +118,18 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", source: str
     size 0 and takes nothing; null sources form one source, the last. Null ids are shuffled by text, and rows that agree in id, source and text by
     their number, so copies lie apart; ties of the hash are ordered by id, size, text and number. Runs agree. An empty table gives no rows.
     """
-    rows, blocks = _placed(docs, seed, id_col, source, text, carry)
+    if carry:
+        base = tagged(docs)
+        small = base.select("rid", *[F.col("row")[c].alias(f"_{i}") for i, c in enumerate((id_col, source, text))])
+        rows, blocks = _placed(small, seed, "_0", "_1", "_2", "rid")
+    else:
+        rows, blocks = _placed(docs, seed, id_col, source, text)
     of = [F.sum(F.when(F.col("pass") == p, F.col("n_words"))).alias(f"p{p}") for p in range(MOST_PASSES)]
     taken = blocks.groupBy("key", "first").agg(F.sum("n_words").alias("taken"), *of).withColumn("some", F.lit(True))
     x = rows.withColumn("some", F.col("size") > 0).join(taken, ["key", "first", "some"], "left")  # places of rows with words are all different
     pieces = F.filter(F.array(*[F.struct(F.lit(p).alias("pass"), F.col(f"p{p}").alias("words")) for p in range(MOST_PASSES)]), lambda s: s["words"].isNotNull())
-    return x.select(*(["row"] if carry else []), "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), pieces.alias("pieces"))
+    x = x.select(*(["rid"] if carry else []), "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), pieces.alias("pieces"))
+    return base.join(x, "rid").drop("rid") if carry else x
 
 
 def mixed_blocks(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -129,7 +137,7 @@ def mixed_blocks(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", sou
 
     Nulls, repeated rows, ties and empty tables are as in mix; a document without words has no row.
     """
-    _, blocks = _placed(docs, seed, id_col, source, text, False)
+    _, blocks = _placed(docs, seed, id_col, source, text)
     return blocks.select("slot", "doc_id", "first_word", "n_words")
 
 

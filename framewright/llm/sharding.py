@@ -8,7 +8,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.native import numbered
+from framewright.llm.native import numbered, tagged
 
 #: Rows of a source partition or of a part of a shard, and the most such parts.
 PART_ROWS, MOST_PARTS = 100_000, 1024
@@ -87,16 +87,21 @@ def shard_rows(docs: DataFrame, n_shards: int = 16, seed: int = 5, id_col: str =
 
     Rows fall into source partitions by a hash. Their counts, MOST_PARTS at most, are all that the driver sees: from
     them it draws how many rows each sends to each part of each shard (hypergeometric). Each source permutes its rows
-    by a seeded hash and cuts them at those counts; each part permutes what it gets by another hash. Two exchanges,
-    and no count over the result, as all sizes are known in advance.
+    by a seeded hash and cuts them at those counts; each part permutes what it gets by another hash. Two exchanges of ids and hashes,
+    and no count over the result, as all sizes are known in advance. If carry, whole rows follow their places in one exchange more.
 
     Returns (row struct<all columns> if carry, doc_id, size, text_crc32, shard, slot gapless from 0 in each shard). size: UTF-8
     bytes + 1; null text counts as empty. Null ids are dealt like others. Rows that agree in id and text are numbered and
     hashed with their number, so copies scatter like other rows; among each other they are interchangeable. Rows whose hashes tie
     are ordered by id, size, crc and number. Runs agree for a seed, whatever the partitioning. An empty table gives no rows.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    row = docs.select(*([F.struct("*").alias("row")] if carry else []), F.col(id_col).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"))
+    if carry:
+        base = tagged(docs)
+        x = base.select("rid", F.col("row")[id_col].alias("doc_id"), F.col("row")[text].alias("t"))
+    else:
+        x = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t"))
+    t = F.coalesce("t", F.lit(""))
+    row = x.withColumns({"size": (F.octet_length(t) + 1).cast("long"), "text_crc32": F.crc32(t)}).drop("t")
     row = numbered(row, ("doc_id", "size", "text_crc32"))
     total = docs.count()
     n_parts = min(MOST_PARTS, max(64, math.ceil(total / part_rows)))
@@ -128,7 +133,8 @@ def shard_rows(docs: DataFrame, n_shards: int = 16, seed: int = 5, id_col: str =
     row = row.withColumn("part", F.size(F.filter(F.get("ends", F.col("shard")), lambda e: e <= below))).drop("ends", "rank", "source")
     held = F.lit(total // n_shards) + F.when(F.col("shard") < total % n_shards, 1).otherwise(0)
     slot = F.expr(f"({total // n_shards} + if(shard < {total % n_shards}, 1, 0)) * part div {cuts}") if total else held
-    return row.withColumn("slot", (slot + F.row_number().over(random_order(seed + 2, "shard", "part")) - 1).cast("long")).drop("part", "copy")
+    row = row.withColumn("slot", (slot + F.row_number().over(random_order(seed + 2, "shard", "part")) - 1).cast("long")).drop("part", "copy")
+    return base.join(row, "rid").drop("rid") if carry else row
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
