@@ -137,3 +137,9 @@ def inspected(headers: DataFrame, keys: tuple[str, ...] = ("tf_id",)) -> DataFra
     parts, first = F.col("split_parts"), F.col("split_index")
     bad = (parts == 0) | ((parts > 1) & (first != 0) & (first != parts))
     return headers.groupBy(*keys).agg(differ(F.nullif(F.col("first_orbit"), F.lit(0))).alias("orbit"), differ(F.col("tf_counter")).alias("counter"), differ(F.col("run")).alias("run"), differ(F.col("start_time")).alias("start"), F.coalesce(F.bool_or(bad), F.lit(False)).alias("split"))
+
+
+def with_end_of_stream(frames: DataFrame, peers: DataFrame, order: str = "tf_id") -> DataFrame:
+    """Frames (peer, tf_id), and after the last of them an end-of-stream row (tf_id null, end true) for every peer, those without frames too."""
+    ends = peers.select("peer", F.lit(None).cast(frames.schema[order].dataType).alias(order), F.lit(True).alias("end")).distinct()
+    return frames.select("peer", order, F.lit(False).alias("end")).unionByName(ends)

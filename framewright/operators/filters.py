@@ -87,3 +87,16 @@ def newest(df: DataFrame, n: int, keys: tuple[str, ...], order: str) -> DataFram
 def well_formed(df: DataFrame, version: int = 2, header_size: int = 48) -> DataFrame:
     """Messages of this version and header size; with no pages only if they are a frame's last."""
     return df.where((F.col("version") == version) & (F.col("header_size") == header_size) & ((F.size("pages") > 0) | F.col("last_tf")))
+
+
+def announceable(stfs: DataFrame, keys: tuple[str, ...] = ("sender", "tf_id"), order: str = "seq", topological: bool = False) -> DataFrame:
+    """What a sender may announce: sub time frames (origin, n_equip) of a known origin, the first of each id; topological ones of just one equipment."""
+    ok = F.col("origin").isin(*scalar.DETECTORS)
+    x = stfs.where(ok & (F.col("n_equip") == 1)) if topological else stfs.where(ok)
+    cols = [c for c in x.columns if c not in keys]
+    return x.groupBy(*keys).agg(F.min_by(F.struct(*cols), order).alias("_r")).select(*keys, "_r.*").select(stfs.columns)
+
+
+def with_payload(messages: DataFrame, parts: str = "parts") -> DataFrame:
+    """Messages that have data: one with headers only, or nothing, is refused."""
+    return messages.where(F.exists(parts, lambda p: p > 0))

@@ -24,12 +24,12 @@ def rates(samples: DataFrame, interval: Column, seconds: int, keys: tuple[str, .
 
 
 def recent(samples: DataFrame, keys: tuple[str, ...], order: str, value: str, n: int = 1024) -> DataFrame:
-    """Over the last n samples: sum, mean, least, most, and the mean of the steps up."""
+    """Over the last n samples: sum, mean, least, most, the mean of the steps up, and steps a unit (one over their mean)."""
     w = Window.partitionBy(*keys).orderBy(order)
     near = w.rowsBetween(-(n - 1), 0)
     x = samples.withColumn("_step", F.col(value) - F.lag(value).over(w))
     up = F.avg(F.when(F.col("_step") > 0, F.col("_step"))).over(near)
-    return x.withColumns({"sum_n": F.sum(value).over(near), "mean_n": F.avg(value).over(near), "least_n": F.min(value).over(near), "most_n": F.max(value).over(near), "mean_step": up}).drop("_step")
+    return x.withColumns({"sum_n": F.sum(value).over(near), "mean_n": F.avg(value).over(near), "least_n": F.min(value).over(near), "most_n": F.max(value).over(near), "mean_step": up, "rate_step": 1 / up}).drop("_step")
 
 
 def sender_counters(events: DataFrame) -> DataFrame:
@@ -64,3 +64,10 @@ def lines(metrics: DataFrame, keys: tuple[str, ...], values: tuple[str, ...], at
     x = metrics.select(*keys, at, F.inline(F.array(*one))).where("value is not null")
     tags = [F.concat(F.lit(f",{k}="), F.coalesce(F.col(k).cast("string"), F.lit(""))) for k in keys]
     return x.select(F.concat(F.col("name"), *tags, F.lit(" value="), F.format_string("%.6f", "value"), F.lit(" "), F.col(at).cast("string")).alias("line"))
+
+
+def changes(samples: DataFrame, keys: tuple[str, ...], order: str, value: str) -> DataFrame:
+    """samples with `changed`: whether the value differs from the one before of the same keys; the first does."""
+    before = F.lag(value).over(Window.partitionBy(*keys).orderBy(order))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) == 1
+    return samples.withColumn("changed", first | ~before.eqNullSafe(F.col(value)))

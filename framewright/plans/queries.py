@@ -243,6 +243,30 @@ def single_equipment(s, d):
     return v.stf_info(s, d).where("n_equip = 1").select("seq", "tf_id", "sender")
 
 
+@query(", o as (select *, (['CPV', 'TPC', 'XYZ', 'ITS', 'NIL'])[seq % 5 + 1] origin from stf_info), a as (select * from o where n_equip = 1 and origin in ('CPV', 'TPC', 'ITS')) select sender, tf_id // 3 as tf_id, arg_min(seq, seq) seq, arg_min(origin, seq) origin from a group by sender, tf_id // 3")
+def announceable(s, d):
+    """Topological sub time frames, of which three share an id here, that may be announced."""
+    x = v.stf_info(s, d).withColumn("origin", F.element_at(F.array(*map(F.lit, ("CPV", "TPC", "XYZ", "ITS", "NIL"))), (F.col("seq") % 5 + 1).cast("int"))).withColumn("tf_id", F.floor(F.col("tf_id") / 3))
+    return filters.announceable(x, topological=True).select("sender", "tf_id", "seq", "origin")
+
+
+@query(", m as (select tf_id, sender, list(case when seq % 3 = 0 then 0 else size end) l from hbf group by all) select tf_id, sender, len(l) n from m where list_max(l) > 0")
+def with_payload(s, d):
+    x = v.hbf(s, d).groupBy("tf_id", "sender").agg(F.collect_list(F.when(F.col("seq") % 3 == 0, 0).otherwise(F.col("size"))).alias("parts"))
+    return filters.with_payload(x).select("tf_id", "sender", F.size("parts").cast("bigint").alias("n"))
+
+
+@query(", x as (select sender, seq, n_equip, lag(n_equip) over w before, row_number() over w = 1 first_ from stf_info window w as (partition by sender order by seq)) select sender, seq, n_equip, first_ or before is distinct from n_equip changed from x")
+def changed_values(s, d):
+    return metrics.changes(v.stf_info(s, d).select("sender", "seq", "n_equip"), ("sender",), "seq", "n_equip")
+
+
+@query(f" select tf_id % {N} + 1 peer, tf_id, false as \"end\" from (select distinct tf_id from stf_info) union all select p + 1, null, true from range({N} + 1) r(p)")
+def end_of_stream(s, d):
+    x = v.stf_info(s, d).select("tf_id").distinct().select((F.col("tf_id") % N + 1).alias("peer"), "tf_id")
+    return build.with_end_of_stream(x, s.range(1, N + 2).withColumnRenamed("id", "peer"))
+
+
 @query(", w as (select s_suppkey worker, abs(s_acctbal)::bigint * 100 free from supplier), t as (select tf_id, sum(stf_size)::bigint tf_size from stf_info group by tf_id) select worker, count(tf_id) n_fit from w left join t on t.tf_size <= w.free group by worker")
 def worker_admission(s, d):
     """How many frames fit each worker: frames counted in the order of sizes, up to each worker's free memory."""
@@ -617,7 +641,7 @@ def metric_rate(s, d):
     return metrics.rates(v.hbf(s, d), F.floor(F.col("tf_id") / 6), 21_600)
 
 
-@query(", x as (select sender, seq, size, size - lag(size) over (partition by sender order by seq) step from hbf) select sender, seq, sum(size) over w::bigint sum_n, avg(size) over w mean_n, min(size) over w least_n, max(size) over w most_n, avg(case when step > 0 then step end) over w mean_step from x window w as (partition by sender order by seq rows between 63 preceding and current row)")
+@query(", x as (select sender, seq, size, size - lag(size) over (partition by sender order by seq) step from hbf) select sender, seq, sum(size) over w::bigint sum_n, avg(size) over w mean_n, min(size) over w least_n, max(size) over w most_n, avg(case when step > 0 then step end) over w mean_step, 1 / avg(case when step > 0 then step end) over w rate_step from x window w as (partition by sender order by seq rows between 63 preceding and current row)")
 def running_stats(s, d):
     x = metrics.recent(v.hbf(s, d).select("sender", "seq", "size"), ("sender",), "seq", "size", 64)
     return x.drop("size")
