@@ -135,14 +135,14 @@ class Keys:
 
     def packed(self) -> dict[str, list]:
         """A row for each block that has any of the keys."""
-        both = {of: self.sorted(of) for of in ("w", "g")}
-        some = np.flatnonzero(sum(np.diff(x[3]) for x in both.values()))
-        out: dict[str, list] = {"block": some.tolist()}
-        for of, (every, count, order, ends) in both.items():
-            cuts = [order[ends[i] : ends[i + 1]] for i in some]
-            out[of] = [_planes(every[c]) for c in cuts]
-            out[f"{of}n"] = [_planes(count[c]) if of in self.counted else None for c in cuts]
-        return out
+        found: dict[str, dict[int, bytes]] = {}
+        for of in ("w", "g"):  # one after another, for memory
+            every, count, order, ends = self.sorted(of)
+            cuts = {int(i): order[ends[i] : ends[i + 1]] for i in np.flatnonzero(np.diff(ends))}
+            found[of] = {i: _planes(every[c]) for i, c in cuts.items()}
+            found[f"{of}n"] = {i: _planes(count[c]) for i, c in cuts.items()} if of in self.counted else {}
+        some = sorted(found["w"].keys() | found["g"].keys())
+        return {"block": some} | {k: [v.get(i, b"") if k.strip("n") in self.counted or len(k) == 1 else None for i in some] for k, v in found.items()}
 
 
 ASKED = "block int, w binary, wn binary, g binary, gn binary"
