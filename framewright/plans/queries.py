@@ -63,7 +63,11 @@ def topo_stf(s, d):
     return build.topology_frames(v.hbf(s, d))
 
 
-@query()
+@query(""", p as materialized (select subspec, seq, size, tf_id, row_number() over w - 1 r, lag(tf_id) over w <> tf_id turn from hbf window w as (partition by subspec order by seq)),
+b as materialized (select subspec, list(r order by r) rs from p where turn group by subspec),
+w as (with recursive x as (select subspec, 0::bigint k, 0::bigint s from (select distinct subspec from p) union all select x.subspec, k + 1, list_min(list_filter(rs, lambda t: t >= s + 16)) from x join b using (subspec) where list_max(rs) >= s + 16) select * from x),
+m as (select p.*, w.k from p asof join w on p.subspec = w.subspec and p.r >= w.s)
+select subspec, k "window", count(*) n_pages, sum(size)::bigint size, min(seq) first_seq, max(seq) last_seq from m group by subspec, k""")
 def topo_stf_by_orbit(s, d):
     return build.topology_frames_by_orbit(v.hbf(s, d).withColumn("orbit", F.col("tf_id")), 16)
 
