@@ -58,6 +58,12 @@ def latency(requests: DataFrame, receipts: DataFrame, keys: tuple[str, ...] = ("
     return requests.join(receipts, list(keys)).withColumn("latency", F.col("received") - F.col("requested"))
 
 
+def named(table: DataFrame, component: str, values: dict[str, Column]) -> DataFrame:
+    """(component, name, value): aggregates of a table, all in one pass, a row for each; null where there are no rows."""
+    x = table.agg(*[c.cast("double").alias(f"_{i}") for i, c in enumerate(values.values())])
+    return x.select(F.lit(component).alias("component"), F.inline(F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"_{i}").alias("value")) for i, k in enumerate(values)])))
+
+
 def lines(metrics: DataFrame, keys: tuple[str, ...], values: tuple[str, ...], at: str, prefix: str = "") -> DataFrame:
     """(line): a line of text for each value that isn't null: name, keys and value, and the time in milliseconds, to be written to any store."""
     one = [F.struct(F.lit(prefix + v).alias("name"), F.col(v).cast("double").alias("value")) for v in values]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections import OrderedDict, deque
 from collections.abc import Iterator
 
@@ -160,6 +161,55 @@ def keep_within(stfs: DataFrame, room: int, target_percent: int = 95) -> DataFra
     return stfs.withColumn("held", F.sum("stf_size").over(w)).withColumn("kept", F.col("held") <= room * target_percent // 100)
 
 
+def keep_drawn(stfs: DataFrame, room: int, delete_percent: int = 25, target_percent: int = 95) -> DataFrame:
+    """(sender, tf_id, seq, fate, until): what becomes of every sub time frame in its sender's buffer when there is no worker, and at which arrival.
+
+    At each arrival, by seq: while more than the target is held, the highest id goes ('target'); by a draw of 0 to 99 that is no more than
+    delete_percent, the highest goes ('highest'); by one no more than a quarter of that, one of the lower half goes ('drawn'); then the new one
+    comes in, if its id isn't held ('repeated'). What is left at the end is 'held' (until is null). Draws are arithmetic hashes of sender and
+    seq. Senders are folded on their own, in order; only what the buffer holds is in memory.
+    """
+    percent, target = min(100, max(0, delete_percent)), room * target_percent // 100
+    columns = ["sender", "tf_id", "seq", "fate", "until"]
+
+    def draw(sender: int, seq: int, k: int) -> int:
+        return (seq * 7919 + sender * 104729 + k * 3571) % 10007 % 100
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, ids, held, used, out = None, [], {}, 0, []
+
+        def drop(place: int, fate: str, at: int) -> int:
+            tf = ids.pop(place)
+            seq, size = held.pop(tf)
+            out.append((now, tf, seq, fate, at))
+            return size
+
+        for b in batches:
+            for sender, seq, tf, size in zip(b["sender"], b["seq"], b["tf_id"], b["stf_size"], strict=True):
+                if sender != now:
+                    out += [(now, t, held[t][0], "held", None) for t in ids]
+                    now, ids, held, used = sender, [], {}, 0
+                while ids and used > target:
+                    used -= drop(-1, "target", seq)
+                if ids and draw(sender, seq, 0) <= percent:
+                    used -= drop(-1, "highest", seq)
+                if ids and draw(sender, seq, 1) <= percent // 4:
+                    used -= drop(len(ids) * draw(sender, seq, 2) // 200, "drawn", seq)
+                if tf in held:
+                    out.append((sender, tf, seq, "repeated", seq))
+                else:
+                    insort(ids, tf)
+                    held[tf] = (seq, size)
+                    used += size
+            yield pd.DataFrame(out, columns=columns).astype({"until": "Int64"})
+            out.clear()
+        if ids:
+            yield pd.DataFrame([(now, t, held[t][0], "held", None) for t in ids], columns=columns).astype({"until": "Int64"})
+
+    x = stfs.select("sender", "seq", "tf_id", "stf_size").repartition("sender").sortWithinPartitions("sender", "seq")
+    return x.mapInPandas(fold, "sender long, tf_id long, seq long, fate string, until long")
+
+
 def next_request(requests: DataFrame) -> DataFrame:
     """For each frame the sender to ask next: the largest (linear), and one drawn in proportion to size by a hash of the frame (weighted)."""
     w = Window.partitionBy("tf_id").orderBy("sender").rowsBetween(Window.unboundedPreceding, 0)
@@ -187,7 +237,30 @@ def worker_updates(updates: DataFrame) -> DataFrame:
 
 
 def partition_requests(requests: DataFrame) -> DataFrame:
-    """Requests with their senders as a sorted list and `valid`: an id, a time, and senders that are named once."""
+    """Requests with their senders as a sorted list and `valid`: an id that isn't blank, a time of creation, and senders that are named once."""
     ids = id_list(F.col("senders"))
-    ok = (F.length(F.trim("partition_id")) > 0) & F.col("created").rlike(r"^\d+$") & ids.isNotNull()
+    ok = (F.length(F.trim("partition_id")) > 0) & F.col("created").isNotNull() & ids.isNotNull()
     return requests.select("seq", "partition_id", F.array_join(ids, ",").alias("sender_list"), F.size(json_map(F.col("parameters"))).alias("n_parameters"), F.coalesce(ok, F.lit(False)).alias("valid"))
+
+
+# What a request's keys end with.
+ID_KEY, CREATED_KEY, SENDERS_KEY, TIME_KEY = "partition-id", "request-create-time", "stf-sender-id-list", "request-time"
+
+
+def filed_requests(items: DataFrame, now: str, requests: str = "requests/", valid: str = "partitions/", invalid: str = "invalid/") -> DataFrame:
+    """(old_key, new_key, value, valid): how a store of (key, value) changes when its partition requests are read.
+
+    Keys are requests/<folder>/<field>. A folder of three or more keys is moved: with a valid request (see partition_requests) below
+    partitions/<id>, else below invalid/<now>/<folder>; the old key is to be erased, and the time of reading is a key more (old_key null). A
+    folder of fewer keys is not finished and stays; other keys of the store give no row.
+    """
+    rest = F.substring(F.col("key"), len(requests) + 1, 1 << 30)
+    x = items.where(F.col("key").startswith(requests)).select("key", "value", F.substring_index(rest, "/", 1).alias("folder"))
+    x = x.withColumn("field", F.expr(f"substring(key, {len(requests) + 2} + length(folder))"))
+    of = lambda k: F.max(F.when(F.col("field") == k, F.col("value")))
+    y = x.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), of(ID_KEY).alias("id"), of(CREATED_KEY).alias("created"), of(SENDERS_KEY).alias("senders")).where("n >= 3")
+    ok = F.coalesce((F.length(F.trim("id")) > 0) & F.col("created").isNotNull() & id_list(F.col("senders")).isNotNull(), F.lit(False))
+    y = y.select("folder", ok.alias("valid"), F.when(ok, F.concat(F.lit(valid), F.trim("id"))).otherwise(F.concat(F.lit(f"{invalid}{now}/"), "folder")).alias("to"))
+    moved = x.join(y, "folder").select(F.col("key").alias("old_key"), F.concat_ws("/", "to", "field").alias("new_key"), "value", "valid")
+    read = y.select(F.lit(None).cast("string").alias("old_key"), F.concat_ws("/", "to", F.lit(TIME_KEY)).alias("new_key"), F.lit(now).alias("value"), "valid")
+    return moved.unionByName(read)

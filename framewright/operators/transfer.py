@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,3 +51,31 @@ def merged_intervals(blocks: DataFrame, keys: tuple[str, ...], align: int = 64)
     x = x.withColumn("_new", F.coalesce((F.col("addr") > F.col("_reach")).cast("int"), F.lit(1)))
     x = x.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return x.groupBy(*keys, "island").agg(F.min("addr").alias("start"), (F.max("end") - F.min("addr")).alias("len"), F.count(F.lit(1)).alias("n_blocks"))
+
+
+def started(requests: DataFrame, most: int = 300, key: str = "worker") -> DataFrame:
+    """(key, seq, at, start, in_flight): when each fetch begins if a worker has no more than `most` (2 to 5000) in flight, and how many it has then.
+
+    requests: (key, seq, at, took). Fetches wait in the order of at and seq; one that ends makes room at that time. Workers are
+    folded on their own, in order; only the ends of what is in flight are held.
+    """
+    most = min(5000, max(2, most))
+    columns = [key, "seq", "at", "start", "in_flight"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, ends, last = None, [], None
+        for b in batches:
+            out = []
+            for w, seq, at, took in zip(b[key], b["seq"], b["at"], b["took"], strict=True):
+                if w != now:
+                    now, ends, last = w, [], at
+                start = max(at, last)
+                while ends and (ends[0] <= start or len(ends) >= most):
+                    start = max(start, heapq.heappop(ends))
+                last = start
+                heapq.heappush(ends, start + took)
+                out.append((w, seq, at, start, len(ends)))
+            yield pd.DataFrame(out, columns=columns)
+
+    x = requests.select(key, "seq", "at", "took").repartition(key).sortWithinPartitions(key, "at", "seq")
+    return x.mapInPandas(fold, f"{key} long, seq long, at long, start long, in_flight long")

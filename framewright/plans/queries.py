@@ -850,10 +850,72 @@ def worker_updates(s, d):
 @query(" select o_orderkey * 10 + o_custkey % 10 seq, case when o_custkey % 9 = 0 then ' ' else 'p' || o_orderkey end partition_id, case when o_custkey % 4 = 0 then null when o_custkey % 4 = 1 then 'a' else 'a,b' end sender_list, 1 n_parameters, o_custkey % 9 <> 0 and o_custkey % 5 <> 0 and o_custkey % 4 <> 0 valid from orders")
 def partition_requests(s, d):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    x = v.table(s, d, "orders").select((k * 10 + c % 10).alias("seq"), F.when(c % 9 == 0, " ").otherwise(F.concat(F.lit("p"), k.cast("string"))).alias("partition_id"), F.when(c % 5 == 0, "now").otherwise("1700000000").alias("created"), F.when(c % 4 == 0, "a;a").when(c % 4 == 1, " a ").otherwise("b,a").alias("senders"), F.lit('{"n":"1"}').alias("parameters"))
+    x = v.table(s, d, "orders").select((k * 10 + c % 10).alias("seq"), F.when(c % 9 == 0, " ").otherwise(F.concat(F.lit("p"), k.cast("string"))).alias("partition_id"), F.when(c % 5 != 0, "2024-01-01 10:00:00").alias("created"), F.when(c % 4 == 0, "a;a").when(c % 4 == 1, " a ").otherwise("b,a").alias("senders"), F.lit('{"n":"1"}').alias("parameters"))
     return schedule.partition_requests(x)
 
 
+@query(""", r as (select 'p' || o_orderkey folder, case when o_custkey % 9 = 0 then ' ' else 'part' || o_orderkey end id, case when o_custkey % 5 <> 0 then 't' || o_custkey end created, case o_custkey % 4 when 0 then 'a;a' when 1 then ' a ' else 'b,a' end senders, o_custkey % 7 = 0 half from orders),
+k as (select *, trim(id) <> '' and created is not null and senders <> 'a;a' ok from r where not half),
+i as (select folder, ok, id, 'partition-id' field, id v from k union all select folder, ok, id, 'stf-sender-id-list', senders from k union all select folder, ok, id, 'parameters', '{}' from k union all select folder, ok, id, 'request-create-time', created from k where created is not null),
+m as (select *, case when ok then 'partitions/' || id else 'invalid/7/' || folder end to_ from i)
+select 'requests/' || folder || '/' || field old_key, to_ || '/' || field new_key, v "value", ok "valid" from m union all select null, case when ok then 'partitions/' || id else 'invalid/7/' || folder end || '/request-time', '7', ok from k""")
+def partition_filing(s, d):
+    """Requests in a store of keys; one in seven isn't finished, one in five has no time of creation."""
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey")
+    field = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    first = [field("partition-id", F.when(c % 9 == 0, " ").otherwise(F.concat(F.lit("part"), k))), field("stf-sender-id-list", F.when(c % 4 == 0, "a;a").when(c % 4 == 1, " a ").otherwise("b,a"))]
+    rest = [field("parameters", F.lit("{}")), field("request-create-time", F.when(c % 5 != 0, F.concat(F.lit("t"), c.cast("string"))))]
+    items = v.table(s, d, "orders").select("o_orderkey", F.inline(F.when(c % 7 == 0, F.array(*first)).otherwise(F.array(*first, *rest))))
+    items = items.where("value is not null").select(F.concat_ws("/", F.lit("requests"), F.concat(F.lit("p"), k), "name").alias("key"), "value")
+    return schedule.filed_requests(items, "7")
+
+
+@query()
+def keep_buffer_drawn(s, d):
+    return schedule.keep_drawn(v.stf_info(s, d), 1_000_000)
+
+
+@query(""", x as (select tf_id % 16 worker, seq, (row_number() over (partition by tf_id % 16 order by seq) - 1) k from stf_info)
+select worker, seq, (max(seq - k // 4 * 100) over (partition by worker, k % 4 order by k) + k // 4 * 100)::bigint start from x""")
+def fetch_starts(s, d):
+    """Fetches that take equally long, so the SQL needs no state: each waits for the fourth before it."""
+    x = v.stf_info(s, d).select((F.col("tf_id") % 16).alias("worker"), "seq", F.col("seq").alias("at"), F.lit(100).cast("bigint").alias("took"))
+    return transfer.started(x, 4).select("worker", "seq", "start")
+
+
+@query(f""", t as (select tf_id, count(*) n, sum(stf_size) size, max(seq) - min(seq) took from stf_info group by tf_id), s as (select sender, arg_max(buffer_used, seq) / arg_max(buffer_size, seq) used from stf_info group by sender),
+m as (select sender, max(tf_id) - min(tf_id) + 1 - count(distinct tf_id) missing from stf_info group by sender), y as (select * from txg_part where len > 0),
+z as (select *, lag(region) over w lr, lag(addr + len) over w le from y window w as (partition by tf_id, sender order by addr)), g as (select *, sum(case when lr <> region or addr - le > 8192 then 1 else 0 end) over (partition by tf_id, sender order by addr) txg from z),
+h as (select tf_id, sender, txg, max(addr + len) - min(addr) whole, sum(len) data from g group by all)
+select 'tfscheduler' component, 'tf.complete.total' "name", (select count(*) from t where n = {N})::double "value" union all select 'tfscheduler', 'tf.incomplete.total', (select count(*) from t where n < {N}) union all select 'tfscheduler', 'tf.scheduled.data_size_total', (select sum(size) from t)
+union all select 'tfscheduler', 'tf.scheduled.incomplete.stf_cnt', (select sum(n) from t where n < {N}) union all select 'tfscheduler', 'stf.update.complete_dur_ms', (select round(avg(took), 6) from t where n = {N}) union all select 'tfscheduler', 'stf.update.incomplete_dur_ms', (select round(avg(took), 6) from t where n < {N})
+union all select 'tfscheduler', 'stfsender.buffer.max_util', (select max(used) from s) union all select 'tfbuilder', 'tf_output.id', (select max(tf_id) from t) union all select 'tfbuilder', 'tf_output.sent_count', (select count(*) from t) union all select 'tfbuilder', 'tf_output.sent_size', (select sum(size) from t)
+union all select 'tfbuilder', 'merge.receive_span_ms', (select max(took) from t) union all select 'stfsender', 'stf_input.id', (select max(tf_id) from stf_info) union all select 'stfsender', 'buffered.stf_cnt', (select count(*) from stf_info) union all select 'stfsender', 'buffered.stf_size', (select sum(stf_size) from stf_info)
+union all select 'stfsender', 'sending.stf_cnt', (select count(*) from stf_info where seq % 5 = 2) union all select 'stfsender', 'sending.stf_size', (select sum(stf_size) from stf_info where seq % 5 = 2) union all select 'stfsender', 'stf_output.sent_count', (select count(*) from stf_info where seq % 5 < 2)
+union all select 'stfsender', 'stf_output.sent_size', (select sum(stf_size) from stf_info where seq % 5 < 2) union all select 'stfsender', 'stf_output.stf_id', (select max(tf_id) from stf_info where seq % 5 < 2) union all select 'stfsender', 'stf_output.missing_cnt', (select count(*) from stf_info where seq % 31 = 0)
+union all select 'stfsender', 'stf_output.rejected_cnt', (select count(*) from stf_info where seq % 29 = 0) union all select 'stfbuilder', 'stf_input.missing_stf.total', (select sum(missing) from m) union all select 'stfbuilder', 'stf_output.total', (select count(*) from stf_info) union all select 'stfbuilder', 'stf_output.id', (select max(tf_id) from stf_info)
+union all select 'stfsender', 'ucx_txg.count', (select count(*) from h) union all select 'stfsender', 'ucx_rma_gap_total.size', (select sum(whole - data) from h) union all select 'stfsender', 'ucx_rma_gap_overhead', (select sum(whole - data) / sum(whole) from h) union all select 'stfsender', 'ucx.rma_gap', 8192""")
+def metric_table(s, d):
+    """Metrics of all components by their names; a fifth of the announced is in sending, two fifths are sent."""
+    i, one, q = v.stf_info(s, d), F.lit(1), F.col("seq")
+    t = i.groupBy("tf_id").agg(F.count(one).alias("n"), F.sum("stf_size").alias("size"), (F.max("seq") - F.min("seq")).alias("took"))
+    full, size, of = F.col("n") == N, F.col("stf_size"), lambda w, x: F.sum(F.when(w, x))
+    m = i.groupBy("sender").agg((F.max("tf_id") - F.min("tf_id") + 1 - F.countDistinct("tf_id")).alias("missing"))
+    found = [
+        metrics.named(t, "tfscheduler", {"tf.complete.total": F.count(F.when(full, one)), "tf.incomplete.total": F.count(F.when(~full, one)), "tf.scheduled.data_size_total": F.sum("size"), "tf.scheduled.incomplete.stf_cnt": of(~full, F.col("n")), "stf.update.complete_dur_ms": F.round(F.avg(F.when(full, F.col("took"))), 6), "stf.update.incomplete_dur_ms": F.round(F.avg(F.when(~full, F.col("took"))), 6)}),
+        metrics.named(metrics.buffers(i), "tfscheduler", {"stfsender.buffer.max_util": F.max("max_used")}),
+        metrics.named(t, "tfbuilder", {"tf_output.id": F.max("tf_id"), "tf_output.sent_count": F.count(one), "tf_output.sent_size": F.sum("size"), "merge.receive_span_ms": F.max("took")}),
+        metrics.named(i, "stfsender", {"stf_input.id": F.max("tf_id"), "buffered.stf_cnt": F.count(one), "buffered.stf_size": F.sum(size), "sending.stf_cnt": F.count(F.when(q % 5 == 2, one)), "sending.stf_size": of(q % 5 == 2, size), "stf_output.sent_count": F.count(F.when(q % 5 < 2, one)), "stf_output.sent_size": of(q % 5 < 2, size), "stf_output.stf_id": F.max(F.when(q % 5 < 2, F.col("tf_id"))), "stf_output.missing_cnt": F.count(F.when(q % 31 == 0, one)), "stf_output.rejected_cnt": F.count(F.when(q % 29 == 0, one))}),
+        metrics.named(m, "stfbuilder", {"stf_input.missing_stf.total": F.sum("missing")}),
+        metrics.named(i, "stfbuilder", {"stf_output.total": F.count(one), "stf_output.id": F.max("tf_id")}),
+        metrics.named(transfer.groups(v.txg_part(s, d)), "stfsender", {"ucx_txg.count": F.count(one), "ucx_rma_gap_total.size": F.sum("gap"), "ucx_rma_gap_overhead": F.sum("gap") / F.sum("len"), "ucx.rma_gap": F.max(F.lit(transfer.GAP))}),
+    ]
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 @query(", x as (select tf_id, min(seq) seq, min(ts) at_ from hbf group by tf_id) select tf_id, count(*) over (order by seq) built, count(*) over (order by seq) / greatest(1, date_diff('hour', timestamp '2024-01-01', at_)) an_hour from x")
 def output_rate(s, d):
     x = v.hbf(s, d).groupBy("tf_id").agg(F.min("seq").alias("seq"), F.min("ts").alias("at"))

@@ -64,6 +64,12 @@ class Settings:
         """From a table (key, value) of settings; the keys are few."""
         return cls.of({r.key: r.value for r in table.where(table.key.isin([f.name for f in fields(cls)])).collect()})
 
+    def missing(self, table: DataFrame) -> DataFrame:
+        """(key, value) of the settings that the table (key, value) has no row for, to be appended to it."""
+        text = lambda x: str(x).lower() if isinstance(x, bool) else str(x)
+        own = table.sparkSession.createDataFrame([(f.name, text(getattr(self, f.name))) for f in fields(self)], "key string, value string")
+        return own.join(table.select("key"), "key", "left_anti")
+
     @classmethod
     def of_environment(cls, environment: dict[str, str], prefix: str = "FRAMEWRIGHT_") -> Settings:
         """From variables such as FRAMEWRIGHT_STALE_TF_TIMEOUT_MS."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from framewright import catalog
 from framewright.operators import build, complete, ordered, schedule, transfer
 from framewright.plans import views as v
+from framewright.plans.settings import Settings
 from framewright.functions import headers
 from framewright.sources import sidecar, tf_files, tf_format
 from framewright.streaming import builders, replay
@@ -177,6 +178,70 @@ def test_buffer_is_kept_below_the_target(spark):
     assert schedule.keep_within(df, 106).where("kept").count() == 10
 
 
+def drawn(arrivals, room, percent):
+    """One sender's buffer, arrival by arrival."""
+    held, fate = {}, {}
+    draw = lambda seq, k: (seq * 7919 + 3 * 104729 + k * 3571) % 10007 % 100
+    for seq, tf, size in arrivals:
+        while held and sum(z for _, z in held.values()) > room * 95 // 100:
+            fate[held.pop(max(held))[0]] = ("target", seq)
+        if held and draw(seq, 0) <= percent:
+            fate[held.pop(max(held))[0]] = ("highest", seq)
+        if held and draw(seq, 1) <= percent // 4:
+            fate[held.pop(sorted(held)[len(held) * draw(seq, 2) // 200])[0]] = ("drawn", seq)
+        if tf in held:
+            fate[seq] = ("repeated", seq)
+        else:
+            held[tf] = (seq, size)
+    return fate | {seq: ("held", None) for seq, _ in held.values()}
+
+
+@pytest.mark.parametrize("percent", [0, 25, 100])
+def test_buffer_with_draws(spark, percent):
+    rng = random.Random(percent)
+    rows = [(i, rng.randint(1, 90), rng.randint(1, 40)) for i in range(300)]
+    df = spark.createDataFrame([(s, i, tf, z) for s in (3, 4) for i, tf, z in rows], "sender long, seq long, tf_id long, stf_size long")
+    got = schedule.keep_drawn(df.repartition(3), 400, percent).collect()
+    assert len(got) == 600
+    mine = {r.seq: (r.fate, r.until) for r in got if r.sender == 3}
+    assert mine == drawn(rows, 400, percent)
+    assert percent != 25 or {f for f, _ in mine.values()} == {"target", "highest", "drawn", "repeated", "held"}
+    assert schedule.keep_drawn(df.limit(0), 400).count() == 0
+
+
+@pytest.mark.parametrize("most", [2, 5, 300])
+def test_fetches_in_flight(spark, most):
+    rng = random.Random(most)
+    rows = [(w, i, i // 3 * 2, rng.choice([0, 1, 7, 30])) for w in (1, 2) for i in range(150)]
+    got = {(r.worker, r.seq): (r.start, r.in_flight) for r in transfer.started(spark.createDataFrame(rows, "worker long, seq long, at long, took long").repartition(3), most).collect()}
+    for w in (1, 2):
+        running, now = [], 0
+        for _, seq, at, took in [r for r in rows if r[0] == w]:
+            now = max(now, at)
+            while len([e for e in running if e > now]) >= most:
+                now += 1
+            running = [e for e in running if e > now] + [now + took]
+            assert got[w, seq] == (now, len(running))
+
+
+def test_filed_requests(spark):
+    good = {"partition-id": " p1 ", "request-create-time": "now", "stf-sender-id-list": "b, a", "parameters": "{}"}
+    folders = {"x": good, "y": good | {"partition-id": "p2", "stf-sender-id-list": "a;a"}, "z": good | {"partition-id": "  "}, "w": {"partition-id": "p3", "parameters": "{}"}}
+    items = [(f"requests/{f}/{k}", v) for f, x in folders.items() for k, v in x.items()] + [("settings/a/b", "1"), ("requests", "2")]
+    got = [tuple(r) for r in schedule.filed_requests(spark.createDataFrame(items, "key string, value string"), "99").collect()]
+    to = {"x": "partitions/p1", "y": "invalid/99/y", "z": "invalid/99/z"}
+    want = [(f"requests/{f}/{k}", f"{to[f]}/{k}", v, f == "x") for f in to for k, v in folders[f].items()] + [(None, f"{t}/request-time", "99", f == "x") for f, t in to.items()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_missing_settings_are_written_back(spark):
+    table = spark.createDataFrame([("stale_tf_timeout_ms", "100"), ("other", "x")], "key string, value string")
+    more = Settings.read(table).missing(table)
+    keys = {r.key: r.value for r in more.collect()}
+    assert "stale_tf_timeout_ms" not in keys and keys["build_incomplete_tfs"] == "true" and keys["tokens_per_sender"] == "2"
+    assert Settings.read(table.union(more)) == Settings.read(table) and Settings.read(table).missing(table.union(more)).count() == 0
+
+
 def test_windows_by_orbit(spark):
     rows = [(1, i, 10, i // 3) for i in range(20)] + [(2, i, 1, 0) for i in range(7)]
     df = spark.createDataFrame(rows, "subspec long, seq long, size long, orbit long")
