@@ -11,6 +11,7 @@ from framewright.llm.store import written
 
 #: The six ASCII characters between words, and all others, in a regular expression.
 SPACE, NO_SPACE = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def words_of(text: Column) -> Column:
@@ -19,8 +20,10 @@ def words_of(text: Column) -> Column:
 
 
 def word_chars(text: Column) -> Column:
-    """Code points that are no white space."""
-    return F.char_length(text) - F.regexp_count(text, F.lit(SPACE))
+    """Code points that are no white space: what is left without the six, which is faster than to list each place of them."""
+    for c in SPACES:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return F.char_length(text)
 
 
 def computed(df: DataFrame) -> DataFrame:

@@ -12,16 +12,16 @@ SYMBOLS = "[#*$%&|<>]"
 BOILERPLATE = r"(?i)\b(all rights reserved|cookie policy|privacy policy|terms of (use|service)|enable javascript|click here|sign in|log in|subscribe now|copyright \(c\)|lorem ipsum)\b"
 #: Marks that set entries of a menu apart, and marks and shouts instead of text.
 MENU, MARKS = "[|>»•·]", "[#*$%&|<>!]"
+THREE_MARKS = f"{MENU}(?:{MENU.replace('[', '[^')}*+{MENU}){{2}}"
 #: Up to three words.
 FRAGMENT = rf"^{SPACE}*(?:{NO_SPACE}+{SPACE}+){{0,2}}{NO_SPACE}+{SPACE}*$"
 #: How a sentence ends, closing quotes and brackets allowed.
 SENTENCE_END = r"""[.!?…:;。！？]["'”’»)\]]*[\x20\x09-\x0D]*$"""
 
 
-def _hashes(words: Column, width: int) -> Column:
-    """A hash of every window of `width` word hashes."""
-    n = F.size(words)
-    return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(width)])))
+def _doubled(hashes: str, width: int) -> Column:
+    """From a hash of `width` words from each on to one of twice as many; at the end, where there are fewer, of what there is."""
+    return F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + width)))
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -29,8 +29,11 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.col("t")
     x = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     x = x.select("row", "t", F.transform(words_of(t), lambda w: F.xxhash64(w)).alias("w"), F.split(t, "\n").alias("lines"))
-    x = x.select("row", "t", "lines", F.size("w").cast("long").alias("n_words"), _hashes(F.col("w"), 8).alias("h"), F.filter("lines", lambda s: s.rlike(NO_SPACE)).alias("full"))
-    # windows are sorted only where one does occur twice; each step is a column of its own, so that it is computed once
+    x = x.select("row", "t", "lines", F.size("w").cast("long").alias("n_words"), _doubled("w", 1).alias("h"), F.filter("lines", lambda s: s.rlike(NO_SPACE)).alias("full"))
+    # each step is a column of its own, so that it is computed once; where no four words occur twice, no eight do, and windows are sorted only where one does
+    x = x.withColumn("h", _doubled("h", 2))
+    some = (F.col("n_words") > 8) & (F.size(F.array_distinct("h")) < F.size("h"))
+    x = x.withColumn("h", F.when(some, F.slice(_doubled("h", 4), F.lit(1), F.col("n_words").cast("int") - 7)))
     twice = F.size(F.array_distinct("h")) < F.size("h")
     x = x.select("row", "t", "lines", "n_words", "full", F.when(twice, F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("pairs"))
     same = F.transform("pairs", lambda p, j: F.when((p["h"] == F.get("pairs", j - 1)["h"]) | (p["h"] == F.get("pairs", j + 1)["h"]), p["i"]))
@@ -50,11 +53,10 @@ def bad_line(line: Column) -> Column:
     Navigation: three marks between entries and no sentence's end. Boilerplate: a phrase of pages, in up to 300
     characters. A line without words passes, so that paragraphs stay apart.
     """
-    marks = F.regexp_count(line, F.lit(MARKS))
     fragment = line.rlike(FRAGMENT) & ~line.rlike(SENTENCE_END)
-    menu = (F.regexp_count(line, F.lit(MENU)) >= 3) & ~line.rlike(SENTENCE_END)
+    menu = line.rlike(THREE_MARKS) & ~line.rlike(SENTENCE_END)
     boilerplate = (F.char_length(line) <= 300) & line.rlike(BOILERPLATE)
-    return fragment | ((marks > 0) & (10 * marks >= word_chars(line))) | menu | boilerplate
+    return fragment | (line.rlike(MARKS) & (10 * F.regexp_count(line, F.lit(MARKS)) >= word_chars(line))) | menu | boilerplate
 
 
 def quality_rules(docs: DataFrame, text: str = "text", least_words: int = 20, most_repeats: int = 30, least_kept: int = 50) -> DataFrame:
