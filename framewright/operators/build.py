@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from framewright.operators.ordered import ranked
 
@@ -110,21 +112,48 @@ def decoded_channel(messages: DataFrame, keys: tuple[str, ...] = ("tf_id",)) ->
     At an item's first message, up to one split part means a header and its payload; an index of 0 full headers, one before each of
     the parts; an index as large as the number of parts one header before all of them. Anything else, or a list too short, is an error, at
     which decoding of the frame ends. A frame's header is an item of kind stf_header; one without it gets a last row with the error no_header.
-    A frame's messages are one array and are walked in order, which no window can do.
+    Where an item begins depends on the last one, so frames are folded in order, with a few numbers of state: work and memory
+    don't depend on how long a frame's list is. A null place is no message's, a null index fits no split, null parts are none.
     """
-    walk = "aggregate(m, named_struct('next', 0L, 'out', cast(array() as array<struct<at:bigint,kind:string,n_payloads:bigint,error:string>>)), (a, x) -> if(x.at <> a.next, a, named_struct('next', case {next} end, 'out', array_append(a.out, named_struct('at', x.at, 'kind', case {kind} end, 'n_payloads', case {n} end, 'error', case {error} end)))))"
-    parts, first = "x.split_parts", "x.split_index"
-    short = f"n - x.at < case when {parts} <= 1 then 2 when {first} = 0 then 2 * {parts} else 1 + {parts} end"
-    bad = f"{parts} > 1 and {first} not in (0, {parts})"
-    step = f"when {bad} or {short} then -1L when {parts} <= 1 then x.at + 2 when {first} = 0 then x.at + 2 * {parts} else x.at + 1 + {parts}"
-    kind = f"when {parts} > 1 and {first} = 0 then 'full_split' when {parts} > 1 then 'reduced_split' when x.stf_header then 'stf_header' else 'single'"
-    walk = walk.format(next=step, kind=kind, n=f"when {parts} <= 1 then 1L else {parts}", error=f"when {bad} then 'split_index' when {short} then 'too_short'")
-    x = messages.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ("at", "split_index", "split_parts")], "stf_header"))).alias("m"))
-    x = x.withColumn("n", F.size("m").cast("long")).withColumn("out", F.expr(f"({walk}).out"))
-    none = F.struct(F.col("n").alias("at"), F.lit("none").alias("kind"), F.lit(0).cast("long").alias("n_payloads"), F.lit("no_header").alias("error"))
-    x = x.withColumn("out", F.when(F.exists("out", lambda o: o["kind"] == "stf_header"), F.col("out")).otherwise(F.array_append("out", none)))
-    x = x.select(*keys, F.posexplode("out").alias("place", "o"))
-    return x.select(*keys, F.col("place").cast("long").alias("place"), "o.*")
+    own = StructType([messages.schema[k] for k in keys])
+    schema = StructType(own.fields)
+    for name, kind in (("place", "long"), ("at", "long"), ("kind", "string"), ("n_payloads", "long"), ("error", "string")):
+        schema = schema.add(name, kind)
+    columns = ["at", "split_index", "split_parts", "stf_header", "n"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, following, place, headed, kinds = None, 0, 0, 0, False, None
+
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.names)
+
+        for b in batches:
+            kinds = kinds or [*(b.schema.field(k).type for k in keys), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+            out = []
+            frames = zip(*(b.column(k).to_pylist() for k in keys), strict=True)
+            for frame, at, first, parts, header, length in zip(frames, *(b.column(c).to_numpy(zero_copy_only=False).tolist() for c in columns), strict=True):
+                if frame != now:
+                    if now is not None and not headed:
+                        out.append((*now, place, n, "none", 0, "no_header"))
+                    now, n, following, place, headed = frame, length, 0, 0, False
+                if at != following:
+                    continue
+                bad = parts > 1 and first not in (0, parts)
+                needed = 2 if parts <= 1 else 2 * parts if first == 0 else 1 + parts
+                kind = ("full_split" if first == 0 else "reduced_split") if parts > 1 else "stf_header" if header else "single"
+                error = "split_index" if bad else "too_short" if n - at < needed else None
+                out.append((*now, place, at, kind, parts if parts > 1 else 1, error))
+                following, place, headed = -1 if error else at + needed, place + 1, headed or kind == "stf_header"
+            if out:
+                yield packed(out)
+        if now is not None and not headed:
+            yield packed([(*now, place, n, "none", 0, "no_header")])
+
+    none = F.lit(-1).cast("long")
+    x = messages.select(*keys, F.coalesce(F.col("at").cast("long"), none).alias("at"), F.coalesce(F.col("split_index").cast("long"), none).alias("split_index"), F.coalesce(F.col("split_parts").cast("long"), F.lit(0)).alias("split_parts"), F.coalesce("stf_header", F.lit(False)).alias("stf_header"))
+    order = [*keys, *columns[:-1]]
+    whole = Window.partitionBy(*keys).orderBy(*columns[:-1]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return x.withColumn("n", F.count(F.lit(1)).over(whole)).sortWithinPartitions(*order).mapInArrow(fold, schema)
 
 
 def inspected(headers: DataFrame, keys: tuple[str, ...] = ("tf_id",)) -> DataFrame:

@@ -332,6 +332,22 @@ def test_channel_errors(spark):
     assert [(r.tf_id, r.place, r.kind, r.error) for r in got] == [(1, 0, "stf_header", None), (1, 1, "reduced_split", "split_index"), (2, 0, "single", None), (2, 1, "none", "no_header"), (3, 0, "stf_header", None), (3, 1, "full_split", "too_short")]
 
 
+def test_channel_of_one_long_frame(spark):
+    """A list of 400,000 messages in one frame: time that grows with its square would take hours."""
+    n = 200_000
+    x = spark.range(2 * n).select(F.lit(1).cast("long").alias("tf_id"), F.col("id").alias("at"), F.lit(0).cast("long").alias("split_index"), F.lit(1).cast("long").alias("split_parts"), (F.col("id") == 0).alias("stf_header"))
+    began = time.time()
+    got = build.decoded_channel(x).agg(F.count(F.lit(1)), F.max("place"), F.max("at"), F.count("error")).first()
+    assert tuple(got) == (n, n - 1, 2 * n - 2, 0) and time.time() - began < 60
+
+
+def test_channel_of_unknown_frames_and_gaps(spark):
+    rows = [(None, 0, 0, 1, True), (None, 1, 0, 1, True), (2, 0, 0, 1, True), (2, 1, 0, 1, True), (2, 1, 0, 2, False), (2, 5, 0, 1, False), (3, 4, 0, 1, True), (4, None, 0, 1, True), (4, 0, None, 2, False), (4, 1, 0, None, False)]
+    got = build.decoded_channel(spark.createDataFrame(rows, "tf_id long, at long, split_index long, split_parts long, stf_header boolean")).collect()
+    want = [(0, 0, 0, "stf_header", None), (2, 0, 0, "stf_header", None), (3, 0, 1, "none", "no_header"), (4, 0, 0, "reduced_split", "split_index"), (4, 1, 3, "none", "no_header")]
+    assert sorted(((r.tf_id or 0), r.place, r.at, r.kind, r.error) for r in got) == want
+
+
 class State:
     """State of one key, with a clock that the test moves on."""
 
