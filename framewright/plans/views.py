@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import scalar
 from framewright.operators.ordered import ranked, running
+from framewright.operators.tables import dealt
 
 N_SENDERS = 8
 
@@ -65,12 +66,12 @@ def tf_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def txg_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Data parts with addresses in shared memory, gaps between them below and above the limit."""
-    x = tf_part(spark, sf_dir).groupBy("tf_id", "sender", "equipment", "subspec").agg(F.sum("size").alias("len"), F.max("line").alias("line"))
+    keys = ["tf_id", "sender"]
+    x = dealt(tf_part(spark, sf_dir), *keys).groupBy(*keys, "equipment", "subspec").agg(F.sum("size").alias("len"))
     gap = F.when((F.col("subspec") + F.col("tf_id")) % 5 == 0, 9000).otherwise(F.col("subspec") % 3 * 512)
     x = x.withColumn("room", scalar.align_up(F.col("len"), 64) + gap)
-    keys = ["tf_id", "sender"]
     order = Window.partitionBy(*keys).orderBy("subspec", "equipment").rowsBetween(Window.unboundedPreceding, -1)
-    return x.withColumn("addr", 4096 + F.coalesce(F.sum("room").over(order), F.lit(0))).withColumn("region", F.floor(F.col("addr") / 200_000)).drop("room", "line")
+    return x.withColumn("addr", 4096 + F.coalesce(F.sum("room").over(order), F.lit(0))).withColumn("region", F.floor(F.col("addr") / 200_000)).drop("room")
 
 
 SQL = """

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright import catalog
-from framewright.operators import build, complete, ordered, schedule, transfer
+from framewright.operators import build, complete, ordered, schedule, tables, transfer
 from framewright.plans import views as v
 from framewright.plans.settings import Settings
 from framewright.functions import headers
@@ -303,6 +303,14 @@ def test_every_announcement_and_frame_is_asked(spark, sf):
     assert got == {w: sum(x <= most for x in sizes) for w, most in free.items()}
 
 
+def test_parts_grow_in_number_with_the_table(spark, sf, monkeypatch):
+    monkeypatch.setattr(tables, "PART_ROWS", 500)
+    n = v.table(spark, sf, "lineitem").count()
+    for name in ("interval_merge", "region_lookup", "txg_coalesce", "txg_locate"):
+        sizes = [r["count"] for r in catalog.QUERIES[name](spark, sf).groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) >= n // 500 and max(sizes) < 1000
+
+
 def test_sidecar(spark):
     values = {c.lower(): 1 for c in sidecar.WIDTHS} | {"origin": "TPC", "desc": "CLUSTERS"}
     line = sidecar.lines(spark.createDataFrame([values])).first().line
