@@ -31,8 +31,11 @@ def groups(parts: DataFrame, keys: tuple[str, ...] = ("tf_id", "sender"), gap: i
 
 def located(parts: DataFrame, keys: tuple[str, ...] = ("tf_id", "sender")) -> DataFrame:
     """Each part's offset within its group's transfer."""
-    x = coalesced(parts, keys)
-    return x.join(groups(parts, keys).select(*keys, "txg", "start"), [*keys, "txg"]).withColumn("offset", F.col("addr") - F.col("start"))
+    w = Window.partitionBy(*keys).orderBy("addr")
+    begins = F.coalesce(F.col("txg") != F.lag("txg").over(w), F.lit(True))
+    x = coalesced(parts, keys).withColumn("_begin", F.when(begins, F.col("addr")))
+    x = x.withColumn("start", F.max("_begin").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_begin")
+    return x.withColumn("offset", F.col("addr") - F.col("start"))
 
 
 def in_region(points: DataFrame, regions: DataFrame, cell: int = 1 << 18) -> DataFrame:

@@ -311,6 +311,13 @@ def test_parts_grow_in_number_with_the_table(spark, sf, monkeypatch):
         assert len(sizes) >= n // 500 and max(sizes) < 1000
 
 
+def test_located_keeps_parts_of_unknown_frames(spark):
+    rows = [(None, 1, 100, 50, 0), (None, 1, 200, 50, 0), (None, 1, 20_000, 50, 0), (7, 1, 64, 10, 0), (7, 1, 9_000, 10, 1), (7, 1, 9_100, 0, 1)]
+    got = transfer.located(spark.createDataFrame(rows, "tf_id long, sender long, addr long, len long, region long"))
+    assert sorted(((r.tf_id or 0), r.addr, r.offset) for r in got.collect()) == [(0, 100, 0), (0, 200, 100), (0, 20_000, 0), (7, 64, 0), (7, 9_000, 0)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sidecar(spark):
     values = {c.lower(): 1 for c in sidecar.WIDTHS} | {"origin": "TPC", "desc": "CLUSTERS"}
     line = sidecar.lines(spark.createDataFrame([values])).first().line
