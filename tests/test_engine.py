@@ -1,5 +1,6 @@
 """Operators with state or files: against step-by-step versions, and round trips."""
 
+import hashlib
 import random
 import struct
 import time
@@ -287,6 +288,23 @@ def test_files_there_and_back(spark, tmp_path):
     assert {r.tf_id for r in own.where("tf_id >= 7").collect()} == {7, 8}
 
 
+def test_packed_files_and_digests(spark, tmp_path):
+    """Payloads made while they're written: packed files hold the same parts, in less room, and are told from others by themselves."""
+    x = spark.range(40).select((F.col("id") % 10).alias("tf_id"), F.lit(1).cast("long").alias("run"), F.lit(5).cast("long").alias("first_orbit"), F.concat(F.lit("E"), (F.col("id") % 3).cast("string")).alias("description"), F.lit("TST").alias("origin"), F.lit(0).cast("long").alias("subspec"), F.col("id").alias("message"), F.lit(0).alias("split_index"))
+    payload = F.repeat(F.md5(F.col("message").cast("string")), 1000 + F.col("message").cast("int")).cast("binary")
+    tf_files.write_tf(x.repartition(2, "tf_id"), str(tmp_path / "packed"), payload, by_frame=True, max_frames=3, compression="zstd")
+    tf_files.write_tf(x.withColumn("payload", payload), str(tmp_path / "plain"))
+    size = lambda name: sum(p.stat().st_size for p in (tmp_path / name).glob("*.tf"))
+    assert 0 < 20 * size("packed") < size("plain")
+    want = sorted((m % 10, f"E{m % 3}", hashlib.md5(hashlib.md5(str(m).encode()).hexdigest().encode() * (1000 + m)).digest(), 32 * (1000 + m)) for m in range(40))
+    for name in ("packed", "plain"):
+        for df in (tf_files.read_tf(spark, str(tmp_path / name)), spark.read.format("timeframes").load(str(tmp_path / name))):
+            assert sorted((r.tf_id, r.description, hashlib.md5(r.payload).digest(), len(r.payload)) for r in df.collect()) == want
+        assert sorted((r.tf_id, r.description, bytes(r.digest), r["size"]) for r in tf_files.read_tf(spark, str(tmp_path / name), digests=True).collect()) == want
+    with pytest.raises(ValueError):
+        tf_files.plain(next((tmp_path / "packed").glob("*.tf")).read_bytes()[:-20])
+
+
 def test_roundtrip_of_every_part(spark, sf):
     parts = v.tf_part(spark, sf).distinct()
     want = parts.groupBy("tf_id", "equipment").agg(F.count(F.lit(1)).alias("n_parts"), F.sum("size").alias("bytes"))
